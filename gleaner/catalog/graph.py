@@ -1 +1,94 @@
+"""Graphs: catalogue entries with check SQL."""
 
+from pyspark.sql import functions as F
+
+from gleaner.catalog.registry import query
+from gleaner.operators import graph as G
+
+CUT = "SELECT src, CASE WHEN src%10=0 THEN src ELSE dst END AS dst FROM v_hops"
+
+
+@query("g01_connected_components", f"""WITH RECURSIVE e AS ({CUT}), w AS (SELECT src AS node, src AS at FROM e
+ UNION SELECT dst, dst FROM e UNION SELECT w.node, e.dst FROM w JOIN e ON w.at=e.src)
+ SELECT node, min(at) AS component FROM w GROUP BY 1""")
+def _(t):
+    edges = t.v_hops.withColumn("dst", F.when(F.col("src") % 10 == 0, F.col("src")).otherwise(F.col("dst")))
+    return G.connected_components(edges, "src", "dst")
+
+
+def _roads(t):
+    return t.v_follows.withColumn("cost", 1 + (F.col("follower") + F.col("followed")) % 9)
+
+
+PATHS = """e AS (SELECT follower AS a, followed AS b, 1+(follower+followed)%9 AS c FROM v_follows),
+ w AS (SELECT cast(1 as bigint) AS node, cast(0 as bigint) AS cost, 0 AS legs UNION SELECT e.b, w.cost+e.c, w.legs+1 FROM w JOIN e ON w.node=e.a
+ WHERE w.cost+e.c<={limit} AND w.legs<12),
+ m AS (SELECT node, min(cost) AS cost, arg_min(legs, cost*1000+legs) AS legs FROM w GROUP BY 1)"""
+
+
+@query("g02_shortest_path", f"""WITH RECURSIVE {PATHS.format(limit=10)} SELECT node, cast(cost as double) AS cost, legs FROM m""")
+def _(t):
+    return G.shortest_paths(_roads(t), "follower", "followed", 1, "cost", 10.0).select("node", "cost", "legs")
+
+
+@query("g02_path_nodes", f"""WITH RECURSIVE {PATHS.format(limit=10)} SELECT legs AS hops, count(*) AS paths FROM m WHERE node=77 GROUP BY 1""")
+def _(t):
+    best = G.shortest_paths(_roads(t), "follower", "followed", 1, "cost", 10.0)
+    return G.trace_path(best, 77).agg(F.max("hop").alias("hops"), F.count_if(F.col("hop") == 0).alias("paths"))
+
+
+@query("g03_running_ledger", """SELECT o_orderkey, o_custkey, R4(sum(CASE WHEN o_orderstatus='F' THEN -cast(o_totalprice as decimal(18,2))
+ ELSE cast(o_totalprice as decimal(18,2)) END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS balance FROM orders""")
+def _(t):
+    money = F.col("o_totalprice").cast("decimal(18,2)")
+    signed = F.when(F.col("o_orderstatus") == "F", -money).otherwise(money)
+    tx = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+    return G.running_ledger(tx, "o_custkey", ["o_orderdate", "o_orderkey"], signed).select("o_orderkey", "o_custkey", "balance")
+
+
+@query("g04_k_hop_neighbours", """WITH RECURSIVE w AS (SELECT cast(3 as bigint) AS node, 0 AS steps
+ UNION SELECT h.src, w.steps+1 FROM w JOIN v_hops h ON h.dst=w.node WHERE w.steps<4) SELECT node, min(steps) AS steps FROM w GROUP BY 1""")
+def _(t):
+    return G.k_hop_neighbours(t.v_hops, "dst", "src", 3, 4)
+
+
+@query("g05_ownership_chain", """WITH RECURSIVE s AS (SELECT child, owner, sum(share) AS share FROM v_shares WHERE child<>owner GROUP BY 1,2),
+ w AS (SELECT child AS company, owner AS holder, share AS part, [child] AS path FROM s
+ UNION ALL SELECT w.company, s.owner, w.part*s.share, list_append(w.path, s.child) FROM w JOIN s ON w.holder=s.child
+ WHERE NOT list_contains(w.path, s.owner))
+ SELECT company, holder, R4(sum(part)) AS part FROM w WHERE holder NOT IN (SELECT child FROM s) GROUP BY 1,2""")
+def _(t):
+    return G.ownership_chain(t.v_shares, "child", "owner", "share")
+
+
+@query("g06_degree_centrality", """SELECT node, cast(sum(o) as bigint) AS out_degree, cast(sum(i) as bigint) AS in_degree, count(*) AS degree,
+ R4(sum(w)) AS weight FROM (
+ SELECT concat('s',cast(a as varchar)) AS node, 1 AS o, 0 AS i, cast(1+a%3 as double) AS w FROM v_edges
+ UNION ALL SELECT concat('c',cast(b as varchar)), 0, 1, cast(1+a%3 as double) FROM v_edges) GROUP BY 1""")
+def _(t):
+    e = t.v_edges.select(F.concat(F.lit("s"), F.col("a").cast("string")).alias("x"),
+                         F.concat(F.lit("c"), F.col("b").cast("string")).alias("y"), "a")
+    return G.degree_centrality(e, "x", "y", (1 + F.col("a") % 3).cast("double"))
+
+
+@query("g07_co_membership", """WITH m AS (SELECT DISTINCT user_id AS u, regexp_extract(props,'([0-9]+)',1) AS g FROM events),
+ p AS (SELECT a.g AS a, b.g AS b, count(*) AS shared FROM m a JOIN m b ON a.u=b.u AND a.g<b.g GROUP BY 1,2)
+ SELECT a, b, shared FROM p WHERE shared>=40""")
+def _(t):
+    m = t.events.select("user_id", F.get_json_object("props", "$.k").alias("site"))
+    return G.co_membership(m, "site", "user_id", 40)
+
+
+def _named(t):
+    return t.v_edges.select(F.concat(F.lit("s"), F.col("a").cast("string")).alias("x"),
+                            F.concat(F.lit("c"), F.col("b").cast("string")).alias("y"))
+
+
+@query("g08_page_rank")
+def _(t):
+    return G.page_rank(_named(t), "x", "y", 6)
+
+
+@query("g09_communities")
+def _(t):
+    return G.communities(_named(t), "x", "y", 5)

@@ -178,8 +178,8 @@ SESSIONS = """s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, ev
  strftime(max(ts),'%Y-%m-%d %H:%M:%S') AS ended, count(*) AS hits, R4(epoch(max(ts))-epoch(min(ts))) AS seconds
  FROM s GROUP BY user_id, session_no""")
 def _(t):
-    s = S.sessionise(t.events.select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], 7200)
-    return S.session_measures(s, "user_id", "ts")
+    s = S.sessionise(t.events.select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], 7200)
+    return S.session_measures(s, ["user_id"], "ts")
 
 
 @query("f20_contributor_stats", "SELECT user_id, "

@@ -211,7 +211,7 @@ def dominant_category(df: DataFrame, group: str, category: str) -> DataFrame:
 
 
 def sessionise(
-    df: DataFrame, entity: str, order: list[str], gap_s: int, chunk: Column | None = None
+    df: DataFrame, entity: list[str], order: list[str], gap_s: int, chunk: Column | None = None
 ) -> DataFrame:
     """Rows with ``session_no`` per entity: a pause over ``gap_s`` starts a new one.
 
@@ -220,15 +220,15 @@ def sessionise(
     """
     ts = order[0]
     chunk = F.to_date(ts) if chunk is None else chunk
-    seq = lag_within(df, [entity], order, [ts], chunk)
+    seq = lag_within(df, entity, order, [ts], chunk)
     pause = epoch_seconds(F.col(ts)) - epoch_seconds(F.col(f"prev_{ts}"))
     starts = F.when(F.col(f"prev_{ts}").isNull() | (pause > gap_s), 1).otherwise(0)
-    return running_sum_within(seq, [entity], order, starts, "session_no", chunk).drop(f"prev_{ts}")
+    return running_sum_within(seq, entity, order, starts, "session_no", chunk).drop(f"prev_{ts}")
 
 
-def session_measures(sessions: DataFrame, entity: str, ts: str, more: list[str] = []) -> DataFrame:
+def session_measures(sessions: DataFrame, entity: list[str], ts: str) -> DataFrame:
     """One row per session: start, end, duration and number of rows."""
-    return sessions.groupBy(entity, "session_no", *more).agg(
+    return sessions.groupBy(*entity, "session_no").agg(
         F.min(ts).alias("started"),
         F.max(ts).alias("ended"),
         F.count("*").alias("hits"),

@@ -37,6 +37,17 @@ VIEWS = {
         CASE WHEN page_id%5=0 THEN 404 WHEN page_id%7=0 THEN 500 ELSE 200 END AS status FROM pages
         UNION ALL SELECT url, page_id%7+1 AS day,
         CASE WHEN page_id%4=0 THEN 404 ELSE 200 END AS status FROM pages WHERE page_id%3=0""",
+    "v_zone": """SELECT n_name AS zone, 1 AS i, cast(n_nationkey AS double)*6-80 AS lat, cast(n_nationkey AS double)*13-170 AS lon FROM nation
+        UNION ALL SELECT n_name, 2, cast(n_nationkey AS double)*6-80, cast(n_nationkey AS double)*13-120 FROM nation
+        UNION ALL SELECT n_name, 3, cast(n_nationkey AS double)*6-45, cast(n_nationkey AS double)*13-110 FROM nation
+        UNION ALL SELECT n_name, 4, cast(n_nationkey AS double)*6-60, cast(n_nationkey AS double)*13-140 FROM nation
+        UNION ALL SELECT n_name, 5, cast(n_nationkey AS double)*6-40, cast(n_nationkey AS double)*13-170 FROM nation""",
+    "v_plot": """SELECT c_custkey AS plot, c_mktsegment AS kind, 1 AS i, cast((c_custkey*37)%16000 AS double)/100-80 AS lat, cast((c_custkey*91)%35000 AS double)/100-175 AS lon FROM customer
+        UNION ALL SELECT c_custkey, c_mktsegment, 2, cast((c_custkey*37)%16000 AS double)/100-80, cast((c_custkey*91)%35000 AS double)/100-174.5 FROM customer
+        UNION ALL SELECT c_custkey, c_mktsegment, 3, cast((c_custkey*37)%16000 AS double)/100-79.25, cast((c_custkey*91)%35000 AS double)/100-174 FROM customer
+        UNION ALL SELECT c_custkey, c_mktsegment, 4, cast((c_custkey*37)%16000 AS double)/100-79, cast((c_custkey*91)%35000 AS double)/100-175 FROM customer""",
+    "v_poi": """SELECT s_suppkey AS poi, concat('type', cast(s_nationkey%3 AS varchar(9))) AS kind,
+        cast((s_suppkey*1171)%18000 AS double)/100-90 AS plat, cast((s_suppkey*2377)%36000 AS double)/100-180 AS plon FROM supplier""",
     "v_visits": """SELECT event_id, user_id, event_type AS site, ts, value,
         cast(ts AS date) AS day FROM events""",
 }

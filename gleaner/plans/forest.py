@@ -53,3 +53,26 @@ def resolve_parents(parents: DataFrame, keys: list[str], node: str, parent: str)
         F.when(F.col("open"), F.lit(None)).otherwise(F.col("dist")).alias("depth"),
         F.col("open").alias("on_loop"),
     )
+
+
+def ancestor_rows(parents: DataFrame, node: str, parent: str) -> DataFrame:
+    """All (node, hop, place) pairs of loop-free chains, doubling the reach each round."""
+    reach = cut_lineage(
+        parents.where(F.col(parent).isNotNull()).select(
+            F.col(node).alias("node"), F.col(parent).alias("place"), F.lit(1).cast("long").alias("hop")
+        )
+    )
+    span = 1
+    while True:
+        ends = reach.where(F.col("hop") == span)
+        step = reach.select(
+            F.col("node").alias("place"), F.col("place").alias("further"), F.col("hop").alias("more")
+        )
+        longer = ends.join(step, "place").select(
+            "node", F.col("further").alias("place"), (F.col("hop") + F.col("more")).alias("hop")
+        )
+        longer = cut_lineage(longer)
+        if longer.isEmpty():
+            return reach.withColumnRenamed("node", node)
+        reach = cut_lineage(reach.unionByName(longer))
+        span *= 2
