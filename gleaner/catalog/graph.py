@@ -8,9 +8,9 @@ from gleaner.operators import graph as G
 CUT = "SELECT src, CASE WHEN src%10=0 THEN src ELSE dst END AS dst FROM v_hops"
 
 
-@query("g01_connected_components", f"""WITH RECURSIVE e AS ({CUT}), w AS (SELECT src AS node, src AS at FROM e
- UNION SELECT dst, dst FROM e UNION SELECT w.node, e.dst FROM w JOIN e ON w.at=e.src)
- SELECT node, min(at) AS component FROM w GROUP BY 1""")
+@query("g01_connected_components", f"""WITH RECURSIVE e AS ({CUT}), w AS (SELECT src AS node, src AS pos FROM e
+ UNION SELECT dst, dst FROM e UNION SELECT w.node, e.dst FROM w JOIN e ON w.pos=e.src)
+ SELECT node, min(pos) AS component FROM w GROUP BY 1""")
 def _(t):
     edges = t.v_hops.withColumn("dst", F.when(F.col("src") % 10 == 0, F.col("src")).otherwise(F.col("dst")))
     return G.connected_components(edges, "src", "dst")

@@ -102,7 +102,7 @@ def nearest_poi(points: DataFrame, key: str, pois: DataFrame, poi: str, kind: st
         edge /= 2
     per_kind = place.groupBy(kind).agg(F.least(F.count("*"), F.lit(k)).alias("_need"))
     todo = on_sphere(points.select(key, "lat", "lon"), "lat", "lon").select(
-        "*", F.explode(F.array_sort(per_kind.agg(F.collect_set(kind)).scalar())).alias(kind))
+        "*", F.explode(per_kind.agg(F.collect_set(kind)).scalar()).alias(kind))
     todo = cut_lineage(todo)
     out = []
     while True:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import textcols as X
+from gleaner.plans.leaders import follow_leaders
 from gleaner.plans.scale import cut_lineage, top_k_per_group
 
 
@@ -227,11 +228,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Each near copy with the leader it repeats and their exact Jaccard of word n-grams.
 
-    Equal texts are folded first. Distinct texts that agree on a MinHash band meet
-    in a bucket; the smallest id leads, every other member is compared with the
-    leader only, and members that differ from it go on to the next round under a
-    new leader until no bucket holds two. A bucket of any size therefore costs one
-    comparison per member and round, never one per pair.
+    Equal texts are folded first; distinct texts that agree on a MinHash band meet
+    in a bucket and are compared with the leader of the bucket, never pair by pair.
     """
     words = df.select(key, X.tokens(F.col(text)).alias("_w"))
     grams = F.when(F.size("_w") >= n, X.ngrams(F.col("_w"), n)).otherwise(
@@ -257,32 +255,15 @@ def near_duplicates(
     keys = F.array(
         *[F.xxhash64(F.lit(b), *minhash[b * rows : (b + 1) * rows]) for b in range(bands)]
     )
-    open_rows = cut_lineage(shingles.select("id", F.explode(keys).alias("bucket")))
-    left = shingles.select("id", F.col("s").alias("s1"))
-    right = shingles.select(F.col("id").alias("lead"), F.col("s").alias("s2"))
-    found = None
-    while True:
-        leads = open_rows.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("_m"))
-        rest = open_rows.join(leads.where("_m > 1").select("bucket", "lead"), "bucket").where("id <> lead")
-        rest = cut_lineage(rest)
-        if rest.isEmpty():
-            break
-        pairs = rest.select("id", "lead").distinct().join(left, "id").join(right, "lead")
-        both = F.size(F.array_intersect("s1", "s2"))
-        score = both / (F.size("s1") + F.size("s2") - both)
-        hits = cut_lineage(
-            pairs.select("id", "lead", score.alias("jaccard")).where(F.col("jaccard") >= threshold)
-        )
-        found = hits if found is None else found.unionByName(hits)
-        open_rows = rest.join(hits.select("id", "lead"), ["id", "lead"], "left_anti").select("id", "bucket")
-    if found is None:
-        return exact
-    near = (
-        found.groupBy("id")
-        .agg(F.min(F.struct("lead", "jaccard")).alias("_b"))
-        .select(F.col("id").alias(key), F.col("_b.lead").alias("leader"), F.col("_b.jaccard").alias("jaccard"))
-    )
-    return exact.unionByName(near)
+    buckets = shingles.select("id", F.explode(keys).alias("bucket"))
+
+    def jaccard(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x, y))
+        return both / (F.size(x) + F.size(y) - both)
+
+    near = follow_leaders(shingles.withColumnRenamed("s", "item"), buckets, jaccard, threshold)
+    return exact.unionByName(
+        near.select(F.col("id").alias(key), "leader", F.col("score").alias("jaccard")))
 
 
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
