@@ -144,6 +144,21 @@ def _(t):
     return S.message_stats(t.conversations, "conv_id", "role", "text")
 
 
+THREAD = """WITH RECURSIVE w AS (SELECT conv_id, turn, turn AS pos, parent, 0 AS depth FROM v_thread
+ UNION ALL SELECT w.conv_id, w.turn, p.turn, p.parent, w.depth+1 FROM w JOIN v_thread p ON w.conv_id=p.conv_id AND w.parent=p.turn)"""
+
+
+@query("f15_thread_tree", f"""{THREAD} SELECT w.conv_id, w.turn, max_by(pos, depth) AS root, max(depth) AS depth,
+ (SELECT count(*) FROM v_thread c WHERE c.conv_id=w.conv_id AND c.parent=w.turn) AS children FROM w GROUP BY 1,2""")
+def _(t):
+    return S.thread_tree(t.v_thread, "conv_id", "turn", "parent")
+
+
+@query("f15_thread_paths", f"""{THREAD} SELECT conv_id, turn, depth AS hop, pos AS ancestor FROM w WHERE depth>0""")
+def _(t):
+    return S.thread_paths(t.v_thread, "conv_id", "turn", "parent")
+
+
 @query("f16_reply_matrix", """SELECT role, count(*) FILTER (p='user') AS to_user,
  count(*) FILTER (p='assistant') AS to_assistant, count(*) FILTER (p='system') AS to_system FROM (
  SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)

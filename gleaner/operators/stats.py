@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.plans.forest import ancestor_rows, resolve_parents
 from gleaner.plans.scale import (
     exact_quantiles,
     lag_within,
@@ -393,3 +394,20 @@ def list_copy(lists: list[DataFrame], key: str, payload: list[str]) -> DataFrame
     return merged.groupBy(key).agg(
         F.min(F.struct(*payload)).alias("_p"), F.count("*").alias("listed")
     ).select(key, "_p.*", "listed")
+
+
+def thread_tree(df: DataFrame, chat: str, turn: str, parent: str) -> DataFrame:
+    """Depth, top message and number of direct answers of every message."""
+    tree = resolve_parents(df, [chat], turn, parent)
+    answers = df.where(F.col(parent).isNotNull()).groupBy(chat, F.col(parent).alias(turn)).agg(
+        F.count("*").alias("children"))
+    return tree.where(~F.col("on_loop")).drop("on_loop").join(answers, [chat, turn], "left").fillna(0, ["children"])
+
+
+def thread_paths(df: DataFrame, chat: str, turn: str, parent: str) -> DataFrame:
+    """The way from every message to the top of its thread, one row per step."""
+    ids = df.select(
+        F.struct(F.col(chat), F.col(turn).alias("t")).alias("node"),
+        F.when(F.col(parent).isNotNull(), F.struct(F.col(chat), F.col(parent).alias("t"))).alias("up"))
+    rows = ancestor_rows(ids, "node", "up")
+    return rows.select(F.col(f"node.{chat}").alias(chat), F.col("node.t").alias(turn), "hop", F.col("place.t").alias("ancestor"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,9 +73,12 @@ def append_snapshot(df: DataFrame, content: str, captured_on: str, path: str) ->
     fresh = fresh.groupBy("digest").agg(
         F.min_by(F.struct(*others), F.struct(captured_on, *[c for c in others if c not in (captured_on, content)])).alias("_r")
     ).select("_r.*", "digest")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        fresh = fresh.join(spark.read.parquet(path).select("digest"), "digest", "left_anti")
+    try:
+        seen = spark.read.parquet(path).select("digest")
+    except AnalysisException:  # first capture, no folder yet
+        seen = None
+    if seen is not None:
+        fresh = fresh.join(seen, "digest", "left_anti")
     fresh.write.partitionBy(captured_on).mode("append").parquet(path)
 
 
