@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.rows import each
 from gleaner.functions.textcols import tokens
 from gleaner.functions.webcols import deletions
 from gleaner.plans.scale import top_k_per_group
@@ -29,8 +30,8 @@ def watchlist_screening(names: DataFrame, name: str, listed: DataFrame, entry: s
     """
     keys = names.select(company_key(F.col(name)).alias("_n")).distinct()
     wanted = listed.select(entry, company_key(F.col(entry)).alias("_e"))
-    left = keys.withColumn("_k", F.explode(deletions(F.col("_n"), edits)))
-    right = wanted.select("_e").distinct().withColumn("_k", F.explode(deletions(F.col("_e"), edits)))
+    left = each(keys, ["_n"], deletions(F.col("_n"), edits), "_k")
+    right = each(wanted.select("_e").distinct(), ["_e"], deletions(F.col("_e"), edits), "_k")
     near = left.join(right, "_k").select("_n", "_e").distinct()
     d = F.levenshtein("_n", "_e")
     score = 1 - d / F.greatest(F.length("_n"), F.length("_e"))
@@ -99,7 +100,7 @@ def longest_prefix_lookup(df: DataFrame, number: str, prefixes: DataFrame, prefi
 
 def company_mentions(docs: DataFrame, text: str, groups: list[str], names: DataFrame, name: str) -> DataFrame:
     """Mentions of listed one-word names by group."""
-    words = docs.select(*groups, F.explode(tokens(F.col(text))).alias(name))
+    words = each(docs, groups, tokens(F.col(text)), name)
     return words.join(names.select(name).distinct(), name).groupBy(name, *groups).agg(F.count("*").alias("mentions"))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.rows import each, each_at, pin
 from gleaner.functions.textcols import tokens
 from gleaner.plans.scale import top_k_per_group, value_ranks
 
@@ -25,14 +26,14 @@ def boolean_search(
     """
     for test in fields:
         df = df.where(test)
-    words = tokens(F.col(text))
+    rows = pin(df, df.columns, _w=tokens(F.col(text)))
     for term in must:
-        df = df.where(F.array_contains(words, term))
+        rows = rows.where(F.array_contains("_w", term))
     if any_of:
-        df = df.where(F.arrays_overlap(words, F.array(*[F.lit(x) for x in any_of])))
+        rows = rows.where(F.arrays_overlap("_w", F.array(*[F.lit(x) for x in any_of])))
     for term in must_not:
-        df = df.where(~F.array_contains(words, term))
-    return df
+        rows = rows.where(~F.array_contains("_w", term))
+    return rows.drop("_w")
 
 
 def _is(term: str):
@@ -43,21 +44,15 @@ def ranked_search(
     df: DataFrame, key: str, text: str, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
     """BM25 top ``k``. Term counts are taken within each row, so no token leaves its row."""
-    words = tokens(F.col(text))
-    counted = df.select(
-        key,
-        F.size(words).alias("dl"),
-        *[
-            F.size(F.filter(words, _is(q))).alias(f"tf{i}")
-            for i, q in enumerate(terms)
-        ],
-    )
-    facts = counted.agg(
-        F.count("*").alias("n"),
-        F.avg("dl").alias("avgdl"),
-        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
-    )
-    stat = {c: facts.select(c).scalar() for c in facts.columns}
+    tf = {f"tf{i}": F.size(F.filter("_w", _is(q))) for i, q in enumerate(terms)}
+    counted = pin(pin(df, [key], _w=tokens(F.col(text))), [key], dl=F.size("_w"), **tf)
+    stat = counted.agg(
+        F.struct(
+            F.count("*").alias("n"),
+            F.avg("dl").alias("avgdl"),
+            *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
+        )
+    ).scalar()
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, d = F.col(f"tf{i}"), stat[f"df{i}"]
@@ -73,24 +68,24 @@ def phrase_search(df: DataFrame, keys: list[str], text: str, phrase: str) -> Dat
     """Every place (token number from 1) at which the exact phrase starts."""
     want = phrase.lower().split()
     target = F.array(*[F.lit(w) for w in want])
-    found = df.select(*keys, tokens(F.col(text)).alias("_w")).where(
+    found = pin(df, keys, _w=tokens(F.col(text))).where(
         F.array_contains("_w", want[0]) & (F.size("_w") >= len(want))
     )
     starts = F.filter(
         F.sequence(F.lit(1), F.size("_w") - len(want) + 1),
         lambda i: F.slice("_w", i, len(want)) == target,
     )
-    return found.select(*keys, F.explode(starts).alias("at"))
+    return each(found, keys, starts, "at")
 
 
 def regex_grep(df: DataFrame, keys: list[str], text: str, pattern: str, context: int) -> DataFrame:
     """All matches of a pattern with up to ``context`` characters between neighbours."""
-    hits = df.where(F.col(text).rlike(pattern)).select(
-        *keys,
-        F.split(text, pattern, -1).alias("_parts"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_m"),
+    hits = pin(
+        df.where(F.col(text).rlike(pattern)), keys,
+        _parts=F.split(text, pattern, -1),
+        _m=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
     )
-    rows = hits.select(*keys, "_parts", F.posexplode("_m").alias("_i", "match"))
+    rows = each_at(hits, [*keys, "_parts"], F.col("_m"), "_i", "match")
     before = F.element_at("_parts", F.col("_i") + 1)
     after = F.element_at("_parts", F.col("_i") + 2)
     return rows.select(
@@ -115,14 +110,14 @@ def facet_filter(df: DataFrame, filters: list[Column], facets: list[str]) -> Dat
 
 def keyword_monitor(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """Rows that mention a watched term (column ``term``), with the hit count."""
-    words = df.select(key, F.explode(tokens(F.col(text))).alias("term"))
+    words = each(df, [key], tokens(F.col(text)), "term")
     return words.join(terms, "term").groupBy(key, "term").agg(F.count("*").alias("hits"))
 
 
 def prefix_suggest(df: DataFrame, text: str, prefix: str, k: int) -> DataFrame:
     """Most frequent words that start with ``prefix``."""
     words = F.filter(tokens(F.col(text)), lambda w: w.startswith(prefix))
-    counted = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = each(df, [], words, "word").groupBy("word").agg(F.count("*").alias("n"))
     return counted.orderBy(F.desc("n"), "word").limit(k)
 
 

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import textcols as X
+from gleaner.functions.rows import each, each_at, pin
 from gleaner.plans.leaders import follow_leaders
-from gleaner.plans.scale import cut_lineage, top_k_per_group
+from gleaner.plans.scale import cut_lineage, small_side, spread, top_k_per_group
 
 
 def detect_pii(df: DataFrame, key: str, text: str) -> DataFrame:
     """Counts of personal-data patterns per row, for governance of own data."""
-    counts = [F.regexp_count(text, F.lit(p)).alias(f"n_{name}") for name, p in X.PII.items()]
-    total = sum((F.col(f"n_{name}") for name in X.PII), F.lit(0))
-    return df.select(key, *counts).where(total > 0)
+    counts = {f"n_{name}": F.regexp_count(text, F.lit(p)) for name, p in X.PII.items()}
+    total = sum((F.col(c) for c in counts), F.lit(0))
+    return pin(df, [key], **counts).where(total > 0)
 
 
 def redact(text: Column) -> Column:
@@ -26,18 +27,14 @@ def redact(text: Column) -> Column:
 
 def redact_pii(df: DataFrame, text: str) -> DataFrame:
     """Rows whose text holds personal data, with the redacted text."""
-    return df.withColumn("redacted", redact(F.col(text))).where(F.col("redacted") != F.col(text))
+    return pin(df, df.columns, redacted=redact(F.col(text))).where(F.col("redacted") != F.col(text))
 
 
 def extract_dates_prices(df: DataFrame, key: str, text: str) -> DataFrame:
     """Typed dates and money amounts found in text; one row per find."""
-    dates = df.select(
-        key, F.explode(F.regexp_extract_all(text, F.lit(X.ISO_DATE), F.lit(0))).alias("raw")
-    ).select(key, F.lit("date").alias("kind"), F.try_to_date("raw", "yyyy-MM-dd").alias("on_date"),
+    dates = each(df, [key], F.regexp_extract_all(text, F.lit(X.ISO_DATE), F.lit(0)), "raw").select(key, F.lit("date").alias("kind"), F.try_to_date("raw", "yyyy-MM-dd").alias("on_date"),
              F.lit(None).cast("decimal(18,2)").alias("amount"))
-    money = df.select(
-        key, F.explode(F.regexp_extract_all(text, F.lit(X.MONEY), F.lit(0))).alias("raw")
-    ).select(key, F.lit("price").alias("kind"), F.lit(None).cast("date").alias("on_date"),
+    money = each(df, [key], F.regexp_extract_all(text, F.lit(X.MONEY), F.lit(0)), "raw").select(key, F.lit("price").alias("kind"), F.lit(None).cast("date").alias("on_date"),
              F.substring("raw", 2, 40).try_cast("decimal(18,2)").alias("amount"))
     return dates.where("on_date IS NOT NULL").unionByName(money.where("amount IS NOT NULL"))
 
@@ -45,19 +42,19 @@ def extract_dates_prices(df: DataFrame, key: str, text: str) -> DataFrame:
 def extract_urls(df: DataFrame, key: str, text: str) -> DataFrame:
     """URLs in text, one row each, in order."""
     found = F.regexp_extract_all(text, F.lit(X.URL), F.lit(0))
-    return df.select(key, F.posexplode(found).alias("at", "url"))
+    return each_at(df, [key], found, "at", "url")
 
 
 def extract_tags(df: DataFrame, text: str) -> DataFrame:
     """Hashtags and mentions with counts."""
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[#@][\p{L}\p{N}_]+"), F.lit(0))
-    return df.select(F.explode(found).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return each(df, [], found, "tag").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def extract_timecodes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """mm:ss and h:mm:ss marks with their second of play time."""
     marks = F.regexp_extract_all(text, F.lit(X.TIMECODE), F.lit(0))
-    rows = df.select(*keys, F.posexplode(marks).alias("at", "mark"))
+    rows = each_at(df, keys, marks, "at", "mark")
     seconds = F.aggregate(F.split("mark", ":"), F.lit(0), lambda acc, p: acc * 60 + p.cast("int"))
     return rows.withColumn("second", seconds)
 
@@ -65,7 +62,7 @@ def extract_timecodes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def scan_secrets(df: DataFrame, key: str, text: str) -> DataFrame:
     """Key-like strings in own text, masked to four characters, with length and entropy."""
     found = F.regexp_extract_all(text, F.lit(X.SECRET), F.lit(1))
-    rows = df.select(key, F.explode(found).alias("_s"))
+    rows = each(df, [key], found, "_s")
     return rows.select(
         key,
         F.concat(F.substring("_s", 1, 4), F.lit("****")).alias("masked"),
@@ -76,9 +73,7 @@ def scan_secrets(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def validate_luhn(df: DataFrame, group: str, text: str) -> DataFrame:
     """Check-digit pass rate of the sixteen-digit numbers in text, by group."""
-    nums = df.select(
-        group, F.explode(F.regexp_extract_all(text, F.lit(r"\b[0-9]{16}\b"), F.lit(0))).alias("num")
-    )
+    nums = each(df, [group], F.regexp_extract_all(text, F.lit(r"\b[0-9]{16}\b"), F.lit(0)), "num")
     ok = F.count_if(F.expr("luhn_check(num)"))
     return nums.groupBy(group).agg(
         F.count("*").alias("numbers"), ok.alias("passed"), (ok / F.count("*")).alias("rate")
@@ -144,7 +139,7 @@ def encode_column(text: Column, codec: str) -> Column:
 
 def word_frequency(df: DataFrame, text: str, groups: list[str] = []) -> DataFrame:
     """Word counts, all or by group."""
-    words = df.select(*groups, F.explode(X.tokens(F.col(text))).alias("word"))
+    words = each(df, groups, X.tokens(F.col(text)), "word")
     return words.groupBy(*groups, "word").agg(F.count("*").alias("n"))
 
 
@@ -164,17 +159,16 @@ def distinctive_terms(df: DataFrame, group: str, text: str, k: int) -> DataFrame
 
 def cooccurring_terms(df: DataFrame, text: str, term: str, min_docs: int, k: int) -> DataFrame:
     """Words found together with a keyword, by lift; only rows with the keyword are expanded twice."""
-    words = df.select(F.array_distinct(X.tokens(F.col(text))).alias("w"))
+    words = pin(df, [], w=F.array_distinct(X.tokens(F.col(text))))
     has = F.array_contains("w", term)
-    facts = words.agg(F.count("*").alias("n"), F.count_if(has).alias("n_term"))
+    facts = words.agg(F.struct(F.count("*").alias("n"), F.count_if(has).alias("n_term"))).scalar()
     counted = (
-        words.select(F.explode("w").alias("word"), has.cast("int").alias("_both"))
+        each(words, [has.cast("int").alias("_both")], F.col("w"), "word")
         .groupBy("word")
         .agg(F.count("*").alias("docs"), F.sum("_both").alias("together"))
         .where((F.col("together") >= min_docs) & (F.col("word") != term))
     )
-    n, n_term = facts.select("n").scalar(), facts.select("n_term").scalar()
-    lift = F.col("together") * n / (F.col("docs") * n_term)
+    lift = F.col("together") * facts["n"] / (F.col("docs") * facts["n_term"])
     return (
         counted.withColumn("lift", lift)
         .orderBy(F.desc(F.round("lift", 9)), "word")
@@ -185,7 +179,7 @@ def cooccurring_terms(df: DataFrame, text: str, term: str, min_docs: int, k: int
 def text_diff(a: DataFrame, b: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Lines added, removed and kept between two versions, counted with repeats."""
     def lines(df: DataFrame, old: int, new: int) -> DataFrame:
-        return df.select(*keys, F.explode(F.split(text, "\n")).alias("line")).select(
+        return each(df, keys, F.split(text, "\n"), "line").select(
             *keys, "line", F.lit(old).alias("o"), F.lit(new).alias("n")
         )
 
@@ -200,12 +194,11 @@ def text_diff(a: DataFrame, b: DataFrame, keys: list[str], text: str) -> DataFra
 
 def summarise_extractive(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """Best ``k`` sentences per document by mean document frequency of their words."""
-    sent = df.select(
-        key, F.posexplode(F.filter(F.split(text, r"[.!?][ \n]+"), lambda s: s != "")).alias("at", "sentence")
-    )
-    words = sent.select(key, "at", F.explode(X.tokens(F.col("sentence"))).alias("word"))
+    parts = F.filter(F.split(text, r"[.!?][ \n]+"), lambda s: s != "")
+    sent = each_at(df, [key], parts, "at", "sentence")
+    words = each(sent, [key, "at"], X.tokens(F.col("sentence")), "word")
     weight = (
-        df.select(F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("word"))
+        each(df, [], F.array_distinct(X.tokens(F.col(text))), "word")
         .groupBy("word")
         .agg(F.count("*").alias("docs"))
     )
@@ -231,7 +224,7 @@ def near_duplicates(
     Equal texts are folded first; distinct texts that agree on a MinHash band meet
     in a bucket and are compared with the leader of the bucket, never pair by pair.
     """
-    words = df.select(key, X.tokens(F.col(text)).alias("_w"))
+    words = pin(df, [key], _w=X.tokens(F.col(text)))
     grams = F.when(F.size("_w") >= n, X.ngrams(F.col("_w"), n)).otherwise(
         F.array(F.array_join("_w", " "))
     )
@@ -255,7 +248,7 @@ def near_duplicates(
     keys = F.array(
         *[F.xxhash64(F.lit(b), *minhash[b * rows : (b + 1) * rows]) for b in range(bands)]
     )
-    buckets = shingles.select("id", F.explode(keys).alias("bucket"))
+    buckets = each(spread(shingles), ["id"], keys, "bucket")
 
     def jaccard(x: Column, y: Column) -> Column:
         both = F.size(F.array_intersect(x, y))
@@ -279,18 +272,13 @@ def passage_reuse(
     df: DataFrame, key: str, text: str, protected: DataFrame, protected_text: str, n: int
 ) -> DataFrame:
     """Share of each row's word n-grams that come from protected texts."""
-    known = (
-        protected.select(X.tokens(F.col(protected_text)).alias("_w"))
-        .select(F.explode(X.ngrams(F.col("_w"), n)).alias("gram"))
-        .distinct()
-    )
-    grams = df.select(key, X.tokens(F.col(text)).alias("_w")).select(
-        key, X.ngrams(F.col("_w"), n).alias("_g")
-    )
-    totals = grams.select(key, F.size("_g").alias("grams")).where("grams > 0")
+    listed = pin(protected, [], _w=X.tokens(F.col(protected_text)))
+    known = each(listed, [], X.ngrams(F.col("_w"), n), "gram").distinct()
+    words = pin(df, [key], _w=X.tokens(F.col(text)))
+    totals = words.select(key, (F.size("_w") - (n - 1)).alias("grams")).where("grams > 0")
     hits = (
-        grams.select(key, F.explode("_g").alias("gram"))
-        .join(known, "gram", "left_semi")
+        each(words, [key], X.ngrams(F.col("_w"), n), "gram")
+        .join(small_side(known), "gram", "left_semi")
         .groupBy(key)
         .agg(F.count("*").alias("reused"))
     )

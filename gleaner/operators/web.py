@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import webcols as U
+from gleaner.functions.rows import each, each_at
 from gleaner.operators.graph import connected_components
 from gleaner.operators.stats import latest, session_measures, sessionise
 from gleaner.plans.forest import ancestor_rows, resolve_parents
@@ -68,7 +69,7 @@ def extract_links(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
         F.regexp_extract_all(html, F.lit(U.LINK), F.lit(1)).alias("href"),
         F.regexp_extract_all(html, F.lit(U.LINK), F.lit(2)).alias("anchor"),
     )
-    rows = df.select(key, url, F.posexplode(links).alias("at", "_l"))
+    rows = each_at(df, [key, url], links, "at", "_l")
     base = F.regexp_extract(url, r"^(https?://[^/]+)", 1)
     href = F.col("_l.href")
     target = F.when(href.startswith("/"), F.concat(base, href)).otherwise(href)
@@ -124,7 +125,7 @@ def detect_technologies(df: DataFrame, key: str, html: str, rules: dict[str, str
     found = F.array_compact(
         F.array(*[F.when(F.col(html).rlike(p), F.lit(name)) for name, p in rules.items()])
     )
-    return df.select(key, F.explode(found).alias("technology"))
+    return each(df, [key], found, "technology")
 
 
 def outdated_libraries(found: DataFrame, advisories: DataFrame, key: str) -> DataFrame:
@@ -195,9 +196,11 @@ def lookalike_domains(hosts: DataFrame, host: str, brands: DataFrame, brand: str
     Both sides are keyed by shared deletions, so only near names ever meet.
     """
     left = hosts.select(host).distinct().select(
-        host, U.fold_lookalikes(F.col(host)).alias("_h")).withColumn("_k", F.explode(U.deletions(F.col("_h"), edits)))
+        host, U.fold_lookalikes(F.col(host)).alias("_h"))
+    left = each(left, [host, "_h"], U.deletions(F.col("_h"), edits), "_k")
     right = brands.select(brand).distinct().select(
-        brand, U.fold_lookalikes(F.col(brand)).alias("_b")).withColumn("_k", F.explode(U.deletions(F.col("_b"), edits)))
+        brand, U.fold_lookalikes(F.col(brand)).alias("_b"))
+    right = each(right, [brand, "_b"], U.deletions(F.col("_b"), edits), "_k")
     near = left.join(right, "_k").where(F.col(host) != F.col(brand)).select(host, brand, "_h", "_b").distinct()
     d = F.levenshtein("_h", "_b", edits)
     return near.withColumn("distance", d).where(F.col("distance") >= 0).select(host, brand, "distance")
@@ -205,7 +208,7 @@ def lookalike_domains(hosts: DataFrame, host: str, brands: DataFrame, brand: str
 
 def blocklist_match(df: DataFrame, key: str, host: str, feed: DataFrame, entry: str) -> DataFrame:
     """Rows whose host or a parent domain of it is on the feed."""
-    tails = df.select(key, host, F.explode(U.host_suffixes(F.col(host))).alias(entry))
+    tails = each(df, [key, host], U.host_suffixes(F.col(host)), entry)
     return tails.join(feed.select(entry), entry, "left_semi").groupBy(key, host).agg(F.max(F.length(entry)).alias("_n")).drop("_n")
 
 
@@ -376,8 +379,7 @@ def visits_last_n_days(history: DataFrame, site: Column, ts: str, spans: list[in
 def script_paths(df: DataFrame, key: str, html: str) -> DataFrame:
     """Distinct paths named in page scripts, by directory."""
     code = F.array_join(F.regexp_extract_all(html, F.lit(U.SCRIPT), F.lit(1)), "\n")
-    paths = df.select(
-        key, F.explode(F.regexp_extract_all(code, F.lit(r"\"(/[A-Za-z0-9_./-]+)\""), F.lit(1))).alias("path"))
+    paths = each(df, [key], F.regexp_extract_all(code, F.lit(r"\"(/[A-Za-z0-9_./-]+)\""), F.lit(1)), "path")
     folder = F.regexp_replace("path", r"[^/]*$", "")
     return paths.groupBy(folder.alias("folder")).agg(
         F.count_distinct("path").alias("paths"), F.count_distinct(key).alias("pages"))

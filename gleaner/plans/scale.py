@@ -27,6 +27,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan or checkpoint with fewer partitions than cores, spread over all cores.
+
+    For row-local work that is heavy per byte (text, page source). Inputs that
+    already fill the cores, as large ones do, pass through without a shuffle.
+    Do not call it on a plan that shuffles: counting partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` written out once and broadcast if it has at most ``most`` rows.
+
+    Beyond that it is returned as it is and the join shuffles both sides.
+    """
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def _chunk_keys(keys: list[str]) -> list[str]:
     return [*keys, "_chunk"]
 

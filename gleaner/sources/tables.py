@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.plans.derive import BASE, VIEWS
+from gleaner.plans.scale import spread
 
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -35,6 +36,9 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+TEXT_HEAVY = ("documents", "pages")
+
+
 class Tables:
     """Lazy access to base tables and derived views of one data folder."""
 
@@ -44,7 +48,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SCHEMAS:
-            return read_table(self.spark, self.folder, name)
+            df = read_table(self.spark, self.folder, name)
+            return spread(df) if name in TEXT_HEAVY else df
         if name in VIEWS:
             return self.sql(VIEWS[name])
         raise AttributeError(name)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from gleaner.functions.rows import each
 from gleaner.functions.textcols import tokens
 from gleaner.functions.webcols import host_suffixes
 
@@ -77,13 +78,13 @@ def stream_threshold_alert(stream: DataFrame, key: str, ts: str, value: str, lim
 
 def stream_keyword_alert(stream: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
     """New texts holding watched terms, by a join with the static term table."""
-    words = stream.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias(term))
+    words = each(stream, [key], F.array_distinct(tokens(F.col(text))), term)
     return words.join(terms.select(term), term)
 
 
 def stream_blocklist_join(stream: DataFrame, key: str, host: str, feed: DataFrame, entry: str) -> DataFrame:
     """Arriving rows whose host or a parent domain is on the feed."""
-    tails = stream.select(key, host, F.explode(host_suffixes(F.col(host))).alias(entry))
+    tails = each(stream, [key, host], host_suffixes(F.col(host)), entry)
     return tails.join(feed.select(entry), entry)
 
 
