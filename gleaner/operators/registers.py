@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.rows import each
 from gleaner.functions.textcols import tokens
 from gleaner.functions.webcols import deletions
-from gleaner.plans.scale import top_k_per_group
+from gleaner.plans.scale import small_side, top_k_per_group
 
 # Legal forms left out of company names.
 LEGAL_FORMS = r" (?:LTD|LLC|INC|PLC|GMBH|AG|SA|SARL|BV|OOO|CORP|CO)\.?$"
@@ -101,7 +101,7 @@ def longest_prefix_lookup(df: DataFrame, number: str, prefixes: DataFrame, prefi
 def company_mentions(docs: DataFrame, text: str, groups: list[str], names: DataFrame, name: str) -> DataFrame:
     """Mentions of listed one-word names by group."""
     words = each(docs, groups, tokens(F.col(text)), name)
-    return words.join(names.select(name).distinct(), name).groupBy(name, *groups).agg(F.count("*").alias("mentions"))
+    return words.join(small_side(names.select(name).distinct()), name).groupBy(name, *groups).agg(F.count("*").alias("mentions"))
 
 
 def catalogue_availability(df: DataFrame, title: Column, source: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.rows import each, each_at, pin
 from gleaner.functions.textcols import tokens
-from gleaner.plans.scale import top_k_per_group, value_ranks
+from gleaner.plans.scale import small_side, top_k_per_group, value_ranks
 
 
 def boolean_search(
@@ -111,7 +111,7 @@ def facet_filter(df: DataFrame, filters: list[Column], facets: list[str]) -> Dat
 def keyword_monitor(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """Rows that mention a watched term (column ``term``), with the hit count."""
     words = each(df, [key], tokens(F.col(text)), "term")
-    return words.join(terms, "term").groupBy(key, "term").agg(F.count("*").alias("hits"))
+    return words.join(small_side(terms), "term").groupBy(key, "term").agg(F.count("*").alias("hits"))
 
 
 def prefix_suggest(df: DataFrame, text: str, prefix: str, k: int) -> DataFrame:

@@ -11,7 +11,7 @@ from gleaner.plans.forest import ancestor_rows, resolve_parents
 from gleaner.plans.scale import (
     exact_quantiles,
     lag_within,
-    running_sum_within,
+    session_numbers,
     top_k_per_group,
     value_ranks,
 )
@@ -219,12 +219,10 @@ def sessionise(
     Windows hold one entity and one chunk of time (a day unless given), so an
     entity with very many rows is spread over tasks.
     """
-    ts = order[0]
-    chunk = F.to_date(ts) if chunk is None else chunk
-    seq = lag_within(df, entity, order, [ts], chunk)
-    pause = epoch_seconds(F.col(ts)) - epoch_seconds(F.col(f"prev_{ts}"))
-    starts = F.when(F.col(f"prev_{ts}").isNull() | (pause > gap_s), 1).otherwise(0)
-    return running_sum_within(seq, entity, order, starts, "session_no", chunk).drop(f"prev_{ts}")
+    chunk = F.to_date(order[0]) if chunk is None else chunk
+    return session_numbers(
+        df, entity, order, lambda before, now: epoch_seconds(now) - epoch_seconds(before) > gap_s, chunk
+    )
 
 
 def session_measures(sessions: DataFrame, entity: list[str], ts: str) -> DataFrame:

@@ -8,6 +8,7 @@ per-partition offsets. No helper collects a group.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +119,36 @@ def running_sum_within(
     ).drop("_chunk", "_v", "_local", "_carry")
 
 
+def session_numbers(
+    df: DataFrame, keys: list[str], order: list[str], apart: Callable[[Column, Column], Column],
+    chunk: Column,
+) -> DataFrame:
+    """Add ``session_no`` per key: a row starts a session when ``apart(previous, this)`` holds.
+
+    Rows are numbered inside their chunk; one summary row per chunk tells how many
+    sessions began before it and whether its first row carries one on.
+    """
+    ts = order[0]
+    work = df.withColumn("_chunk", chunk)
+    w = Window.partitionBy(*_chunk_keys(keys)).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.coalesce(apart(F.lag(ts).over(w), F.col(ts)).cast("int"), F.lit(0))
+    local = work.withColumn("_begins", begins).withColumn("_local", F.sum("_begins").over(upto))
+    chunks = local.groupBy(*_chunk_keys(keys)).agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_begins").alias("_inner")
+    )
+    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    opens = F.coalesce(apart(F.lag("_last").over(by_chunk), F.col("_first")).cast("int"), F.lit(1))
+    earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_opens", opens)
+    carry = F.coalesce(F.sum(F.col("_opens") + F.col("_inner")).over(earlier), F.lit(0))
+    chunks = chunks.withColumn("_carry", carry + F.col("_opens"))
+    rows = _stitch(local, chunks, keys)
+    return rows.withColumn("session_no", F.col("_carry") + F.col("_local")).drop(
+        "_chunk", "_begins", "_local", "_carry"
+    )
+
+
 def carry_forward_within(
     df: DataFrame, keys: list[str], order: list[str], value: str, out: str, chunk: Column
 ) -> DataFrame:
