@@ -70,7 +70,7 @@ SPANS = {"day": 1, "week": 7, "month": 30, "half_year": 182}
 
 
 @query("e09_events_per_region", "WITH c AS (SELECT user_id%25 AS k, date_diff('day',cast(ts as date),(SELECT cast(max(ts) as date) FROM events)) AS age FROM events) SELECT n_name, "
-       + ", ".join(f"count(*) FILTER (age<{d}) AS {n}" for n, d in SPANS.items()) + " FROM nation JOIN c ON k=n_nationkey GROUP BY 1")
+       + ", ".join(f"count(*) FILTER (age<{d}) AS {n}" for n, d in SPANS.items()) + " FROM nation LEFT JOIN c ON k=n_nationkey GROUP BY 1")
 def _(t):
     ev = t.events.withColumn("n_nationkey", (F.col("user_id") % 25).cast("int"))
     return E.events_per_region(ev, t.nation, "n_nationkey", "n_name", "ts", SPANS)

@@ -76,6 +76,10 @@ def grid_density(points: DataFrame, cell: float, value: str) -> DataFrame:
         F.count("*").alias("n"), F.avg(value).alias("mean_value"))
 
 
+# Halvings of the cube edge that are looked at: 2 down to 2e-6, about ten metres.
+FINEST = 20
+
+
 def nearest_poi(points: DataFrame, key: str, pois: DataFrame, poi: str, kind: str, k: int,
                 crowd: int = 64) -> DataFrame:
     """The ``k`` nearest places of each kind for every point, exactly.
@@ -93,13 +97,14 @@ def nearest_poi(points: DataFrame, key: str, pois: DataFrame, poi: str, kind: st
             df = df.withColumn(n, c)
         return df
     place = cut_lineage(on_sphere(pois.select(poi, kind, "plat", "plon"), "plat", "plon"))
-    spots = place.select("plat", "plon", *xyz).distinct()
-    edge = 2.0
-    while edge > 1e-6:
-        cubes = spots.groupBy(*[F.floor(F.col(c) / edge) for c in xyz]).agg(F.count("*").alias("n"))
-        if cubes.agg(F.max("n")).first()[0] in (None, *range(crowd + 1)):
-            break
-        edge /= 2
+    # how crowded the fullest cube is at every edge from 2 down, in one pass
+    levels = (
+        place.select("plat", "plon", *xyz).distinct()
+        .select(F.explode(F.sequence(F.lit(0), F.lit(FINEST))).alias("_l"), *xyz)
+        .groupBy("_l", *[F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("_l") - 1)).alias(f"_c{c}") for c in xyz])
+        .agg(F.count("*").alias("n")).groupBy("_l").agg(F.max("n").alias("n")))
+    fullest = {r["_l"]: r["n"] for r in levels.collect()}  # one row per level
+    edge = 2.0 / 2 ** next((l for l in range(FINEST) if fullest.get(l, 0) <= crowd), FINEST)
     per_kind = place.groupBy(kind).agg(F.least(F.count("*"), F.lit(k)).alias("_need"))
     todo = on_sphere(points.select(key, "lat", "lon"), "lat", "lon").select(
         "*", F.explode(per_kind.agg(F.collect_set(kind)).scalar()).alias(kind))
