@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,8 +213,29 @@ def summarise_extractive(df: DataFrame, key: str, text: str, k: int) -> DataFram
     return sent.join(best, [key, "at"]).select(key, "position", "at", "score", "sentence")
 
 
-def _salted(salt: int):
-    return lambda v: F.xxhash64(v, F.lit(salt))
+def minhash_bands(bands: int, rows: int, seed: int = 13):
+    """Pandas UDF: MinHash bucket numbers, one per band, of an array of shingle hashes."""
+    rng = np.random.default_rng(seed)
+    mult = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    plus = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+    fold = rng.integers(1, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    number = np.arange(bands, dtype=np.uint64)
+    block = 1 << 14
+
+    def signature(shingles: np.ndarray) -> np.ndarray:
+        s = shingles.astype(np.int64).view(np.uint64)
+        least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for at in range(0, len(s), block):
+            part = s[at : at + block, None] * mult + plus
+            np.minimum(least, part.min(axis=0), out=least)
+        keys = (least.reshape(bands, rows) * fold).sum(axis=1, dtype=np.uint64)
+        return (keys * np.uint64(bands) + number).view(np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def buckets(column: pd.Series) -> pd.Series:
+        return column.map(signature)
+
+    return buckets
 
 
 def near_duplicates(
@@ -228,7 +251,8 @@ def near_duplicates(
     grams = F.when(F.size("_w") >= n, X.ngrams(F.col("_w"), n)).otherwise(
         F.array(F.array_join("_w", " "))
     )
-    texts = words.select(key, F.md5(F.array_join("_w", " ")).alias("_d"), grams.alias("_g"))
+    hashed = F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+    texts = cut_lineage(words.select(key, F.md5(F.array_join("_w", " ")).alias("_d"), hashed.alias("s")))
     copies = texts.select(key, "_d").groupBy("_d").agg(F.min(key).alias("leader"))
     exact = (
         texts.select(key, "_d").join(copies, "_d")
@@ -236,19 +260,8 @@ def near_duplicates(
         .select(key, "leader", F.lit(1.0).alias("jaccard"))
     )
     first = copies.select(F.col("leader").alias(key))
-    shingles = cut_lineage(
-        texts.join(first, key, "left_semi").select(
-            F.col(key).alias("id"),
-            F.array_distinct(F.transform("_g", lambda g: F.xxhash64(g))).alias("s"),
-        )
-    )
-    minhash = [
-        F.array_min(F.transform("s", _salted(j))) for j in range(bands * rows)
-    ]
-    keys = F.array(
-        *[F.xxhash64(F.lit(b), *minhash[b * rows : (b + 1) * rows]) for b in range(bands)]
-    )
-    buckets = each(spread(shingles), ["id"], keys, "bucket")
+    shingles = cut_lineage(texts.join(first, key, "left_semi").select(F.col(key).alias("id"), "s"))
+    buckets = each(spread(shingles), ["id"], minhash_bands(bands, rows)("s"), "bucket")
 
     def jaccard(x: Column, y: Column) -> Column:
         both = F.size(F.array_intersect(x, y))
