@@ -84,11 +84,33 @@ def _named(t):
                             F.concat(F.lit("c"), F.col("b").cast("string")).alias("y"))
 
 
-@query("g08_page_rank")
+NAMED = "e AS (SELECT DISTINCT concat('s',cast(a as varchar)) AS x, concat('c',cast(b as varchar)) AS y FROM v_edges)"
+
+
+def _rank_sql(rounds):
+    parts = [NAMED, "n AS (SELECT x AS node FROM e UNION SELECT y FROM e)", "d AS (SELECT x, count(*) AS deg FROM e GROUP BY 1)",
+             "c AS (SELECT count(*) AS n FROM n)", "r0 AS (SELECT node, 1.0::double/(SELECT n FROM c) AS rank FROM n)"]
+    for i in range(rounds):
+        parts.append(f"""r{i + 1} AS MATERIALIZED (SELECT n.node, 0.15::double/(SELECT n FROM c)+0.85::double*(coalesce(f.flow,0)
+ +(SELECT coalesce(sum(rank),0) FROM r{i} WHERE node NOT IN (SELECT x FROM d))/(SELECT n FROM c)) AS rank FROM n LEFT JOIN (
+ SELECT e.y AS node, sum(r.rank/d.deg) AS flow FROM r{i} r JOIN e ON r.node=e.x JOIN d ON d.x=e.x GROUP BY 1) f USING (node))""")
+    return f"WITH {', '.join(parts)} SELECT node, R4(rank*1000) AS permille FROM r{rounds}"
+
+
+def _label_sql(rounds):
+    parts = [NAMED, "b AS (SELECT x AS src, y AS dst FROM e UNION SELECT y, x FROM e)",
+             "l0 AS (SELECT DISTINCT src AS node, src AS label FROM b)"]
+    for i in range(rounds):
+        parts.append(f"""l{i + 1} AS MATERIALIZED (SELECT node, label FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, label) AS rn
+ FROM (SELECT b.src AS node, l.label FROM b JOIN l{i} l ON b.dst=l.node UNION ALL SELECT node, label FROM l{i}) GROUP BY 1,2) WHERE rn=1)""")
+    return f"WITH {', '.join(parts)} SELECT node, label AS community FROM l{rounds}"
+
+
+@query("g08_page_rank", _rank_sql(6))
 def _(t):
-    return G.page_rank(_named(t), "x", "y", 6)
+    return G.page_rank(_named(t), "x", "y", 6).select("node", (F.col("rank") * 1000).alias("permille"))
 
 
-@query("g09_communities")
+@query("g09_communities", _label_sql(5))
 def _(t):
     return G.communities(_named(t), "x", "y", 5)

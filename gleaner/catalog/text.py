@@ -265,7 +265,16 @@ def _(t):
         "doc_id", F.md5("latin").alias("digest"), F.substring("latin", 1, 40).alias("start"))
 
 
-@query("c27_phonetic_key")
+_code = "translate(upper(w),'BFPVCGJKQSXZDTLMNRAEIOUYHW','11112222222233455600000099')"
+_run = f"concat(left({_code},1),replace(substr({_code},2),'9',''))"
+for _d in "123456":
+    _run = f"regexp_replace({_run},'{_d}+','{_d}','g')"
+
+
+@query("c27_phonetic_key", f"""SELECT key, count(*) AS rows, count(distinct p_name) AS variants, min(p_name) AS first_name,
+ max(p_name) AS last_name, levenshtein(min(p_name),max(p_name)) AS spread FROM (
+ SELECT p_name, concat(upper(left(w,1)),left(rpad(replace(substr({_run},2),'0',''),3,'0'),3)) AS key FROM (
+ SELECT p_name, string_split(p_name,' ')[-1] AS w FROM part)) GROUP BY 1""")
 def _(t):
     return C.phonetic_key(t.part, "p_name")
 
