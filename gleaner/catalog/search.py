@@ -83,7 +83,7 @@ def _(t):
 
 
 @query("b08_rank_fusion", """WITH l AS (SELECT source, doc_id%97 AS item, max(n_chars) AS score FROM documents GROUP BY 1,2),
- r AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY score) AS rk FROM l),
+ r AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY score DESC) AS rk FROM l),
  f AS (SELECT item, sum(1/(60+rk)::double) AS fused, count(*) AS lists FROM r GROUP BY 1)
  SELECT item, R4(fused) AS fused, lists FROM f ORDER BY round(f.fused,6) DESC, item LIMIT 20""")
 def _(t):

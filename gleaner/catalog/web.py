@@ -201,12 +201,11 @@ def _(t):
     return D.blocklist_match(pages, "page_id", "host", feed, "entry")
 
 
-@query("d18_page_fingerprint", r"""WITH c AS (SELECT page_id, left(regexp_replace(html,'(?s)^.*?</title>',''),60) AS body FROM pages)
+@query("d18_page_fingerprint", r"""WITH c AS (SELECT page_id, regexp_replace(html,'(?s)^.*?</title>','') AS body FROM pages)
  SELECT md5(b) AS md5, sha1(b) AS sha1, sha256(b) AS sha256, count(*) AS pages, min(page_id) AS first FROM (
- SELECT page_id, regexp_replace(body,'[0-9]+','','g') AS b FROM c) GROUP BY 1,2,3""")
+ SELECT page_id, body AS b FROM c) GROUP BY 1,2,3""")
 def _(t):
-    body = F.substring(F.regexp_replace("html", r"(?s)^.*?</title>", ""), 1, 60)
-    return D.page_fingerprint(t.pages, "page_id", F.regexp_replace(body, "[0-9]+", ""))
+    return D.page_fingerprint(t.pages, "page_id", F.regexp_replace("html", r"(?s)^.*?</title>", ""))
 
 
 @query("d19_host_neighbours", """WITH p AS (SELECT host, ip_id, count(*) AS seen FROM v_dns GROUP BY 1,2)

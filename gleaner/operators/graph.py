@@ -99,28 +99,36 @@ def k_hop_neighbours(edges: DataFrame, a: str, b: str, node, k: int) -> DataFram
         "node", F.col("cost").cast("long").alias("steps"))
 
 
-def ownership_chain(shares: DataFrame, child: str, owner: str, share: str, max_depth: int = 50) -> DataFrame:
+def ownership_chain(shares: DataFrame, child: str, owner: str, share: str, tolerance: float = 1e-9) -> DataFrame:
     """Indirect share of each ultimate owner in each company, along all paths.
 
     Rounds move the product of shares one owner up; paths that meet at the same
     owner are added up before the next round. Owners nobody owns are ultimate.
-    ``max_depth`` bounds chains that loop.
+    Chains of any length are followed to their end. Shares that loop shrink with
+    every turn and are dropped once they are at most ``tolerance``; a loop whose
+    shares never shrink has no end and raises.
     """
     links = cut_lineage(
         shares.where(F.col(child) != F.col(owner))
         .groupBy(F.col(child).alias("c"), F.col(owner).alias("o")).agg(F.sum(share).alias("s")))
     owned = links.select(F.col("c").alias("holder")).distinct()
     live = links.select(F.col("c").alias("company"), F.col("o").alias("holder"), F.col("s").alias("part"))
-    done = []
-    for _ in range(max_depth):
-        live = cut_lineage(live)
-        if live.isEmpty():
+    done = [live.limit(0)]
+    nodes, rounds, before = owned.count() + 1, 0, None
+    while True:
+        live = cut_lineage(live.where(F.col("part") > tolerance))
+        left = live.agg(F.sum("part")).first()[0]
+        if left is None:
             break
+        if rounds > nodes and before is not None and left >= before:
+            raise ValueError("ownership loops without losing any share")
+        before = left
         done.append(live.join(owned, "holder", "left_anti"))
         live = (
             live.join(links, live["holder"] == links["c"])
             .select("company", F.col("o").alias("holder"), (F.col("part") * F.col("s")).alias("part"))
             .groupBy("company", "holder").agg(F.sum("part").alias("part")))
+        rounds += 1
     return reduce(DataFrame.unionByName, done).groupBy("company", "holder").agg(F.sum("part").alias("part"))
 
 
@@ -158,38 +166,58 @@ def co_membership(members: DataFrame, group: str, member: str, min_shared: int)
     return shared.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
 
 
-def page_rank(edges: DataFrame, a: str, b: str, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """Importance by links over a fixed number of rounds; dead ends share their rank out evenly."""
+def page_rank(edges: DataFrame, a: str, b: str, tolerance: float = 1e-6, damping: float = 0.85,
+              rounds: int | None = None) -> DataFrame:
+    """Importance by links; dead ends share their rank out evenly.
+
+    Runs until no rank moves by more than ``tolerance`` of the mean rank, which a
+    damping below one reaches in about log(tolerance) / log(damping) rounds. With
+    ``rounds`` exactly that many are made.
+    """
     links = cut_lineage(edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct())
     degree = links.groupBy("src").agg(F.count("*").alias("deg"))
     nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
     nodes = cut_lineage(nodes.join(degree, nodes["node"] == degree["src"], "left").select("node", "deg"))
     n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(rounds):
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    done = 0
+    while n and (rounds is None or done < rounds):
         lost = ranks.where("deg IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
         flow = (
             ranks.where("deg IS NOT NULL").withColumnRenamed("node", "src").join(links, "src")
             .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("deg")).alias("flow")))
         rank = (1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + lost / n)
-        ranks = cut_lineage(nodes.join(flow, "node", "left").select("node", "deg", rank.alias("rank")))
+        old = ranks.select("node", F.col("rank").alias("old"))
+        moved = cut_lineage(
+            nodes.join(flow, "node", "left").select("node", "deg", rank.alias("rank")).join(old, "node"))
+        ranks = moved.drop("old")
+        done += 1
+        if rounds is None and moved.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] * n <= tolerance:
+            break
     return ranks.select("node", "rank")
 
 
-def communities(edges: DataFrame, a: str, b: str, rounds: int = 8) -> DataFrame:
+def communities(edges: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
     """Groups by label propagation: most common label around, ties to the smallest.
 
-    A node keeps its own label as one vote, which stops two-sided graphs from swapping for ever.
+    A node keeps its own label as one vote, which stops two-sided graphs from swapping
+    for ever. Runs until no label changes, or until the number of changes has not
+    reached a new low for ten rounds, as labels can circle; ``converged`` tells which.
+    With ``rounds`` at most that many are made.
     """
     links = cut_lineage(_both_ways(edges, a, b))
     labels = cut_lineage(links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(rounds):
+    done, least, stale, changed = 0, None, 0, None
+    while rounds is None or done < rounds:
         votes = links.join(labels, links["dst"] == labels["node"]).select(F.col("src").alias("node"), "label")
         counted = votes.unionByName(labels).groupBy("node", "label").agg(F.count("*").alias("n"))
         best = counted.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("b"))
         nxt = cut_lineage(best.select("node", "b.label"))
-        still = nxt.join(labels, ["node", "label"], "left_anti").isEmpty()
+        changed = nxt.join(labels, ["node", "label"], "left_anti").count()
         labels = nxt
-        if still:
+        done += 1
+        stale = 0 if least is None or changed < least else stale + 1
+        least = changed if least is None else min(least, changed)
+        if not changed or (rounds is None and stale >= 10):
             break
-    return labels.withColumnRenamed("label", "community")
+    return labels.select("node", F.col("label").alias("community"), F.lit(changed == 0).alias("converged"))

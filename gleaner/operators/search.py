@@ -24,6 +24,7 @@ def boolean_search(
 
     ``fields`` are plain column tests; they come first so that they reach the scan.
     """
+    must, any_of, must_not = ([w.lower() for w in words or ()] for words in (must, any_of, must_not))
     for test in fields:
         df = df.where(test)
     rows = pin(df, df.columns, _w=tokens(F.col(text)))
@@ -122,11 +123,12 @@ def prefix_suggest(df: DataFrame, text: str, prefix: str, k: int) -> DataFrame:
 
 
 def rank_fusion(lists: DataFrame, source: str, item: str, score: str, k: int, c: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of scored lists; equal scores share a rank."""
-    ranks = value_ranks(lists, [source], score).select(
-        source, score, (F.col("before") + 1).alias("rank")
+    """Reciprocal rank fusion of scored lists, highest score first; equal scores share a rank."""
+    placed = lists.withColumn("_down", -F.col(score))
+    ranks = value_ranks(placed, [source], "_down").select(
+        source, "_down", (F.col("before") + 1).alias("rank")
     )
-    fused = lists.join(ranks, [source, score]).groupBy(item).agg(
+    fused = placed.join(ranks, [source, "_down"]).groupBy(item).agg(
         F.sum(1 / (c + F.col("rank"))).alias("fused"), F.count("*").alias("lists")
     )
     return fused.orderBy(F.desc(F.round("fused", 6)), item).limit(k)

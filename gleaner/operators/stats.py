@@ -245,13 +245,16 @@ def contributor_stats(df: DataFrame, who: str, kind: str, kinds: list[str], ts:
 
 
 def composite_score(df: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted score of min-max scaled measures with a band A-D by quarter of the scale."""
-    lo = df.agg(*[F.min(m).alias(m) for m in weights])
-    hi = df.agg(*[F.max(m).alias(m) for m in weights])
+    """Weighted score of min-max scaled measures with a band A-D by quarter of the scale.
+
+    A measure that is the same in all rows adds nothing.
+    """
+    ends = df.agg(F.struct(*[F.min(m).alias(f"lo_{m}") for m in weights], *[F.max(m).alias(f"hi_{m}") for m in weights])
+                  .alias("ends")).scalar()
     score = F.lit(0.0)
     for m, w in weights.items():
-        low, high = lo.select(m).scalar(), hi.select(m).scalar()
-        score = score + F.lit(w) * (F.col(m) - low) / (high - low)
+        low, high = ends[f"lo_{m}"], ends[f"hi_{m}"]
+        score = score + F.lit(w) * F.coalesce(F.try_divide(F.col(m) - low, high - low), F.lit(0.0))
     out = df.withColumn("score", score)
     band = (
         F.when(F.col("score") >= 0.75, "A")

@@ -148,7 +148,10 @@ def outdated_libraries(found: DataFrame, advisories: DataFrame, key: str) -> Dat
 
 
 def structured_metadata(df: DataFrame, key: str, html: str) -> DataFrame:
-    """Title, language, charset, meta tags as a map, and embedded JSON-LD as a variant."""
+    """Title, language, charset, meta tags as a map, and embedded JSON-LD as a variant.
+
+    Of meta tags with one name the first counts.
+    """
     meta = r"(?i)<meta name=\"([^\"]+)\" content=\"([^\"]*)\""
     names = F.regexp_extract_all(html, F.lit(meta), F.lit(1))
     values = F.regexp_extract_all(html, F.lit(meta), F.lit(2))
@@ -158,7 +161,9 @@ def structured_metadata(df: DataFrame, key: str, html: str) -> DataFrame:
         F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1).alias("title"),
         F.regexp_extract(html, r"(?i)<html lang=\"([^\"]*)\"", 1).alias("lang"),
         F.regexp_extract(html, r"(?i)<meta charset=\"([^\"]*)\"", 1).alias("charset"),
-        F.map_from_arrays(names, values).alias("meta"),
+        F.map_from_entries(F.filter(
+            F.arrays_zip(names.alias("k"), values.alias("v")),
+            lambda p, i: F.array_position(names, p["k"]) == i + 1)).alias("meta"),
         F.try_parse_json(ld).alias("ld"),
     )
 
@@ -300,8 +305,12 @@ def robots_rules(lines: DataFrame, host: str, no: str, line: str) -> DataFrame:
 
 
 def cookie_attributes(df: DataFrame, group: str, header: str, long_age: int) -> DataFrame:
-    """Risk counts of stored cookie headers by group."""
-    attrs = F.str_to_map(F.lower(F.col(header)), F.lit("; *"), F.lit("="))
+    """Risk counts of stored cookie headers by group; of a repeated attribute the last counts."""
+    pairs = F.transform(F.split(F.lower(F.col(header)), "; *"), lambda x: F.struct(
+        F.substring_index(x, "=", 1).alias("k"),
+        F.when(x.contains("="), F.substr(x, F.instr(x, "=") + 1)).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    attrs = F.map_from_entries(last)
     rows = df.select(group, attrs.alias("a"))
     age = F.try_element_at("a", F.lit("max-age")).try_cast("bigint")
     return rows.groupBy(group).agg(

@@ -36,20 +36,36 @@ def read_text_corpus(spark: SparkSession, folder: str, whole: bool = False) -> D
         F.col("_metadata.file_path").alias("path"), "value")
 
 
-def file_inventory(spark: SparkSession, folder: str, digest_up_to: int = 1 << 30) -> DataFrame:
-    """Name, extension, size, time and digest per file; larger files are listed without digest.
+def file_inventory(spark: SparkSession, folder: str, block_mb: int = 4) -> DataFrame:
+    """Name, extension, size, time and digest per file, whatever its size.
 
-    A file is digested in one piece, so files beyond ``digest_up_to`` bytes are flagged
-    ``skipped`` instead of being read.
+    Files are listed without their content and read block by block in the tasks,
+    through the filesystem that the path names, so that a task holds one block.
     """
-    def listing() -> DataFrame:
-        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-
-    cols = ["path", "length", "modificationTime"]
-    small = listing().where(F.col("length") <= digest_up_to).select(*cols, F.sha2("content", 256).alias("digest"))
-    large = listing().where(F.col("length") > digest_up_to).select(*cols, F.lit("skipped").alias("digest"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
+        "path", "length", "modificationTime")
+    size = block_mb << 20
+
+    def digests(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for path in b.column(0).to_pylist():
+                store, inner = fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(inner) as stream:
+                    while block := stream.read(size):
+                        digest.update(block)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "digest"])
+
+    rows = listed.mapInArrow(digests, "path string, length bigint, modificationTime timestamp, digest string")
     name = F.substring_index("path", "/", -1)
-    return small.unionByName(large).select(
+    return rows.select(
         name.alias("name"), F.regexp_extract(name, r"\.([^.]+)$", 1).alias("extension"),
         F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "digest")
 
