@@ -202,7 +202,7 @@ def _texts(docs: DataFrame, text: str, words: int, bits: np.ndarray) -> DataFram
 
 
 def _products(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, common, total, linked) of the asked pairs: size of the intersection and of the union."""
+    """(a, b, d, m, linked) of the asked pairs: in how many n-grams they differ, and a bitmap of these."""
     rows = pairs.join(texts.withColumnsRenamed({"h": "a", "z": "za"}), "a").join(
         texts.withColumnsRenamed({"h": "b", "z": "zb"}), "b").select("a", "b", "za", "zb")
 
@@ -222,38 +222,81 @@ def _products(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 mine, theirs = made(zx), last[1]
                 common = len(np.intersect1d(mine, theirs, assume_unique=True))
                 total = len(mine) + len(theirs) - common
-                out.append((x, y, common, total, 100 * common >= percent * total))
+                bits = np.bitwise_or.reduce(np.uint64(1) << (np.setxor1d(mine, theirs, True) >> np.uint64(58)))
+                out.append((x, y, total - common, int(bits.view(np.int64)), 100 * common >= percent * total))
             kinds = [pa.int64()] * 4 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)],
-                ["a", "b", "common", "total", "linked"])
+                ["a", "b", "d", "m", "linked"])
 
-    return rows.mapInArrow(run, "a long, b long, common long, total long, linked boolean")
+    return rows.mapInArrow(run, "a long, b long, d long, m long, linked boolean")
+
+
+def _alone(texts: DataFrame, words: int) -> DataFrame:
+    """(h, e): how many n-grams of a set no other of these sets has, if any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, unpack = alphabet(), zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                raws = [unpack(z) for z in b.column(1).to_pylist()]
+                off = np.append(0, np.cumsum([len(r) for r in raws])).astype(np.int64)
+                value, count = sets_of(np.frombuffer(b"".join(raws), np.uint8), off, letters, words)
+                ends = np.append(0, np.cumsum(count)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], ["h", "g"])
+
+    grams = texts.mapInArrow(run, "h long, g array<long>").select("h", F.explode("g").alias("g"))
+    owners = grams.groupBy("g").agg(F.count("*").alias("k"), F.min("h").alias("h"))
+    return owners.where("k = 1").groupBy("h").agg(F.count("*").alias("e"))
 
 
 def links(docs: DataFrame, rows: DataFrame, text: str, words: int, percent: int, n_bits: int) -> DataFrame:
-    """(a, b): links between set handles that connect all that the threshold connects."""
+    """(a, b): links between set handles that connect all that the threshold connects.
+
+    Bounds before a product is formed, for sets of n n-grams of which e occur in no other set:
+    the overlap is at most n - e on either side; and if both differ from a third set, the lead,
+    by d n-grams, they have at most the least d - e of these in common, and no more than the
+    common bits of 64-bit maps allow, so that their own difference is known from below.
+    """
     shown = rows.where(F.size("sigs") > 0).select("h", "n", F.explode("sigs").alias("sig"))
-    span = shown.groupBy("sig").agg(F.min("h").alias("lead"), F.max("h").alias("last"))
-    shared = span.where("lead < last").select("sig", "lead")
-    met = cut_lineage(shown.join(shared, "sig").select("sig", "h", "n", "lead").distinct())
-    sizes = rows.groupBy("h").agg(F.max("n").alias("n"))
+    span = shown.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    shared = span.where("lo < hi").select("sig")
+    met = cut_lineage(shown.join(shared, "sig").select("sig", "h", "n").distinct())
     texts = cut_lineage(_texts(docs, text, words, _bit_filter(met.select("h").distinct(), n_bits)))
 
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    first = met.where("h != lead").select(F.col("h").alias("a"), F.col("lead").alias("b"), F.col("n").alias("na")).distinct()
-    first = first.join(sizes.withColumnsRenamed({"h": "b", "n": "nb"}), "b").where(fits).select("a", "b")
+    # sets with too many n-grams of their own link with nothing; the rest of a block row meets
+    # the one with the fewest
+    own = cut_lineage(_alone(texts, words))
+    live = met.join(own, "h", "left").withColumn("e", F.coalesce("e", F.lit(0))).where(
+        (F.col("n") - F.col("e")) * 100 >= F.col("n") * percent)
+    live = cut_lineage(live)
+    leads = live.groupBy("sig").agg(F.min(F.struct("e", "h")).alias("l"), F.count("*").alias("k"))
+    led = cut_lineage(live.join(leads.where("k > 1").select("sig", F.col("l.h").alias("lead")), "sig"))
+    first = led.where("h != lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
     tried = cut_lineage(_products(first, texts, words, percent))
     found = tried.where("linked").select("a", "b")
 
     label = connected_components(found, "a", "b").withColumnsRenamed({"node": "h", "component": "c"})
-    known = met.join(label, "h", "left").select("sig", "h", "n", F.coalesce("c", "h").alias("c"))
+    known = led.join(label, "h", "left").withColumn("c", F.coalesce("c", "h"))
     open_ = known.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    rest = cut_lineage(known.join(open_, "sig"))
-    left = rest.select("sig", F.col("h").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = rest.select("sig", F.col("h").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
-    pairs = pairs.select("a", "b").distinct()
+    apart = tried.select(F.col("a").alias("h"), F.col("b").alias("lead"), "d", "m")
+    none = F.lit(0).cast("long")
+    rest = known.join(open_, "sig").join(apart, ["h", "lead"], "left").select(
+        "sig", "h", "n", "c", "e", (F.col("n") - F.col("e")).alias("u"),
+        F.coalesce("d", none).alias("d"), F.coalesce("m", none).alias("m"))  # the lead differs by nothing
+    rest = cut_lineage(rest.withColumn("s", F.col("d") - F.least("d", "e")).withColumn("x", F.col("d") - F.bit_count("m")))
+    left, right = (rest.select("sig", *[F.col(x).alias(f"{x}{side}") for x in "hncudmsx"]) for side in "ab")
+    both = F.col("na") + F.col("nb")
+    alike = F.least("sa", "sb", F.bit_count(F.col("ma").bitwiseAND(F.col("mb"))) + F.least("xa", "xb"))
+    differ = F.col("da") + F.col("db") - 2 * alike
+    pairs = left.join(right, "sig").where(
+        (F.col("ha") < F.col("hb")) & (F.col("ca") != F.col("cb"))
+        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        & (F.least("ua", "ub") * (100 + percent) >= both * percent)
+        & (differ * (100 + percent) <= both * (100 - percent)))
+    pairs = pairs.select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut_lineage(_products(pairs.join(done, ["a", "b"], "left_anti"), texts, words, percent))
     return found.unionByName(more.where("linked").select("a", "b"))
