@@ -17,11 +17,13 @@ map in their normaliser, or of another model type, are refused.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +63,7 @@ class Pieces:
         costs = {p: -score for p, score in scores.items()}
         self.machine = MergeTransducer(self.ids, lambda pair: costs.get(pair[0] + pair[1]))
         self._cuts()
-        self.memo = Memo(self._encode_word, 300_000)
+        self.memo = Memo(self._encode_word, 250_000)
 
     def _cuts(self) -> None:
         """Where words end: a cut is safe where no piece holds the characters on both sides of it.
@@ -87,7 +89,8 @@ class Pieces:
             return (self.prefix + text).split("\x1f")
         return self.words.findall((self.prefix + text).replace(" ", BLANK))
 
-    def _encode_word(self, word: str) -> tuple[int, ...]:
+    def _encode_word(self, word: str) -> bytes:
+        """The ids of a word, four bytes each."""
         out = []
         for token in self.machine.path(word):
             i = self.ids.get(token)
@@ -97,17 +100,34 @@ class Pieces:
                 out += [self.bytes_of[b] for b in token.encode()]
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return array("i", out).tobytes()
+
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text, four bytes each."""
+        return b"".join(map(self.memo.__getitem__, self._words(text))) if text else b""
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self.memo.__getitem__, self._words(text))))
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return out[1:] if self.prefix and out.startswith(" ") else out
 
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        made = [self.packed(t) for t in texts.to_pylist()]
+        self.memo.trim()
+        ends = np.append(0, np.cumsum([len(m) // 4 for m in made])).astype(np.int32)
+        flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(made))])
+        return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pc.is_null(texts) if texts.null_count else None)
+
+    def decode_column(self, lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
+        ends = np.cumsum(sizes)
+        made = [self.decode(flat[i:j]) for i, j in zip((ends - sizes).tolist(), ends.tolist())]
+        out = pa.array(made, pa.string())
+        return pc.if_else(pc.is_valid(lists), out, pa.scalar(None, pa.string())) if lists.null_count else out
+
 
 @lru_cache(2)
 def pieces(path: str) -> Pieces:
@@ -125,30 +145,26 @@ def _mapped(df: DataFrame, source: str, out: str, kind: T.DataType, make: str, p
     """``df`` and a column ``out`` made from ``source`` by the named method, batch by batch."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
     place = df.columns.index(source)
-    arrow = pa.list_(pa.int32()) if isinstance(kind, T.ArrayType) else pa.string()
     names = [*df.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
-        work = getattr(model, make)
+        work = getattr(pieces(path), make)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                made = [None if x is None else work(x) for x in b.column(place).to_pylist()]
-                model.memo.trim()
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, arrow)], names)
+                yield pa.RecordBatch.from_arrays([*b.columns, work(b.column(place))], names)
 
     return df.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "pieces", path: str | None = None) -> DataFrame:
     """``docs`` and the ids of each whole text. Narrow work; ``path`` must be there on every worker."""
-    return _mapped(docs, text, out, T.ArrayType(T.IntegerType()), "encode", path or default_path())
+    return _mapped(docs, text, out, T.ArrayType(T.IntegerType()), "encode_column", path or default_path())
 
 
 def decode(rows: DataFrame, ids: str = "pieces", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``rows`` and the text of each array of ids."""
-    return _mapped(rows, ids, out, T.StringType(), "decode", path or default_path())
+    return _mapped(rows, ids, out, T.StringType(), "decode_column", path or default_path())
 
 
 def encoded_documents(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
