@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,10 +60,15 @@ class Pieces:
             raw = {NORMAL: p.piece.replace(BLANK, " ").encode(), CONTROL: b"", UNKNOWN: " ⁇ ".encode()}
             self.surface.append(bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else raw[p.type])
 
-        costs = {p: -score for p, score in scores.items()}
-        self.machine = MergeTransducer(self.ids, lambda pair: costs.get(pair[0] + pair[1]))
+        self.costs = {p: -score for p, score in scores.items()}
         self._cuts()
-        self.memo = Memo(self._encode_word, 250_000)
+        self.memo = Memo(self._encode_word, 120_000)
+
+    @cached_property
+    def machine(self) -> MergeTransducer:
+        """The piece transducer, made when the first word is encoded."""
+        costs = self.costs
+        return MergeTransducer(self.ids, lambda pair: costs.get(pair[0] + pair[1]), 150_000)
 
     def _cuts(self) -> None:
         """Where words end: a cut is safe where no piece holds the characters on both sides of it.
