@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,16 @@ def same_key(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column
         term = left[f"`{a}`"].eqNullSafe(right[f"`{b}`"])
         cond = term if cond is None else cond & term
     return cond
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``: smaller there than a checkpoint."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = "/tmp/gleaner-checkpoints"
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.frames import cols, fresh, text_of
+from gleaner.llm.frames import cols, fresh, text_of, written
 from gleaner.llm.wordhash import BASE, Alphabet, blocks, buffers, mix, shingles
 from gleaner.operators.graph import connected_components
 from gleaner.plans.scale import cut_lineage
 
 BLANKS = frozenset((0x20, *range(0x09, 0x0E)))
+SIG_BITS = 1 << 24  # of the filter over shared block rows
 SPARE = 3  # block rows beyond the possible differences, so that empty ones need not count
 GROWTH = 1.5
 
@@ -174,6 +175,25 @@ def _bit_filter(handles_: DataFrame, n_bits: int) -> np.ndarray:
     return out
 
 
+def _passing(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(h, sig): the signatures that pass a filter of fixed size over those that sets share."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    n_bits = len(bits) * 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(shared.value.view(np.uint8), bitorder="little")
+        for b in batches:
+            lists = b.column(1)
+            sig = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            of = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            low, high = sig & np.uint64(n_bits - 1), (sig >> np.uint64(32)) & np.uint64(n_bits - 1)
+            use = (table[low.astype(np.intp)] & table[high.astype(np.intp)]) > 0
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(of[use])), pa.array(sig[use].view(np.int64))], ["h", "sig"])
+
+    return rows.where(F.size("sigs") > 0).select("h", "sigs").mapInArrow(run, "h long, sig long")
+
+
 def _texts(docs: DataFrame, text: str, words: int, bits: np.ndarray) -> DataFrame:
     """(h, z): packed text of one document per set whose handle passes the filter."""
     slim = docs.select(text_of(text).alias("text"))
@@ -260,10 +280,11 @@ def links(docs: DataFrame, rows: DataFrame, text: str, words: int, percent: int,
     by d n-grams, they have at most the least d - e of these in common, and no more than the
     common bits of 64-bit maps allow, so that their own difference is known from below.
     """
-    shown = rows.where(F.size("sigs") > 0).select("h", "n", F.explode("sigs").alias("sig"))
+    shown = rows.where(F.size("sigs") > 0).select("h", F.explode("sigs").alias("sig"))
     span = shown.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     shared = span.where("lo < hi").select("sig")
-    met = cut_lineage(shown.join(shared, "sig").select("sig", "h", "n").distinct())
+    likely = _passing(rows, _bit_filter(shared.select(F.col("sig").alias("h")), SIG_BITS))
+    met = written(likely.join(shared, "sig").distinct().join(rows.groupBy("h").agg(F.max("n").alias("n")), "h"))
     texts = cut_lineage(_texts(docs, text, words, _bit_filter(met.select("h").distinct(), n_bits)))
 
     # sets with too many n-grams of their own link with nothing; the rest of a block row meets
@@ -271,9 +292,9 @@ def links(docs: DataFrame, rows: DataFrame, text: str, words: int, percent: int,
     own = cut_lineage(_alone(texts, words))
     live = met.join(own, "h", "left").withColumn("e", F.coalesce("e", F.lit(0))).where(
         (F.col("n") - F.col("e")) * 100 >= F.col("n") * percent)
-    live = cut_lineage(live)
+    live = written(live)
     leads = live.groupBy("sig").agg(F.min(F.struct("e", "h")).alias("l"), F.count("*").alias("k"))
-    led = cut_lineage(live.join(leads.where("k > 1").select("sig", F.col("l.h").alias("lead")), "sig"))
+    led = written(live.join(leads.where("k > 1").select("sig", F.col("l.h").alias("lead")), "sig"))
     first = led.where("h != lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
     tried = cut_lineage(_products(first, texts, words, percent))
     found = tried.where("linked").select("a", "b")
