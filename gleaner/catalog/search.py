@@ -13,7 +13,7 @@ TOK = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x:
  AND NOT list_contains(w,'token')""")
 def _(t):
     return B.boolean_search(
-        t.documents, "text", ["the"], ["from", "this", "were", "ining"], ["token"],
+        t.documents, "text", ["The"], ["from", "this", "were", "Ining"], ["token"],
         [F.col("lang") == "en", F.col("n_chars") > 200],
     ).select("doc_id", "lang", "source", "n_chars")
 
@@ -36,7 +36,7 @@ def _(t):
  p AS (SELECT doc_id, w, unnest(generate_series(1, len(w)-1)) AS pos FROM d)
  SELECT doc_id, pos AS "at" FROM p WHERE w[pos]='of' AND w[pos+1]='the'""")
 def _(t):
-    return B.phrase_search(t.documents, ["doc_id"], "text", "of the")
+    return B.phrase_search(t.documents, ["doc_id"], "text", "Of-the")
 
 
 @query("b03_phrase_in_dialogue", rf"""WITH d AS (SELECT conv_id, turn, {TOK} AS w FROM conversations),

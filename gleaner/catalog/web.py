@@ -34,7 +34,7 @@ def _(t):
  SELECT host, suffix, concat(regexp_extract(head,'[^.]+$'),'.',suffix) AS domain,
  left(head, greatest(length(head)-length(regexp_extract(head,'[^.]+$'))-1,0)) AS subdomain FROM r""")
 def _(t):
-    suffixes = t.spark.createDataFrame([("com",), ("net",), ("org",), ("example.org",)], "suffix string")
+    suffixes = t.spark.createDataFrame([("com",), ("org",), ("example.org",)], "suffix string")  # net by the default rule
     return D.registered_domain(t.pages.select(U.host_of(F.col("url")).alias("host")), "host", suffixes)
 
 
@@ -51,15 +51,23 @@ def _(t):
     return D.registrations_per_tld_day(d, "host", "tld", "day")
 
 
-LINKS = rf"""l AS (SELECT page_id, url AS page_url, i-1 AS "at", {SCHEME_HOST} AS base, h[i] AS href, a[i] AS anchor FROM (
+LINKS = rf"""l AS (SELECT page_id, url AS page_url, i-1 AS "at", {SCHEME_HOST} AS base, trim(h[i],'"''') AS href, a[i] AS anchor FROM (
  SELECT *, unnest(generate_series(1,len(h))) AS i FROM (SELECT page_id, url, regexp_extract_all(html,{lit(U.LINK)},1) AS h,
  regexp_extract_all(html,{lit(U.LINK)},2) AS a FROM pages)))"""
 
 
-@query("d05_extract_links", f"""WITH {LINKS} SELECT page_id, "at", page_url,
- CASE WHEN starts_with(href,'/') THEN concat(base,href) ELSE href END AS target, anchor FROM l""")
+MORE_LINKS = """<a class='x' href='//cdn.example.org/q'>cdn</a><a href=up.html>up</a><img alt="i" src="pic.png">"""
+
+
+@query("d05_extract_links", rf"""WITH {LINKS}, m AS (SELECT page_id, url AS page_url, len(regexp_extract_all(html,{lit(U.LINK)},1)) AS n,
+ regexp_extract(url,'^(https?:)',1) AS scheme, regexp_extract(url,'^(https?://[^/?#]+/(?:[^?#]*/)?)',1) AS folder FROM pages)
+ SELECT page_id, "at", page_url, CASE WHEN starts_with(href,'/') THEN concat(base,href) ELSE href END AS target, anchor, 'link' AS kind FROM l
+ UNION ALL SELECT page_id, n, page_url, concat(scheme,'//cdn.example.org/q'), 'cdn', 'link' FROM m
+ UNION ALL SELECT page_id, n+1, page_url, concat(folder,'up.html'), 'up', 'link' FROM m
+ UNION ALL SELECT page_id, n+2, page_url, concat(folder,'pic.png'), '', 'image' FROM m""")
 def _(t):
-    return D.extract_links(t.pages, "page_id", "url", "html")
+    pages = t.pages.withColumn("html", F.concat("html", F.lit(MORE_LINKS)))
+    return D.extract_links(pages, "page_id", "url", "html")
 
 
 @query("d06_backlink_counts", f"""WITH {LINKS} SELECT href AS target, count(distinct page_id) AS pages,
@@ -273,12 +281,14 @@ def _(t):
 
 ROBOTS = """SELECT concat('host',cast(page_id%9 as varchar(9))) AS host, page_id AS line_no, CASE page_id%4
  WHEN 0 THEN concat('User-agent: bot',cast(page_id%3 as varchar(9))) WHEN 1 THEN concat('Disallow: /p',cast(page_id as varchar(9)))
- WHEN 2 THEN 'Allow: /open' ELSE '# note' END AS line FROM pages"""
+ WHEN 2 THEN 'Allow: /open # note' ELSE CASE WHEN page_id%5=0 THEN '# note' ELSE 'User-agent: both' END END AS line FROM pages"""
 
 
-@query("d25_robots_rules", f"""WITH r AS (SELECT *, lower(trim(string_split(line,':')[1])) AS rule, trim(string_split(line,':')[2]) AS path FROM ({ROBOTS})),
- a AS (SELECT *, last_value(CASE WHEN rule='user-agent' THEN path END IGNORE NULLS) OVER (PARTITION BY host ORDER BY line_no) AS agent FROM r)
- SELECT host, agent, rule, path FROM a WHERE rule IN ('allow','disallow') AND agent IS NOT NULL""")
+@query("d25_robots_rules", f"""WITH p AS (SELECT host, line_no, string_split(line,'#')[1] AS line FROM ({ROBOTS})),
+ r AS (SELECT host, line_no, lower(trim(string_split(line,':')[1])) AS rule, trim(string_split(line,':')[2]) AS path FROM p WHERE contains(line,':')),
+ b AS (SELECT *, CASE WHEN rule='user-agent' AND coalesce(lag(rule) OVER (PARTITION BY host ORDER BY line_no),'')<>'user-agent' THEN 1 ELSE 0 END AS st FROM r),
+ g AS (SELECT *, sum(st) OVER (PARTITION BY host ORDER BY line_no) AS grp FROM b)
+ SELECT x.host, y.path AS agent, x.rule, x.path FROM g x JOIN g y ON x.host=y.host AND x.grp=y.grp AND x.rule<>'user-agent' AND y.rule='user-agent'""")
 def _(t):
     return D.robots_rules(t.sql(ROBOTS), "host", "line_no", "line")
 

@@ -15,7 +15,7 @@ PII = {"email": EMAIL, "phone": PHONE, "card": CARD, "ip": IPV4}
 URL = r"https?://[^\s\"'<>]+"
 SECRET = r"(?i)(?:token|secret|api_key|password)[ ]*[=:][ ]*\"?([A-Za-z0-9_-]{16,})"
 ISO_DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
-MONEY = r"[$€£][0-9]+(?:\.[0-9]{2})?"
+MONEY = r"[$€£](?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]{2})?"
 TIMECODE = r"\b(?:[0-9]{1,2}:)?[0-5]?[0-9]:[0-5][0-9]\b"
 ENTITIES = {
     "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">",

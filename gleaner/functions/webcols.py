@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Parameters that only track, and look-alike letters.
 TRACKING = r"([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 LOOKALIKE = ("013457$@", "oleastsa")
-LINK = r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+LINK = r"(?is)<a\s(?:[^>]*\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)[^>]*>(.*?)</a>"
+IMAGE = r"(?is)<img\s(?:[^>]*\s)?src\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)[^>]*>"
 SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
 
 
@@ -26,6 +27,27 @@ def canonical_url(url: Column) -> Column:
     return F.regexp_replace(c, r"/+$", "")
 
 
+def resolve_url(page: Column, href: Column) -> Column:
+    """Target of a link on ``page``: absolute, or relative to its scheme, host, address or folder."""
+    origin = F.regexp_extract(page, r"^(https?://[^/?#]+)", 1)
+    folder = F.regexp_extract(page, r"^https?://[^/?#]+/((?:[^?#]*/)?)", 1)
+    path = F.regexp_extract(href, r"^([^?#]*)", 1)
+    whole = F.regexp_replace(F.concat(folder, path), r"(^|/)(\.\.?)$", "$1$2/")
+    steps = F.aggregate(
+        F.split(whole, "/"), F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(s == ".", acc).otherwise(F.array_append(acc, s)),
+    )
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(page, r"^(https?:)", 1), href))
+        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("?"), F.concat(F.regexp_extract(page, r"^([^?#]*)", 1), href))
+        .when(href.startswith("#") | (href == ""), F.concat(F.regexp_extract(page, r"^([^#]*)", 1), href))
+        .otherwise(F.concat(origin, F.lit("/"), F.array_join(steps, "/"), F.substr(href, F.length(path) + 1)))
+    )
+
+
 def host_suffixes(host: Column) -> Column:
     """The host and every parent domain, longest first."""
     labels = F.split(host, r"\.")

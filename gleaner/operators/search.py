@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,19 +25,31 @@ def boolean_search(
 
     ``fields`` are plain column tests; they come first so that they reach the scan.
     """
-    must, any_of, must_not = ([w.lower() for w in words or ()] for words in (must, any_of, must_not))
     for test in fields:
         df = df.where(test)
     rows = pin(df, df.columns, _w=tokens(F.col(text)))
     for term in must:
-        rows = rows.where(F.array_contains("_w", term))
+        rows = rows.where(_holds(term))
     if any_of:
-        rows = rows.where(F.arrays_overlap("_w", F.array(*[F.lit(x) for x in any_of])))
+        rows = rows.where(reduce(lambda x, y: x | y, [_holds(x) for x in any_of]))
     for term in must_not:
-        rows = rows.where(~F.array_contains("_w", term))
+        rows = rows.where(~_holds(term))
     return rows.drop("_w")
 
 
+def asked(term: str) -> list[str]:
+    """The words of an asked term, folded and cut as ``tokens`` does with texts."""
+    return re.findall(r"[^\W_]+", term.lower())
+
+
+def _holds(term: str) -> Column:
+    """Whether the words in ``_w`` hold those of ``term`` in a row; a term without words is held by none."""
+    words = asked(term)
+    if len(words) < 2:
+        return F.array_contains("_w", words[0] if words else "")
+    return F.contains(F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")), F.lit(f" {' '.join(words)} "))
+
+
 def _is(term: str):
     return lambda w: w == term
 
@@ -44,8 +57,9 @@ def _is(term: str):
 def ranked_search(
     df: DataFrame, key: str, text: str, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
-    """BM25 top ``k``. Term counts are taken within each row, so no token leaves its row."""
-    tf = {f"tf{i}": F.size(F.filter("_w", _is(q))) for i, q in enumerate(terms)}
+    """BM25 top ``k`` by the words of ``terms``. They are counted within each row, so no token leaves its row."""
+    terms = [w for term in terms for w in asked(term)]
+    tf ={f"tf{i}": F.size(F.filter("_w", _is(q))) for i, q in enumerate(terms)}
     counted = pin(pin(df, [key], _w=tokens(F.col(text))), [key], dl=F.size("_w"), **tf)
     stat = counted.agg(
         F.struct(
@@ -60,14 +74,14 @@ def ranked_search(
         idf = F.log(1 + (stat["n"] - d + 0.5) / (d + 0.5))
         norm = tf + k1 * (1 - b + b * F.col("dl") / stat["avgdl"])
         score = score + idf * tf * (k1 + 1) / norm
-    hit = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
+    hit = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))], F.lit(False))
     scored = counted.where(hit).select(key, score.alias("score"))
     return scored.orderBy(F.desc(F.round("score", 6)), F.asc(key)).limit(k)
 
 
 def phrase_search(df: DataFrame, keys: list[str], text: str, phrase: str) -> DataFrame:
     """Every place (token number from 1) at which the exact phrase starts."""
-    want = phrase.lower().split()
+    want = asked(phrase) or [""]  # a phrase without words is found nowhere
     target = F.array(*[F.lit(w) for w in want])
     found = pin(df, keys, _w=tokens(F.col(text))).where(
         F.array_contains("_w", want[0]) & (F.size("_w") >= len(want))

@@ -12,7 +12,6 @@ from gleaner.operators.stats import latest, session_measures, sessionise
 from gleaner.plans.forest import ancestor_rows, resolve_parents
 from gleaner.plans.scale import (
     as_of_join,
-    carry_forward_within,
     lag_within,
     running_sum_within,
     small_side,
@@ -34,13 +33,27 @@ def canonicalise_url(df: DataFrame, key: str, url: str) -> DataFrame:
 
 
 def registered_domain(hosts: DataFrame, host: str, suffixes: DataFrame) -> DataFrame:
-    """Split hosts into subdomain, domain and public suffix (longest entry of ``suffixes``)."""
-    tails = hosts.select(host).distinct().select(host, F.explode(U.host_suffixes(F.col(host))).alias("suffix"))
-    best = (
-        tails.join(suffixes, "suffix")
+    """Split hosts into subdomain, domain and public suffix.
+
+    The longest rule of ``suffixes`` counts: a suffix, ``*.suffix`` for any label before
+    one, or ``!name`` for an exception to such a rule. Hosts that no rule covers take
+    their last label.
+    """
+    kinds = hosts.select(host).where(F.col(host).isNotNull()).distinct()
+    tails = kinds.select(host, F.explode(U.host_suffixes(F.col(host))).alias("_tail"))
+    parent = F.regexp_extract("_tail", r"^[^.]*\.(.*)$", 1)
+    tail = F.col("_tail")
+    forms = ((tail, tail, 0), (F.concat(F.lit("*."), parent), tail, 0), (F.concat(F.lit("!"), tail), parent, 1))
+    asked = tails.select(host, F.inline(F.array(*[
+        F.struct(rule.alias("rule"), suffix.alias("suffix"), F.lit(exception).alias("_exception"))
+        for rule, suffix, exception in forms])))
+    ruled = (
+        asked.join(suffixes.select(F.col("suffix").alias("rule")).distinct(), "rule")
         .groupBy(host)
-        .agg(F.max_by("suffix", F.length("suffix")).alias("suffix"))
+        .agg(F.max_by("suffix", F.struct("_exception", F.length("suffix"))).alias("suffix"))
     )
+    best = kinds.join(ruled, host, "left").select(
+        host, F.coalesce("suffix", F.substring_index(host, ".", -1)).alias("suffix"))
     head = F.when(
         F.length(host) > F.length("suffix"),
         F.substr(F.col(host), F.lit(1), F.length(host) - F.length("suffix") - 1),
@@ -65,16 +78,20 @@ def registrations_per_tld_day(df: DataFrame, domain: str, tld: str, day: str) ->
 
 
 def extract_links(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Link targets with anchor text; root-relative targets are resolved on the page URL."""
+    """Links with anchor text, then images (``kind``), with targets resolved on the page URL."""
     links = F.arrays_zip(
         F.regexp_extract_all(html, F.lit(U.LINK), F.lit(1)).alias("href"),
         F.regexp_extract_all(html, F.lit(U.LINK), F.lit(2)).alias("anchor"),
     )
-    rows = each_at(df, [key, url], links, "at", "_l")
-    base = F.regexp_extract(url, r"^(https?://[^/]+)", 1)
-    href = F.col("_l.href")
-    target = F.when(href.startswith("/"), F.concat(base, href)).otherwise(href)
-    return rows.select(key, "at", F.col(url).alias("page_url"), target.alias("target"), F.col("_l.anchor").alias("anchor"))
+    images = F.regexp_extract_all(html, F.lit(U.IMAGE), F.lit(1))
+    found = F.concat(
+        F.transform(links, lambda x: F.struct(x["href"].alias("href"), x["anchor"].alias("anchor"), F.lit("link").alias("kind"))),
+        F.transform(images, lambda x: F.struct(x.alias("href"), F.lit("").alias("anchor"), F.lit("image").alias("kind"))),
+    )
+    rows = each_at(df, [key, url], found, "at", "_l")
+    target = U.resolve_url(F.col(url), F.btrim("_l.href", F.lit("\"'")))
+    return rows.select(key, "at", F.col(url).alias("page_url"), target.alias("target"),
+                       F.col("_l.anchor").alias("anchor"), F.col("_l.kind").alias("kind"))
 
 
 def backlink_counts(links: DataFrame, target: str, page: str, host: str) -> DataFrame:
@@ -294,14 +311,23 @@ def ip_geo_counts(ips: DataFrame, ip: str, nets: DataFrame, lo: str, hi: str, pl
 
 
 def robots_rules(lines: DataFrame, host: str, no: str, line: str) -> DataFrame:
-    """Allowed and disallowed paths per agent from stored robots lines."""
-    kind = F.lower(F.trim(F.substring_index(line, ":", 1)))
-    value = F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
-    parsed = lines.select(host, no, kind.alias("kind"), value.alias("value")).withColumn(
-        "_agent", F.when(F.col("kind") == "user-agent", F.col("value")))
-    run = carry_forward_within(parsed, [host], [no], "_agent", "agent", F.floor(F.col(no) / 1000))
-    return run.where(F.col("kind").isin("allow", "disallow") & F.col("agent").isNotNull()).select(
-        host, "agent", F.col("kind").alias("rule"), F.col("value").alias("path"))
+    """Allowed and disallowed paths per agent from stored robots lines.
+
+    Agent lines in a row share the rules that follow; what comes after ``#`` is no part of a line.
+    """
+    plain = F.regexp_replace(line, r"#.*$", "")
+    kind = F.lower(F.trim(F.substring_index(plain, ":", 1)))
+    value = F.trim(F.regexp_extract(plain, r"^[^:]*:(.*)$", 1))
+    parsed = lines.select(host, no, kind.alias("kind"), value.alias("value")).where(
+        F.col("kind").isin("user-agent", "allow", "disallow"))
+    chunk = F.floor(F.col(no) / 1000)
+    seq = lag_within(parsed, [host], [no], ["kind"], chunk)
+    is_agent = F.col("kind") == "user-agent"
+    starts = F.when(is_agent & ~F.col("prev_kind").eqNullSafe("user-agent"), 1).otherwise(0)
+    run = running_sum_within(seq, [host], [no], starts, "_group", chunk)
+    agents = run.where(is_agent).select(host, "_group", F.col("value").alias("agent"))
+    rules = run.where(~is_agent).select(host, "_group", F.col("kind").alias("rule"), F.col("value").alias("path"))
+    return rules.join(agents, [host, "_group"]).select(host, "agent", "rule", "path")
 
 
 def cookie_attributes(df: DataFrame, group: str, header: str, long_age: int) -> DataFrame:

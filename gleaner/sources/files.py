@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BAD_ROW = "_bad_row"
+BREAKS = (("\\e", "\\"), ("\\n", "\n"), ("\\r", "\r"))  # in this order when written
 
 
 def _with_bad_row(schema: str) -> str:
     return f"{schema}, {BAD_ROW} string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """Exported CSV or TAB table with header; rows that do not fit land in ``_bad_row``."""
-    return spark.read.schema(_with_bad_row(schema)).csv(
+def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", escaped: bool = False,
+             multi_line: bool = False) -> DataFrame:
+    """Exported CSV or TAB table with header; rows that do not fit land in ``_bad_row``.
+
+    ``escaped`` undoes the line break marks of ``sinks.write_csv``. ``multi_line`` reads quoted
+    cells with line breaks from other tools; such files are not split, so one task reads each.
+    """
+    rows = spark.read.schema(_with_bad_row(schema)).csv(
         path, header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW,
-        enforceSchema=True, escape='"')
+        enforceSchema=True, escape='"', multiLine=multi_line)
+    if not escaped:
+        return rows
+    texts = {n for n, kind in rows.dtypes if kind == "string" and n != BAD_ROW}
+    return rows.select(*[unescape_breaks(F.col(n)).alias(n) if n in texts else F.col(n) for n in rows.columns])
+
+
+def unescape_breaks(cell: Column) -> Column:
+    """The cell before ``escape_breaks``."""
+    for mark, plain in reversed(BREAKS):
+        cell = F.replace(cell, F.lit(mark), F.lit(plain))
+    return cell
+
+
+def escape_breaks(cell: Column) -> Column:
+    r"""The cell on one line: backslash, line end and carriage return as ``\e``, ``\n`` and ``\r``."""
+    for mark, plain in BREAKS:
+        cell = F.replace(cell, F.lit(plain), F.lit(mark))
+    return cell
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.sources.files import escape_breaks
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder of the session."""
@@ -35,8 +36,11 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """Flat export with header."""
-    flatten(df).write.csv(path, header=True, sep=sep, escape='"', mode="overwrite")
+    """Flat export with header; line breaks are marked so that every row stays on one line."""
+    flat = flatten(df)
+    lines = flat.select(*[escape_breaks(F.col(n)).alias(n) if kind == "string" else F.col(n) for n, kind in flat.dtypes])
+    lines.write.csv(path, header=True, sep=sep, escape='"', mode="overwrite",
+                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str) -> None:

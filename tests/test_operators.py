@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import geocols, textcols, webcols
 from gleaner.operators import geo, graph, registers, search, stats, text, vectors, web
+from gleaner.sources import files, sinks
 
 HERE = "/root/testdata/sf0.001"
 
@@ -232,6 +233,59 @@ def test_top_k_per_group_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in p
 
 
+def test_asked_terms_are_folded_and_cut(spark):
+    df = spark.createDataFrame([(1, "A State of the Art fox"), (2, "the state, art")], "id long, t string")
+    assert [r["id"] for r in search.boolean_search(df, "t", ["Fox", "state-of-the-art"]).collect()] == [1]
+    assert [r["id"] for r in search.boolean_search(df, "t", ["state"], [], ["Of the"]).collect()] == [2]
+    assert search.boolean_search(df, "t", ["--"]).count() == 0
+    assert [(r["id"], r["at"]) for r in search.phrase_search(df, ["id"], "t", "State-of").collect()] == [(1, 2)]
+    assert [r["id"] for r in search.ranked_search(df, "id", "t", ["FOX"], 5).collect()] == [1]
+
+
+def test_links_in_all_forms(spark):
+    html = """<a href="/r">r</a><A HREF='//cdn.b.org/q'>q</A><a class=x href=z.html>z</a><a href="../up/./d?x=../1#k">u</a>
+    <a href="?p=2">p</a><a href="#s">s</a><a href="mailto:x@y.org">m</a><a data-href="no" href="https://c.org/">c</a><img src='i.png'>"""
+    df = spark.createDataFrame([(1, "https://a.org/x/y/page?n=1#t", html)], "id long, u string, h string")
+    got = [(r["target"], r["kind"]) for r in web.extract_links(df, "id", "u", "h").orderBy("at").collect()]
+    assert got == [
+        ("https://a.org/r", "link"), ("https://cdn.b.org/q", "link"), ("https://a.org/x/y/z.html", "link"),
+        ("https://a.org/x/up/d?x=../1#k", "link"), ("https://a.org/x/y/page?p=2", "link"),
+        ("https://a.org/x/y/page?n=1#s", "link"), ("mailto:x@y.org", "link"), ("https://c.org/", "link"),
+        ("https://a.org/x/y/i.png", "image")]
+
+
+def test_suffix_rules(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.shop.ck",), ("y.www.ck",), ("z.q.dev",), ("dev",), (None,)], "h string")
+    rules = spark.createDataFrame([("uk",), ("co.uk",), ("*.ck",), ("!www.ck",)], "suffix string")
+    got = {r["h"]: (r["suffix"], r["domain"]) for r in web.registered_domain(hosts, "h", rules).collect()}
+    assert got == {"a.b.co.uk": ("co.uk", "b.co.uk"), "x.shop.ck": ("shop.ck", "x.shop.ck"), "y.www.ck": ("ck", "www.ck"),
+                   "z.q.dev": ("dev", "q.dev"), "dev": ("dev", "dev")}
+
+
+def test_robots_agents_in_a_row_share_rules(spark):
+    lines = ["Disallow: /early", "User-agent: a", "# between", "user-agent: b # two", "Disallow: /x # note", "Allow: /y", "User-agent: c", "Disallow:"]
+    df = spark.createDataFrame([("h", i, x) for i, x in enumerate(lines)], "h string, n long, l string")
+    got = sorted((r["agent"], r["rule"], r["path"]) for r in web.robots_rules(df, "h", "n", "l").collect())
+    assert got == [("a", "allow", "/y"), ("a", "disallow", "/x"), ("b", "allow", "/y"), ("b", "disallow", "/x"), ("c", "disallow", "")]
+
+
+def test_amounts_with_separators(spark):
+    df = spark.createDataFrame([(1, "for $1,234.56 or €99 and £1234, since 2024-02-30 or 2024-02-29")], "id long, t string")
+    got = text.extract_dates_prices(df, "id", "t").collect()
+    assert sorted((r["currency"], float(r["amount"])) for r in got if r["kind"] == "price") == [("$", 1234.56), ("£", 1234.0), ("€", 99.0)]
+    assert [str(r["on_date"]) for r in got if r["kind"] == "date"] == ["2024-02-29"]
+
+
+def test_cells_with_line_breaks_come_back(spark, tmp_path):
+    cells = ["a\nb", "c:\\new\r\n", ' "q", \\e ', "plain", "\\\n\\n"]
+    sinks.write_csv(spark.createDataFrame(list(enumerate(cells)), "id long, t string"), str(tmp_path / "a"))
+    back = files.read_csv(spark, str(tmp_path / "a"), "id long, t string", escaped=True)
+    assert {r["id"]: r["t"] for r in back.collect()} == dict(enumerate(cells))
+    (tmp_path / "b.csv").write_text('id,t\n1,"two\nlines"\n2,one\n')
+    rows = files.read_csv(spark, str(tmp_path / "b.csv"), "id long, t string", multi_line=True).collect()
+    assert [(r["id"], r["t"]) for r in rows] == [(1, "two\nlines"), (2, "one")]
+
+
 def test_boolean_search_with_nulls(spark):
     df = spark.createDataFrame([(1, "Red fox, blue sky"), (2, None), (3, "red-blue"), (4, "blue")], "id long, t string")
     assert [r["id"] for r in search.boolean_search(df, "t", ["blue"], ["red", "fox"], ["sky"]).collect()] == [3]
