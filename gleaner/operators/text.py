@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import textcols as X
 from gleaner.functions.rows import each, each_at, pin
 from gleaner.plans.leaders import follow_leaders
-from gleaner.plans.scale import cut_lineage, small_side, spread, top_k_per_group
+from gleaner.plans.scale import cut_lineage, spread, top_k_per_group
 
 
 def detect_pii(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -221,20 +221,19 @@ def minhash_bands(bands: int, rows: int, seed: int = 13):
     plus = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
     fold = rng.integers(1, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     number = np.arange(bands, dtype=np.uint64)
-    block = 1 << 14
-
-    def signature(shingles: np.ndarray) -> np.ndarray:
-        s = shingles.astype(np.int64).view(np.uint64)
-        least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for at in range(0, len(s), block):
-            part = s[at : at + block, None] * mult + plus
-            np.minimum(least, part.min(axis=0), out=least)
-        keys = (least.reshape(bands, rows) * fold).sum(axis=1, dtype=np.uint64)
-        return (keys * np.uint64(bands) + number).view(np.int64)
 
     @F.pandas_udf("array<bigint>")
     def buckets(column: pd.Series) -> pd.Series:
-        return column.map(signature)
+        sizes = column.str.len().fillna(0).to_numpy().astype(np.int64)
+        least = np.full((bands * rows, len(column)), np.iinfo(np.uint64).max, dtype=np.uint64)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            s = np.concatenate(column.to_numpy()[some]).astype(np.int64).view(np.uint64)
+            starts = (np.cumsum(sizes) - sizes)[some]
+            for j in range(bands * rows):  # one pass over the whole batch per hash function
+                least[j, some] = np.minimum.reduceat(s * mult[j] + plus[j], starts)
+        keys = (least.T.reshape(len(column), bands, rows) * fold).sum(axis=2, dtype=np.uint64)
+        return pd.Series(list((keys * np.uint64(bands) + number).view(np.int64)))
 
     return buckets
 
@@ -285,14 +284,21 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
 def passage_reuse(
     df: DataFrame, key: str, text: str, protected: DataFrame, protected_text: str, n: int
 ) -> DataFrame:
-    """Share of each row's word n-grams that come from protected texts."""
+    """Share of each row's word n-grams that come from protected texts.
+
+    N-grams travel as 128 bits (two 64-bit hashes), not as strings.
+    """
+    def grams() -> Column:
+        return F.transform(X.ngrams(F.col("_w"), n), lambda g: F.struct(
+            F.xxhash64(g).alias("a"), F.xxhash64(g, F.lit(1)).alias("b")))
+
     listed = pin(protected, [], _w=X.tokens(F.col(protected_text)))
-    known = each(listed, [], X.ngrams(F.col("_w"), n), "gram").distinct()
+    known = each(listed, [], grams(), "gram").distinct()
     words = pin(df, [key], _w=X.tokens(F.col(text)))
     totals = words.select(key, (F.size("_w") - (n - 1)).alias("grams")).where("grams > 0")
     hits = (
-        each(words, [key], X.ngrams(F.col("_w"), n), "gram")
-        .join(small_side(known), "gram", "left_semi")
+        each(words, [key], grams(), "gram")
+        .join(known, "gram", "left_semi")
         .groupBy(key)
         .agg(F.count("*").alias("reused"))
     )
@@ -308,14 +314,17 @@ def tag_clauses(df: DataFrame, key: str, text: str, rules: dict[str, str]) -> Da
 
 
 def cluster_texts(df: DataFrame, key: str, text: str, k: int, seed: int = 7) -> DataFrame:
-    """Group texts on one subject: hashed TF-IDF and seeded k-means."""
+    """Group texts on one subject: hashed TF-IDF and seeded k-means.
+
+    Iterates until no centre moves by more than 1e-4; ``maxIter`` only ends runs that circle.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, HashingTF
 
     words = df.select(key, X.tokens(F.col(text)).alias("words"))
-    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 10).transform(words)
+    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 18).transform(words)
     tfidf = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
-    model = KMeans(k=k, seed=seed, maxIter=10, initMode="random").fit(tfidf.select("features"))
+    model = KMeans(k=k, seed=seed, maxIter=1000, tol=1e-4, initMode="k-means||").fit(tfidf.select("features"))
     return model.transform(tfidf).select(key, F.col("prediction").alias("cluster"))
 
 

@@ -14,7 +14,6 @@ from gleaner.plans.scale import (
     as_of_join,
     lag_within,
     running_sum_within,
-    small_side,
     value_ranks,
 )
 
@@ -232,7 +231,7 @@ def lookalike_domains(hosts: DataFrame, host: str, brands: DataFrame, brand: str
 def blocklist_match(df: DataFrame, key: str, host: str, feed: DataFrame, entry: str) -> DataFrame:
     """Rows whose host or a parent domain of it is on the feed."""
     tails = each(df, [key, host], U.host_suffixes(F.col(host)), entry)
-    return tails.join(small_side(feed.select(entry)), entry, "left_semi").select(key, host).distinct()
+    return tails.join(feed.select(entry), entry, "left_semi").select(key, host).distinct()
 
 
 def page_fingerprint(df: DataFrame, key: str, content: Column) -> DataFrame:

@@ -39,15 +39,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """``df`` written out once and broadcast if it has at most ``most`` rows.
-
-    Beyond that it is returned as it is and the join shuffles both sides.
-    """
-    kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= most else kept
-
-
 def _chunk_keys(keys: list[str]) -> list[str]:
     return [*keys, "_chunk"]
 
@@ -205,8 +196,9 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per (keys, value): ``n`` rows hold it, ``before`` are smaller,
     ``distinct_before`` smaller values exist, and the key has ``total`` rows.
 
-    Equal values are counted before anything moves, values are range-partitioned,
-    and only one total per (key, partition) is added up across partitions.
+    Equal values are counted before anything moves, (keys, value) is range-partitioned,
+    so that a value all keys share is spread as well, and only one total per
+    (key, partition) is added up across partitions. Runs a job while the plan is built.
     """
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
@@ -214,7 +206,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     # Sampled range bounds may differ between runs, so the partition id is fixed
     # by writing it out once.
     placed = cut_lineage(
-        counts.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id())
+        counts.repartitionByRange(*[F.col(c) for c in [*keys, value]]).withColumn("_part", F.spark_partition_id())
     )
     per_part = placed.groupBy(*keys, "_part").agg(
         F.sum("n").alias("_n"), F.count("*").alias("_d")
