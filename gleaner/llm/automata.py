@@ -126,8 +126,8 @@ class MergeTransducer:
 class Memo(dict):
     """Results by word, made by ``make`` when missing.
 
-    ``trim`` bounds it between batches: a full table becomes the old generation, from
-    which words in use come back.
+    ``trim`` bounds it between texts or batches: a full table becomes the old generation,
+    from which words in use come back.
     """
 
     def __init__(self, make: Callable[[str], object], most: int = 200_000):
@@ -141,5 +141,6 @@ class Memo(dict):
 
     def trim(self) -> None:
         if len(self) > self.most:
+            self.old = {}  # freed before the copy is made
             self.old = dict(self)
             self.clear()

@@ -109,7 +109,10 @@ class Pieces:
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a text, four bytes each."""
-        return b"".join(map(self.memo.__getitem__, self._words(text))) if text else b""
+        if not text:
+            return b""
+        self.memo.trim()
+        return b"".join(map(self.memo.__getitem__, self._words(text)))
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.packed(text)).tolist()
@@ -120,7 +123,6 @@ class Pieces:
 
     def encode_column(self, texts: pa.Array) -> pa.Array:
         made = [self.packed(t) for t in texts.to_pylist()]
-        self.memo.trim()
         ends = np.append(0, np.cumsum([len(m) // 4 for m in made])).astype(np.int32)
         flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(made))])
         return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pc.is_null(texts) if texts.null_count else None)
