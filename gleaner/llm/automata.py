@@ -42,10 +42,10 @@ class MergeTransducer:
     suffix, then the last token and then the relative weight at each place of it.
     """
 
-    def __init__(self, tokens, rank: Callable[[tuple], object], most_states: int = 250_000):
+    def __init__(self, tokens, rank: Callable[[tuple], object], most_states: int = 250_000, most_pairs: int = 250_000):
         self.tokens = set(tokens)
         self.prefixes = {t[:k] for t in self.tokens for k in range(len(t) + 1)}
-        self.rank, self.most_states = rank, most_states
+        self.rank, self.most_states, self.most_pairs = rank, most_states, most_pairs
         self._fits: dict[tuple, bool] = {}
         self._reset()
 
@@ -53,13 +53,14 @@ class MergeTransducer:
         """Forget compiled states; memory stays bounded and results are the same."""
         self.start = {None: ("", None, 0)}
         self.states = {self.start[None]: self.start}
+        self.unkept = 0
 
     def fits(self, left: str | None, token: str) -> bool:
         """Whether ``token`` can follow ``left``, or begin a word if ``left`` is None."""
         key = (left, token)
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > self.most_states:
+            if len(self._fits) >= self.most_pairs:
                 self._fits.clear()
             want = [token] if left is None else [left, token]
             known = self._fits[key] = merge(list("".join(want)), self.rank) == want
@@ -93,9 +94,15 @@ class MergeTransducer:
         key = (grown[first:], *ends, token, *weights, 0)
         nxt = self.states.get(key)
         if nxt is None:
+            nxt = {None: key}
             if len(self.states) >= self.most_states:
-                self._reset()
-            nxt = self.states[key] = {None: key}
+                # the states met first are the common ones and stay; others are made anew each
+                # time, until they have been as many and the table starts over
+                self.unkept += 1
+                if self.unkept > self.most_states:
+                    self._reset()
+                return nxt, weight, token
+            self.states[key] = nxt
         move = state[symbol] = (nxt, weight, token)
         return move
 

@@ -68,7 +68,7 @@ class Pieces:
     def machine(self) -> MergeTransducer:
         """The piece transducer, made when the first word is encoded."""
         costs = self.costs
-        return MergeTransducer(self.ids, lambda pair: costs.get(pair[0] + pair[1]), 150_000)
+        return MergeTransducer(self.ids, lambda pair: costs.get(pair[0] + pair[1]), 200_000, 120_000)
 
     def _cuts(self) -> None:
         """Where words end: a cut is safe where no piece holds the characters on both sides of it.
