@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.frames import cols, fresh, text_of
+from gleaner.llm.frames import cols, fresh, text_of, written
 from gleaner.llm.wordhash import Alphabet, blocks, buffers, shingles
 from gleaner.plans.scale import cut_lineage
 
@@ -190,7 +190,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any benchmark window. Rows under a contaminated id go together."""
-    (bad_id,) = fresh(docs, "_bad")
-    bad = contamination(docs, items, key, text).where("n_hit > 0").select(F.col("id").alias(bad_id)).distinct()
-    return docs.join(bad, docs[f"`{key}`"].eqNullSafe(bad[bad_id]), "left_anti").select(*cols(docs))
+    """The rows of ``docs`` without any benchmark window, each judged apart, whatever its ``key``."""
+    row, bad_row = fresh(docs, "_row", "_bad")
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    bad = contamination(keyed, items, row, text).where("n_hit > 0").select(F.col("id").alias(bad_row))
+    return keyed.join(bad, F.col(row) == F.col(bad_row), "left_anti").select(*cols(docs))

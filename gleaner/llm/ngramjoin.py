@@ -341,8 +341,15 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component. Rows of one id stay or go together."""
-    (first,) = fresh(docs, "_first")
-    kept = components(docs, words, percent, key, text).where(
-        F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(first)).distinct()
-    return docs.join(kept, docs[f"`{key}`"].eqNullSafe(kept[first]), "left_semi").select(*cols(docs))
+    """One row of ``docs`` for each component: of its smallest id, where a null id comes last.
+
+    Rows are told apart by a key of their own, so that neither a shared nor a null id keeps copies.
+    Rows without n-grams are components of one row.
+    """
+    place, row = fresh(docs, "_place", "_row")
+    id_ = F.col(f"`{key}`")
+    keyed = written(docs.withColumn(place, F.struct(
+        id_.isNull().alias("none"), id_.alias("id"), F.monotonically_increasing_id().alias("row"))))
+    kept = components(keyed, words, percent, place, text).where(
+        F.col("id").eqNullSafe(F.col("component"))).select(F.col("id.row").alias(row))
+    return keyed.join(kept, F.col(f"{place}.row") == F.col(row), "left_semi").select(*cols(docs))

@@ -245,6 +245,18 @@ def test_components(docs, texts, odd, none, words, percent):
     assert ngramjoin.one_of_each(odd).columns == odd.columns
 
 
+def test_rows_are_judged_apart_from_their_ids(spark):
+    rng = random.Random(7)
+    one, two, three, four = (_sentence(rng, 80) for _ in range(4))
+    rows = [(None, one), (None, one), (None, two), (1, two), (2, three), (2, three), (2, four), (3, four), (4, ""), (4, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in ngramjoin.one_of_each(df).collect()), key=str)
+    assert got == sorted([(None, one), (1, two), (2, three), (2, four), (4, ""), (4, ""), (None, None)], key=str)
+    items = spark.createDataFrame([(1, one), (2, three)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in decontam.clean_documents(df, items).collect()), key=str)
+    assert got == sorted([r for r in rows if r[1] not in (one, three)], key=str)
+
+
 def test_every_close_pair_shares_a_block_row():
     import numpy as np
 
