@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def four_places(c: Column) -> Column:
+    """A double at four places. From 2**53 ten-thousandths on neighbouring doubles lie further apart
+    than that, and the number stays as it is; ``floor`` would squeeze it into a bigint."""
+    scaled = c * 10000 + 0.500001
+    return F.when(F.abs(scaled) < float(1 << 53), F.floor(scaled) / 10000).otherwise(c)
+
+
 def portable(df: DataFrame) -> DataFrame:
-    """Plain result types: text dates, doubles at four places, joined arrays."""
+    """Plain result types: text dates, numbers with fractions as doubles at four places, joined arrays."""
     cols = []
     for f in df.schema.fields:
         c, t = F.col(f"`{f.name}`"), f.dataType
@@ -27,7 +34,7 @@ def portable(df: DataFrame) -> DataFrame:
         elif isinstance(t, T.DayTimeIntervalType):
             c = c.cast("string")
         elif isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.floor(c.cast("double") * 10000 + 0.500001) / 10000
+            c = four_places(c.cast("double"))
         elif isinstance(t, T.ArrayType):
             c = F.concat_ws("|", F.transform(c, lambda x: x.cast("string")))
         elif isinstance(t, (T.ShortType, T.ByteType, T.IntegerType)):
