@@ -95,10 +95,14 @@ def aligned_blocks(lo: Column, hi: Column) -> Column:
 
 
 def version_number(version: Column) -> Column:
-    """Dotted version of up to three parts as one number."""
-    p = F.split(version, r"\.")
-    part = [F.coalesce(F.try_element_at(p, F.lit(i)).try_cast("bigint"), F.lit(0)) for i in (1, 2, 3)]
-    return part[0] * 1000000 + part[1] * 1000 + part[2]
+    """All parts of a dotted version as whole numbers, without zeros at the end, for comparison.
+
+    A part that is no number counts as 0, and so does a null version.
+    """
+    none = F.array().cast("array<string>")
+    parts = F.transform(F.coalesce(F.split(version, r"\."), none), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
+    zeros = F.array_position(F.transform(F.reverse(parts), lambda x: x != 0), True)  # place of the last other part
+    return F.slice(parts, 1, F.when(zeros == 0, 0).otherwise(F.size(parts) - zeros + 1).cast("int"))
 
 
 def deletions(name: Column, edits: int) -> Column:
