@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import geocols as X
 from gleaner.operators.graph import shortest_paths
 from gleaner.operators.stats import epoch_seconds, latest
-from gleaner.plans.scale import cut_lineage, exact_quantiles, lag_within, top_k_per_group
+from gleaner.plans.scale import cut_lineage, exact_quantiles, lag_within, sized_chunks, top_k_per_group
 
 
 def haversine_distance(df: DataFrame, lat1: str, lon1: str, lat2: Column, lon2: Column) -> DataFrame:
@@ -145,9 +145,10 @@ def events_per_region(events: DataFrame, regions: DataFrame, key: str, name: str
 
 
 def trajectory_segments(points: DataFrame, mover: str, order: list[str]) -> DataFrame:
-    """Leg distance, time and speed per mover; day chunks keep a busy mover spread out."""
+    """Leg distance, time and speed per mover; days, or parts of one, keep a busy mover spread out."""
     ts = order[0]
-    seq = lag_within(points, [mover], order, ["lat", "lon", ts], F.to_date(ts))
+    parts = sized_chunks(points, [mover], order, F.to_date(ts))
+    seq = lag_within(parts, [mover], order, ["lat", "lon", ts], F.col("_part")).drop("_part")
     seq = seq.where(F.col(f"prev_{ts}").isNotNull())
     km = X.haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
     sec = epoch_seconds(F.col(ts)) - epoch_seconds(F.col(f"prev_{ts}"))
@@ -163,7 +164,8 @@ def trip_totals(segments: DataFrame, mover: str, ts: str) -> DataFrame:
 
 def route_totals(points: DataFrame, route: str, order: list[str], height: str) -> DataFrame:
     """Length and ascent per route."""
-    seq = lag_within(points, [route], order, ["lat", "lon", height], F.to_date(order[0]))
+    parts = sized_chunks(points, [route], order, F.to_date(order[0]))
+    seq = lag_within(parts, [route], order, ["lat", "lon", height], F.col("_part"))
     km = X.haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
     up = F.greatest(F.col(height) - F.col(f"prev_{height}"), F.lit(0.0))
     return seq.groupBy(route).agg(

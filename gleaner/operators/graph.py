@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.plans.scale import cut_lineage, running_sum_within, top_k_per_group
+from gleaner.plans.scale import cut_lineage, running_sum_within, sized_chunks, top_k_per_group
 
 
 def _both_ways(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -89,8 +89,8 @@ def trace_path(best: DataFrame, target) -> DataFrame:
 
 def running_ledger(tx: DataFrame, account: str, order: list[str], amount: Column) -> DataFrame:
     """Ordered transactions with balance per account, summed month by month."""
-    month = F.date_trunc("month", F.col(order[0]))
-    return running_sum_within(tx, [account], order, amount, "balance", month)
+    parts = sized_chunks(tx, [account], order, F.date_trunc("month", F.col(order[0])))
+    return running_sum_within(parts, [account], order, amount, "balance", F.col("_part")).drop("_part")
 
 
 def k_hop_neighbours(edges: DataFrame, a: str, b: str, node, k: int) -> DataFrame:

@@ -12,6 +12,7 @@ from gleaner.plans.scale import (
     exact_quantiles,
     lag_within,
     session_numbers,
+    sized_chunks,
     top_k_per_group,
     value_ranks,
 )
@@ -183,7 +184,8 @@ def message_stats(df: DataFrame, chat: str, role: str, text: str) -> DataFrame:
 
 def reply_matrix(df: DataFrame, chat: str, turn: str, role: str, roles: list[str]) -> DataFrame:
     """Who answers whom: rows answer, columns are the role answered."""
-    seq = lag_within(df.select(chat, turn, role), [chat], [turn], [role], F.floor(F.col(turn) / 1000))
+    parts = sized_chunks(df.select(chat, turn, role), [chat], [turn], F.floor(F.col(turn) / 1000))
+    seq = lag_within(parts, [chat], [turn], [role], F.col("_part"))
     return (
         seq.where(F.col(f"prev_{role}").isNotNull())
         .groupBy(role)
@@ -216,13 +218,13 @@ def sessionise(
 ) -> DataFrame:
     """Rows with ``session_no`` per entity: a pause over ``gap_s`` starts a new one.
 
-    Windows hold one entity and one chunk of time (a day unless given), so an
-    entity with very many rows is spread over tasks.
+    Windows hold one entity and one chunk of time (a day unless given, parts of it where
+    it is too busy), so an entity with very many rows is spread over tasks.
     """
-    chunk = F.to_date(order[0]) if chunk is None else chunk
+    parts = sized_chunks(df, entity, order, F.to_date(order[0]) if chunk is None else chunk)
     return session_numbers(
-        df, entity, order, lambda before, now: epoch_seconds(now) - epoch_seconds(before) > gap_s, chunk
-    )
+        parts, entity, order, lambda before, now: epoch_seconds(now) - epoch_seconds(before) > gap_s, F.col("_part")
+    ).drop("_part")
 
 
 def session_measures(sessions: DataFrame, entity: list[str], ts: str) -> DataFrame:

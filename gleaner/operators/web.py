@@ -14,6 +14,7 @@ from gleaner.plans.scale import (
     as_of_join,
     lag_within,
     running_sum_within,
+    sized_chunks,
     value_ranks,
 )
 
@@ -250,8 +251,8 @@ def host_neighbours(dns: DataFrame, host: str, ip: str) -> DataFrame:
 
 def dns_history(obs: DataFrame, host: str, order: list[str], value: str) -> DataFrame:
     """Sightings merged to validity intervals of one value each."""
-    day = F.to_date(order[0])
-    seq = lag_within(obs, [host], order, [value], day)
+    day = F.col("_part")
+    seq = lag_within(sized_chunks(obs, [host], order, F.to_date(order[0])), [host], order, [value], day)
     change = F.when(F.col(f"prev_{value}").eqNullSafe(F.col(value)), 0).otherwise(1)
     runs = running_sum_within(seq, [host], order, change, "_run", day)
     return runs.groupBy(host, "_run", value).agg(
@@ -319,8 +320,8 @@ def robots_rules(lines: DataFrame, host: str, no: str, line: str) -> DataFrame:
     value = F.trim(F.regexp_extract(plain, r"^[^:]*:(.*)$", 1))
     parsed = lines.select(host, no, kind.alias("kind"), value.alias("value")).where(
         F.col("kind").isin("user-agent", "allow", "disallow"))
-    chunk = F.floor(F.col(no) / 1000)
-    seq = lag_within(parsed, [host], [no], ["kind"], chunk)
+    chunk = F.col("_part")
+    seq = lag_within(sized_chunks(parsed, [host], [no], F.floor(F.col(no) / 1000)), [host], [no], ["kind"], chunk)
     is_agent = F.col("kind") == "user-agent"
     starts = F.when(is_agent & ~F.col("prev_kind").eqNullSafe("user-agent"), 1).otherwise(0)
     run = running_sum_within(seq, [host], [no], starts, "_group", chunk)
@@ -364,7 +365,8 @@ def snapshots_for(requests: DataFrame, captures: DataFrame, url: str, asked: str
 
 def snapshot_changes(captures: DataFrame, url: str, on: str, digest: str) -> DataFrame:
     """Captures that differ from the one before."""
-    seq = lag_within(captures, [url], [on], [digest, on], F.date_trunc("month", F.col(on)))
+    parts = sized_chunks(captures, [url], [on], F.date_trunc("month", F.col(on)))
+    seq = lag_within(parts, [url], [on], [digest, on], F.col("_part")).drop("_part")
     return seq.where(F.col(f"prev_{digest}").isNotNull() & (F.col(f"prev_{digest}") != F.col(digest)))
 
 
@@ -435,4 +437,5 @@ def page_checks(df: DataFrame, url: str, html: str, max_chars: int) -> DataFrame
 
 def traffic_log_timeline(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Log rows numbered in time order per key, counted chunk by chunk."""
-    return running_sum_within(log, [key], order, F.lit(1), "seq", F.to_date(order[0]))
+    parts = sized_chunks(log, [key], order, F.to_date(order[0]))
+    return running_sum_within(parts, [key], order, F.lit(1), "seq", F.col("_part")).drop("_part")

@@ -1,8 +1,8 @@
 """Plan building blocks that keep one hot key from landing in one task.
 
-Windows are cut into chunks (a day, a range of turns) and stitched through a
-small chunk summary; ranks and quantiles are taken over range partitions with
-per-partition offsets. No helper collects a group.
+Windows are cut into chunks (a day, a range of turns, or by size where one such
+chunk is too large) and stitched through a small chunk summary; ranks and quantiles
+are taken over range partitions with per-partition offsets. No helper collects a group.
 """
 
 from __future__ import annotations
@@ -39,6 +39,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: Rows of one key and chunk that one task may order.
+CHUNK_ROWS = 1 << 20
+
+
+def sized_chunks(df: DataFrame, keys: list[str], order: list[str], chunk: Column, most: int | None = None) -> DataFrame:
+    """``df`` with ``_part``, the chunk to hand to the helpers below: never more than about ``most`` rows of a key.
+
+    That is ``chunk`` as given, unless some key has more than ``most`` rows (CHUNK_ROWS unless given) in
+    one chunk. Then the rows are range-partitioned on key and order into parts of half that size, rows
+    that tie included, and the number of the part is the chunk. Part bounds are sampled, so the table is
+    written once; every later step then sees the same parts. Runs a job that counts rows per key and
+    chunk while the plan is built.
+    """
+    most = CHUNK_ROWS if most is None else most
+    sizes = df.select(*keys, chunk.alias("_part")).groupBy(*keys, "_part").agg(F.count("*").alias("n"))
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    if (largest or 0) <= most:
+        return df.withColumn("_part", chunk)
+    ranged = df.withColumn("_nth", F.monotonically_increasing_id()).repartitionByRange(
+        2 * total // most + 1, *[F.col(c) for c in [*keys, *order]], F.col("_nth"))
+    return cut_lineage(ranged.drop("_nth").withColumn("_part", F.spark_partition_id()))
+
+
 def _chunk_keys(keys: list[str]) -> list[str]:
     return [*keys, "_chunk"]
 
@@ -88,26 +111,38 @@ def lag_within(
     return out.drop("_chunk", "_rn", "_carry")
 
 
-def running_sum_within(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, chunk: Column
+def running_within(
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], chunk: Column,
+    fold: Callable[[Column], Column], join: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    """Add ``out``: the running sum of ``value`` per key in ``order``, chunk by chunk."""
-    work = df.withColumn("_chunk", chunk).withColumn("_v", value)
+    """Add each of ``values`` folded from the first row of its key to this one in ``order``, chunk by chunk.
+
+    ``fold`` is an aggregate (sum, bit_xor) and ``join`` puts two folded stretches together.
+    """
+    work = df.withColumn("_chunk", chunk).withColumn("_v", F.struct(*[v.alias(n) for n, v in values.items()]))
     w = (
         Window.partitionBy(*_chunk_keys(keys))
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    totals = work.groupBy(*_chunk_keys(keys)).agg(F.sum("_v").alias("_total"))
+    totals = work.groupBy(*_chunk_keys(keys)).agg(*[fold(F.col(f"_v.{n}")).alias(f"_t_{n}") for n in values])
     before = (
         Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    carries = totals.withColumn("_carry", F.sum("_total").over(before))
-    rows = _stitch(work.withColumn("_local", F.sum("_v").over(w)), carries, keys)
-    zero = F.lit(0)
-    return rows.withColumn(
-        out, F.col("_local") + F.coalesce(F.col("_carry"), zero)
-    ).drop("_chunk", "_v", "_local", "_carry")
+    carries = totals.withColumn("_carry", F.struct(*[fold(F.col(f"_t_{n}")).over(before).alias(n) for n in values]))
+    local = work.select("*", *[fold(F.col(f"_v.{n}")).over(w).alias(f"_l_{n}") for n in values])
+    rows = _stitch(local, carries, keys)
+    for n in values:
+        carried = F.col(f"_carry.{n}")
+        rows = rows.withColumn(n, F.coalesce(join(carried, F.col(f"_l_{n}")), carried, F.col(f"_l_{n}")))
+    return rows.drop("_chunk", "_v", "_carry", *[f"_l_{n}" for n in values])
+
+
+def running_sum_within(
+    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, chunk: Column
+) -> DataFrame:
+    """Add ``out``: the running sum of ``value`` per key in ``order``, chunk by chunk."""
+    return running_within(df, keys, order, {out: value}, chunk, F.sum, lambda a, b: a + b)
 
 
 def session_numbers(
@@ -175,6 +210,7 @@ def as_of_join(
 
     The two sides are stacked and the right payload is carried forward, so the
     cost is one shuffle on (key, chunk) and never a key's rows times a key's rows.
+    ``grain`` is the chunk; a key busier than that is cut by size.
     """
     payload = F.struct(F.col(right_time).alias("as_of_time"), *[F.col(c) for c in cols])
     left_row = F.struct(*[F.col(c) for c in left.columns])
@@ -186,9 +222,8 @@ def as_of_join(
         *keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), left_row.alias("_row")
     )
     stacked = r.unionByName(l, allowMissingColumns=True)
-    filled = carry_forward_within(
-        stacked, keys, ["_t", "_side"], "_payload", "_last", F.date_trunc(grain, F.col("_t"))
-    )
+    parts = sized_chunks(stacked, keys, ["_t", "_side"], F.date_trunc(grain, F.col("_t")))
+    filled = carry_forward_within(parts, keys, ["_t", "_side"], "_payload", "_last", F.col("_part"))
     return filled.where(F.col("_side") == 1).select("_row.*", "_last.*")
 
 

@@ -99,3 +99,61 @@ def test_lineage_is_cut_into_the_named_folder(spark):
     df = P.cut_lineage(spark.range(10))
     assert spark.sparkContext.getCheckpointDir() is not None
     assert df.count() == 10
+
+
+@pytest.fixture(scope="module")
+def one_day(spark):
+    """A third of all rows belong to one key on one day, many of them at one moment."""
+    rnd = random.Random(4)
+    rows = [("hot" if i % 3 == 0 else rnd.choice(["a", "b", None]), i, 5 if i % 3 == 0 else rnd.randint(0, 9),
+             rnd.choice([None, 1, 2])) for i in range(6000)]
+    return spark.createDataFrame(rows, "k string, i int, day int, v int").repartition(5)
+
+
+def test_a_key_busy_within_one_chunk_is_cut_by_size(one_day):
+    most = 200
+    parts = P.sized_chunks(one_day, ["k"], ["day", "i"], F.col("day"), most)
+    largest = parts.groupBy("k", "_part").count().agg(F.max("count")).first()[0]
+    assert largest <= most and parts.count() == one_day.count()
+    w = Window.partitionBy("k").orderBy("day", "i")
+    got = P.lag_within(parts, ["k"], ["day", "i"], ["v"], F.col("_part"))
+    same(got.select("k", "i", "prev_v"), one_day.select("k", "i", F.lag("v").over(w).alias("prev_v")))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    got = P.running_sum_within(parts, ["k"], ["day", "i"], F.col("v"), "s", F.col("_part"))
+    same(got.select("k", "i", "s"), one_day.select("k", "i", F.sum("v").over(upto).alias("s")))
+    got = P.running_within(parts, ["k"], ["day", "i"], {"x": F.col("i")}, F.col("_part"), F.bit_xor, lambda a, b: a.bitwiseXOR(b))
+    same(got.select("k", "i", "x"), one_day.select("k", "i", F.bit_xor("i").over(upto).alias("x")))
+
+
+def test_rows_at_one_moment_are_cut_too_and_quiet_keys_are_left(one_day):
+    parts = P.sized_chunks(one_day, ["k"], ["day"], F.col("day"), 200)
+    assert parts.where("k = 'hot'").groupBy("_part").count().agg(F.max("count")).first()[0] <= 200
+    assert P.sized_chunks(one_day, ["k"], ["day"], F.col("day")).where("_part != day").count() == 0
+    assert P.sized_chunks(one_day.limit(0), ["k"], ["day"], F.col("day")).count() == 0
+
+
+@pytest.mark.parametrize("most", [100, 1 << 20])
+def test_operators_give_the_same_whatever_the_size_of_parts(spark, monkeypatch, most):
+    from gleaner.operators import geo, graph, stats, web
+
+    monkeypatch.setattr(P, "CHUNK_ROWS", most)
+    df = spark.range(1500).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 7) END AS k", "id",
+        "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 17) AS ts", "id % 4 AS v",
+        "cast(id % 50 AS double) AS lat", "cast(id % 80 AS double) AS lon")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    same(graph.running_ledger(df, "k", ["ts", "id"], F.col("v")).select("id", "balance"),
+         df.select("id", F.sum("v").over(upto).alias("balance")))
+    same(web.traffic_log_timeline(df, "k", ["ts", "id"]).select("id", "seq"), df.select("id", F.row_number().over(w).alias("seq")))
+    legs = geo.trajectory_segments(df, "k", ["ts", "id"])
+    same(legs.select("id", "prev_lat"), df.select("id", F.lag("lat").over(w).alias("prev_lat")).where("prev_lat IS NOT NULL"))
+    runs = df.withColumn("c", F.when(F.lag("v").over(w) == F.col("v"), 0).otherwise(1)).withColumn("r", F.sum("c").over(upto))
+    same(web.dns_history(df, "k", ["ts", "id"], "v").select("k", "v", "sightings"),
+         runs.groupBy("k", "r", "v").agg(F.count("*").alias("sightings")).select("k", "v", "sightings"))
+    s = stats.sessionise(df, ["k"], ["ts", "id"], 60)
+    gap = F.coalesce((F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w)) > 60).cast("int"), F.lit(1))
+    same(s.select("id", F.col("session_no").cast("long").alias("n")), df.withColumn("g", gap).select("id", F.sum("g").over(upto).alias("n")))
+    left = df.where("id % 5 = 0").selectExpr("k", "ts AS asked", "id")
+    got = P.as_of_join(left, df.where("id % 2 = 1").selectExpr("k", "ts AS on", "v"), ["k"], "asked", "on", ["v"])
+    assert got.count() == left.count()
