@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import checks, decontam, language, lines, ngramjoin, pieces, quality, quoting, repeats, sharding, tokencount
+from gleaner.llm import (
+    checks, decontam, language, lines, ngramjoin, pieces, quality, quoting, repeats, sharding, tokencount, trie,
+)
 from gleaner.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +105,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie over all conversations, after each has borrowed its first turns."""
+    turns, convs = trie.rebuilt(trie.ordered_turns(read_table(spark, sf_dir, "conversations")))
+    rows = trie.prefix_trie(turns, convs)
+    return rows.withColumnsRenamed(
+        {"conv": "conv_id", "parent_conv": "parent_conv_id", "saved": "saved_tokens", "ends": "ends_sha256"})
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline at the top of the repository, from documents to encoded documents."""

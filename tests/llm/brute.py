@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -99,3 +100,34 @@ def kept_by_rules(text):
         n < 50 or 100 * len(cover) > 50 * n or 10 * len(re.findall(r"[#*$%&|<>]", text)) > n
         or 100 * (len(ls) - len(set(ls))) > 30 * len(ls) or chars > 12 * n or 2 * chars < 5 * n
         or 100 * sum(c.isupper() for c in text) > 40 * chars)
+
+
+def prefix_trie(rows, every=20, most=4):
+    """{(conv, depth): (parent, n_convs, n_children, n_leaves, saved, ends)} from sequences held whole; rows are
+    (conv, turn, role, text), where rows of one turn of a conversation are alike."""
+    own = {}
+    for c, t, r, x in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own.setdefault(c, []).append((r or "", x or ""))
+    made = {}
+    for c, mine in own.items():
+        h = zlib.crc32(str(c).encode()) % most
+        made[c] = own.get(c - c % every, [])[:h] + mine[h:]
+    members, kids = {}, {}
+    for c, seq in made.items():
+        for d in range(len(seq) + 1):
+            members.setdefault(tuple(seq[:d]), []).append(c)
+    for seq in members:
+        if seq:
+            kids.setdefault(seq[:-1], []).append(seq)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    sums = {}
+    for seq in sorted(members, key=len, reverse=True):
+        below = [sums[k] for k in kids.get(seq, [])]
+        mine = (len(members[seq]) - 1) * words(seq[-1][1]) if seq else 0
+        sums[seq] = (sum(b[0] for b in below) or 1, mine + sum(b[1] for b in below))
+    out = {}
+    for seq, who in members.items():
+        ends = ",".join(map(str, sorted(c for c in who if len(made[c]) == len(seq))))
+        out[min(who), len(seq)] = (
+            min(members[seq[:-1]]) if seq else None, len(who), len(kids.get(seq, [])), *sums[seq], hashlib.sha256(ends.encode()).hexdigest())
+    return out
