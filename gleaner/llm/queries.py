@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import (
-    checks, decontam, language, lines, ngramjoin, pieces, quality, quoting, repeats, sharding, tokencount, trie,
+    alignment, checks, decontam, language, lines, ngramjoin, pieces, quality, quoting, repeats, sharding,
+    tokencount, trie,
 )
 from gleaner.sources.tables import read_table
 
@@ -114,6 +115,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"conv": "conv_id", "parent_conv": "parent_conv_id", "saved": "saved_tokens", "ends": "ends_sha256"})
 
 
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the byte-level tokens and the pieces of every document."""
+    rows = alignment.align(read_table(spark, sf_dir, "documents"))
+    return rows.withColumnsRenamed({"id": "doc_id", "digest": "groups_sha256"})
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline at the top of the repository, from documents to encoded documents."""

@@ -131,3 +131,58 @@ def prefix_trie(rows, every=20, most=4):
         out[min(who), len(seq)] = (
             min(members[seq[:-1]]) if seq else None, len(who), len(kids.get(seq, [])), *sums[seq], hashlib.sha256(ends.encode()).hexdigest())
     return out
+
+
+def alignment(rows, a_path, b_path):
+    """[(id, n_a, n_b, n_groups, n_links, n_best, count_sum, digest)] by whole encodings and all pairs of tokens."""
+    import json
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+    a.encode_special_tokens = True
+    vocab = {i: s for s, i in json.load(open(a_path, encoding="utf-8"))["model"]["vocab"].items()}
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letter = {chr(x): x for x in shown} | {chr(0x100 + k): x for k, x in enumerate(x for x in range(256) if x not in shown)}
+    say_a = lambda i: bytes(letter[c] for c in vocab[i])
+
+    def say_b(i):
+        p = b.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("\u2581", " ").encode()
+
+    made, total = [], Counter()
+    for i, t in rows:
+        want = (" " + (t or "")).encode()
+        x = a.encode(" " + t, add_special_tokens=False).ids if t else []
+        y = b.encode(t) if t else []
+        if b"".join(map(say_a, x)) != want or b"".join(map(say_b, y)) != want:
+            x, y = [], []
+        spans = []
+        for ids, say in ((x, say_a), (y, say_b)):
+            at, out = 0, []
+            for k in ids:
+                out.append((k, at, at + len(say(k))))
+                at = out[-1][2]
+            spans.append(out)
+        links, j = [], 0
+        for k, s, e in spans[0]:
+            while spans[1][j][2] <= s:
+                j += 1
+            m = j
+            while m < len(spans[1]) and spans[1][m][1] < e:
+                links.append((k, spans[1][m][0]))
+                m += 1
+        groups, (p, q) = [], (0, 0)
+        for cut in sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]}):
+            u = [z for z in range(p, len(x)) if spans[0][z][2] <= cut]
+            v = [z for z in range(q, len(y)) if spans[1][z][2] <= cut]
+            p, q = u[-1] + 1, v[-1] + 1
+            groups.append(",".join(str(x[z]) for z in u) + "|" + ",".join(str(y[z]) for z in v))
+        total.update(links)
+        made.append((i, len(x), len(y), len(groups), links, hashlib.sha256(";".join(groups).encode()).hexdigest() if x else ""))
+    best = {}
+    for (_, y), n in total.items():
+        best[y] = max(best.get(y, 0), n)
+    return [(i, na, nb, ng, len(ls), sum(total[k] == best[k[1]] for k in ls), sum(total[k] for k in ls), d)
+            for i, na, nb, ng, ls, d in made]
