@@ -27,8 +27,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,29 +41,83 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm import pieces, tokencount
-from gleaner.llm.automata import Memo
 from gleaner.llm.frames import written
 from gleaner.plans.scale import cut_lineage
 
-STEP, BLOCK, BLOCK_ROWS = 1 << 20, 1 << 23, 1 << 16  # characters aligned at once, and bytes and rows of a block
+STEP, BLOCK, BLOCK_ROWS = 1 << 21, 1 << 23, 1 << 16  # characters aligned at once, and bytes and rows of a block
 PARTS, BLOCKS_PER_CALL = 256, 128
-WORDS = 100_000
+WORDS = 300_000
+#: Words that a line end keeps apart like nothing else would: no line end or blank but one in front.
+PLAIN = re.compile(r" ?\S(?:.*\S)?").fullmatch
 ID_BITS = 16  # ids of A
 
 
-def refined(starts: list[int], ends: list[int], sizes: list[int]) -> list[int]:
-    """Byte ends of a word's tokens from coarse byte spans and decoded sizes.
+def refined(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens from coarse byte spans and decoded sizes.
 
     A span that is empty or reaches into the next one ends inside a character: there the
     decoded sizes say where.
     """
-    out, at = [], 0
-    for i, size in enumerate(sizes):
-        at += size
-        inner = starts[i] >= ends[i] or (i + 1 < len(sizes) and starts[i + 1] < ends[i])
-        out.append(at if inner else ends[i])
-        at = out[-1]
-    return out
+    inner = starts >= ends
+    inner[:-1] |= starts[1:] < ends[:-1]
+    return np.where(inner, np.cumsum(sizes), ends)
+
+
+class Words:
+    """Ids of the tokens of words as bytes, learned from a library many at a time; two bounded generations.
+
+    A word that its tokens do not give back has none here.
+    """
+
+    def __init__(self, spans: Callable[[str], tuple[np.ndarray, ...]], says: dict[int, bytes], most: int, blank: str = " "):
+        self.spans, self.says, self.most, self.blank = spans, says, most, blank
+        self.sizes = np.array([len(says.get(i, b"")) for i in range(max(says) + 1)], np.int32)
+        self.kind = np.uint16 if len(self.sizes) <= 1 << 16 else np.int32
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, words: Iterable[str]) -> list[bytes]:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = [w for w in words if w not in new]
+        if old:
+            new.update((w, old[w]) for w in missing if w in old)
+            missing = [w for w in missing if w not in new]
+        some, texts = [], []
+        for w in missing:
+            text = w if self.blank == " " else w.replace(self.blank, " ")
+            if not PLAIN(text):
+                self._learn([w], [text])
+                continue
+            some.append(w)
+            texts.append(text)
+            if len(some) == 4096:
+                self._learn(some, texts)
+                some, texts = [], []
+        if some:
+            self._learn(some, texts)
+        return [new[w] for w in words]
+
+    def _learn(self, words: list[str], texts: list[str]) -> None:
+        whole = "\n".join(texts).encode()
+        ids, starts, ends = self.spans("\n".join(texts))
+        sizes = self.sizes[ids]
+        said = np.cumsum(sizes)
+        stops = np.cumsum([len(t.encode()) + 1 for t in texts]) - 1
+        cuts = np.searchsorted(said, stops, "right")  # tokens up to the end of each word, line ends included
+        good = len(said) > 0 and b"".join(map(self.says.__getitem__, ids.tolist())) == whole and bool(
+            (refined(starts, ends, sizes) == said).all() and (said[cuts - 1] == stops).all()
+            and (said[cuts[:-1]] == stops[:-1] + 1).all())
+        if not good and len(words) > 1:
+            for w, t in zip(words, texts):
+                self._learn([w], [t])
+            return
+        raw, at = ids.astype(self.kind).tobytes() if good else b"", 0
+        width = self.kind().itemsize
+        for w, stop in zip(words, (width * cuts).tolist()):
+            self.new[w] = raw[at:stop]
+            at = stop + width
 
 
 class Aligner:
@@ -80,48 +136,44 @@ class Aligner:
         if max(vocab.values()) >> ID_BITS:
             raise ValueError(f"ids of the first tokenizer must be below {1 << ID_BITS}")
         raw = {s: b for b, s in tokencount.byte_symbols().items()}
-        self.a_bytes = {i: bytes(raw[c] for c in s) for s, i in vocab.items()}
         with open(b_path, "rb") as f:
             model = pb.ModelProto.FromString(f.read())
         model.normalizer_spec.add_dummy_prefix = False  # words bring their blank themselves
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.cutter = pieces.pieces(b_path)
-        self.words_a, self.words_b = Memo(self._a_word, WORDS), Memo(self._b_word, WORDS)
+        self.words_a = Words(self._spans_a, {i: bytes(raw.get(c, 0) for c in s) for s, i in vocab.items()}, WORDS)
+        self.words_b = Words(self._spans_b, dict(enumerate(self.cutter.surface)), WORDS, pieces.BLANK)
         digits = [b"%d" % i for i in range(1 << ID_BITS)]
         self.width = np.array([len(d) for d in digits], np.int64)
         self.digits = np.frombuffer(b"".join(d.ljust(5) for d in digits), np.uint8).reshape(-1, 5)
 
-    def _made(self, word: str, ids: list[int], starts: list[int], ends: list[int], said: list[bytes]) -> tuple[bytes, bytes, bool]:
-        out = refined(starts, ends, [len(s) for s in said])
-        good = b"".join(said) == word.encode() and out[-1:] == [len(word.encode())]
-        return np.array(ids, np.int32).tobytes(), np.diff(out, prepend=0).astype(np.int32).tobytes(), good
-
-    def _a_word(self, word: str) -> tuple[bytes, bytes, bool]:
-        got = self.a.encode(word, add_special_tokens=False)
-        at = list(range(len(word) + 1)) if word.isascii() else np.cumsum([0] + [len(c.encode()) for c in word]).tolist()
-        spans = got.offsets
-        return self._made(word, got.ids, [at[s] for s, _ in spans], [at[e] for _, e in spans], [self.a_bytes[i] for i in got.ids])
+    def _spans_a(self, text: str) -> tuple[np.ndarray, ...]:
+        got = self.a.encode(text, add_special_tokens=False)
+        spans = np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(got)).reshape(-1, 2)
+        if not text.isascii():  # places of characters as places of bytes
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            sizes = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+            spans = np.append(0, np.cumsum(sizes))[spans]
+        return np.array(got.ids, np.int64), spans[:, 0], spans[:, 1]
 
-    def _b_word(self, word: str) -> tuple[bytes, bytes, bool]:
-        got = self.b.encode(word, return_type="proto").pieces
-        ids = [p.id for p in got]
-        return self._made(word, ids, [p.begin for p in got], [p.end for p in got], [self.cutter.surface[i] for i in ids])
+    def _spans_b(self, text: str) -> tuple[np.ndarray, ...]:
+        got = list(self.b.encode(text, return_type="proto").pieces)  # named immutable_proto before; places are of bytes
+        return tuple(np.array(x, np.int64) for x in ([p.id for p in got], [p.begin for p in got], [p.end for p in got]))
 
     @staticmethod
-    def _tokens(words: list[str], first: np.ndarray, memo: Memo) -> tuple[np.ndarray, ...]:
+    def _tokens(words: list[str], first: np.ndarray, known: Words) -> tuple[np.ndarray, ...]:
         """(ids, byte lengths, tokens per text, whole) of texts given as words and the index of each text's first."""
-        index: dict[str, int] = {}
-        at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        got = [memo[w] for w in index]
-        memo.trim()
-        sizes = np.array([len(g[0]) // 4 for g in got], np.int64)
-        ids = np.frombuffer(b"".join(g[0] for g in got), np.int32)
-        lens = np.frombuffer(b"".join(g[1] for g in got), np.int32)
+        index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        got = known(index)
+        ids = np.frombuffer(b"".join(got), known.kind)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // ids.itemsize
         begin, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
         upto = np.cumsum(size)
         rows = np.arange(upto[-1]) + np.repeat(begin - upto + size, size)
-        bad = np.append(0, np.cumsum(~np.array([g[2] for g in got])[at]))
-        return ids[rows], lens[rows], np.diff(np.append(0, upto)[first]), np.diff(bad[first]) == 0
+        lost = np.append(0, np.cumsum(size == 0))
+        ids = ids[rows]
+        return ids, known.sizes[ids], np.diff(np.append(0, upto)[first]), np.diff(lost[first]) == 0
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links by text; digests; text, pair and number of its links, each pair once).
@@ -130,18 +182,19 @@ class Aligner:
         """
         words, first = tokencount.words_of([" " + t for t in texts])
         ids_a, len_a, n_a, whole_a = self._tokens(words, first, self.words_a)
-        cut = [self.cutter._words(t) for t in texts]
-        words = [w.replace(pieces.BLANK, " ") for ws in cut for w in ws if w]
-        first = np.append(0, np.cumsum([sum(map(bool, ws)) for ws in cut]))
-        ids_b, len_b, n_b, whole_b = self._tokens(words, first, self.words_b)
-        # a blank sign would pass for a blank among the words
+        cut = [list(filter(None, self.cutter._words(t))) for t in texts]
+        first = np.append(0, np.cumsum([len(ws) for ws in cut]))
+        ids_b, len_b, n_b, whole_b = self._tokens(list(chain.from_iterable(cut)), first, self.words_b)
+        # the sign that stands for a blank comes back as a blank
         good = whole_a & whole_b & ~np.array([pieces.BLANK in t for t in texts])
         use_a, use_b = np.repeat(good, n_a), np.repeat(good, n_b)
         ids_a, ids_b = ids_a[use_a].astype(np.int64), ids_b[use_b].astype(np.int64)
         end_a, end_b = np.cumsum(len_a[use_a]), np.cumsum(len_b[use_b])
         n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
-        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
-        every = np.union1d(end_a, end_b)
+        every = np.concatenate([end_a, end_b])
+        every.sort(kind="stable")  # two runs in order
+        twice = np.append(False, every[1:] == every[:-1])
+        cuts, every = every[twice[: len(every)]], every[~twice[: len(every)]]
         stops = np.append(0, end_a)[np.cumsum(n_a)]  # where texts end
         per = lambda x: np.diff(np.append(0, np.searchsorted(x, stops, "right")))
         counts = np.stack([n_a, n_b, per(cuts), per(every)])

@@ -52,8 +52,10 @@ def test_no_rows_and_no_texts(spark):
 
 
 def test_spans_are_refined_by_decoded_bytes():
-    assert alignment.refined([0, 1, 1], [1, 4, 4], [1, 2, 1]) == [1, 3, 4]
-    assert alignment.refined([0, 0, 0], [0, 0, 3], [1, 1, 1]) == [1, 2, 3]
+    import numpy as np
+
+    for starts, ends, sizes, want in (([0, 1, 1], [1, 4, 4], [1, 2, 1], [1, 3, 4]), ([0, 0, 0], [0, 0, 3], [1, 1, 1], [1, 2, 3])):
+        assert alignment.refined(np.array(starts), np.array(ends), np.array(sizes)).tolist() == want
 
 
 def test_query(spark):
