@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import (
-    alignment, checks, decontam, language, lines, ngramjoin, pieces, quality, quoting, repeats, sharding,
+    alignment, checks, decontam, hyperminhash, language, lines, ngramjoin, pieces, quality, quoting, repeats, sharding,
     tokencount, trie,
 )
 from gleaner.sources.tables import read_table
@@ -106,6 +106,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+@query
+def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingle sets overlap to 85 of 100 or more, found by sketches."""
+    rows = hyperminhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
+    return rows.withColumnsRenamed({"id": "doc_id", "component": "component_id"})
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix trie over all conversations, after each has borrowed its first turns."""
