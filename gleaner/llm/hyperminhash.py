@@ -6,12 +6,13 @@ leading zeros and the MANTISSA bits after them, or EMPTY. Bands of ROWS register
 hashed to keys; two sets whose similarity reaches the threshold of 0.85 miss each other
 in all of the 32 bands with a probability below 1e-10. Bands of empty buckets show no key.
 
-Sets that share a band meet its lead, the set of the smallest handle. Matching registers
-among those that are not empty on both sides estimate the similarity, corrected for
-registers that agree by chance; pairs five deviations below the threshold go, the rest
-are verified on their full sets. In bands whose sets are then not all connected, the
-others meet where one bit of each register says that they may be alike, and take the
-same way. Verified links are connected.
+Sets that share a band meet its lead. Matching registers among those that are not empty
+on both sides estimate the similarity, corrected for registers that agree by chance;
+pairs whose estimate lies five deviations below what is asked for go, the rest are
+verified on their full sets (``setpairs.connect``). In bands whose sets are then not all
+connected, the others meet where their differences from the lead, their n-grams that no
+other set has, and one bit of each register say that they may be alike; they are
+estimated and verified in the same way. Verified links are connected.
 
 Defined cases: null, empty and blank texts have no n-grams and link with nothing; texts
 with fewer words than an n-gram are one n-gram as a whole; rows that repeat get the same
@@ -29,14 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.frames import text_of, written
-from gleaner.llm.setpairs import alphabet, bit_filter, handles, packed_texts, sets_of, verified
+from gleaner.llm.setpairs import alone, alphabet, bit_filter, connect, handles, packed_texts, sets_of, smallest_ids
 from gleaner.llm.wordhash import BASE, blocks, buffers, mix
-from gleaner.operators.graph import connected_components
 from gleaner.plans.scale import cut_lineage
 
 ROUNDS, BUCKET_BITS, MANTISSA, ROWS = 8, 4, 10, 4
@@ -128,12 +128,11 @@ def _rows(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow the threshold."""
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int, below: float) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a similarity of ``below`` under the threshold."""
     side = lambda x: sets.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "na", "nb", "sa", "sb")
-    least = percent / 100
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    least = percent / 100 - below
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -170,31 +169,14 @@ def _far(percent: int) -> int:
 
 def _links(docs: DataFrame, sets: DataFrame, text: str, words: int, percent: int, n_bits: int) -> DataFrame:
     """(a, b): verified links between set handles that connect all that the threshold connects."""
-    shown = sets.select("h", F.explode("bands").alias("key"))
-    leads = shown.groupBy("key").agg(F.min("h").alias("lead"), F.count("*").alias("k")).where("k > 1").select("key", "lead")
-    led = written(shown.join(cut_lineage(leads), "key"))
+    shown = sets.select("h", "n", F.explode("bands").alias("key"))
+    shared = shown.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    met = written(shown.join(cut_lineage(shared), "key"))
+    texts = cut_lineage(packed_texts(docs, text, words, bit_filter(met.select("h").distinct(), n_bits)))
+    own = met.join(cut_lineage(alone(texts, words)), "h", "left").select("key", "h", "n", F.coalesce("e", F.lit(0)).alias("e"))
     slim = sets.select("h", "n", "sketch")
-    first = led.where("h != lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
-    tried = cut_lineage(_likely(first, slim, percent))
-
-    # texts of all sets that may be asked for: those that share a band
-    texts = cut_lineage(packed_texts(docs, text, words, bit_filter(led.select("h").distinct(), n_bits)))
-    found = cut_lineage(verified(tried, texts, words, percent))
-
-    label = connected_components(found, "a", "b").withColumnsRenamed({"node": "h", "component": "c"})
-    known = led.join(label, "h", "left").select("key", "h", F.coalesce("c", "h").alias("c"))
-    known = cut_lineage(known)
-    open_ = cut_lineage(known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
-    rest = cut_lineage(known.join(open_, "key").join(cut_lineage(_with_bits(slim)), "h"))
-    left, right = (rest.select("key", *[F.col(x).alias(f"{x}{side}") for x in "hcnxy"]) for side in "ab")
-    differ: Column = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb")))
-    pairs = left.join(right, "key").where(
-        (F.col("ha") < F.col("hb")) & (F.col("ca") != F.col("cb")) & (differ <= _far(percent))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-    pairs = pairs.select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _likely(pairs.join(done, ["a", "b"], "left_anti"), slim, percent)
-    return found.unionByName(cut_lineage(verified(cut_lineage(more), texts, words, percent)))
+    return connect(own, texts, words, percent, lambda pairs, below: _likely(pairs, slim, percent, below),
+                   cut_lineage(_with_bits(slim)), _far(percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text",
@@ -208,11 +190,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     once = rows.where(F.col("sketch").isNotNull()).groupBy("h").agg(
         F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands"))
     sets = written(once)
-    label = connected_components(cut_lineage(_links(docs, sets, text, words, percent, n_bits)), "a", "b")
-    label = label.withColumnsRenamed({"node": "h", "component": "c"})
-    placed = cut_lineage(rows.select("id", "n", "h").join(label, "h", "left").select("id", "n", F.coalesce("c", "h").alias("c")))
-    smallest = cut_lineage(placed.where("n > 0").groupBy("c").agg(F.min("id").alias("component")))
-    out = placed.join(smallest, "c", "left").select(
-        "id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    out = smallest_ids(rows, _links(docs, sets, text, words, percent, n_bits))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component")))

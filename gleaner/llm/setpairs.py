@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +10,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.frames import text_of
+from gleaner.llm.frames import text_of, written
 from gleaner.llm.wordhash import BASE, Alphabet, blocks, buffers, mix, shingles
+from gleaner.operators.graph import connected_components
+from gleaner.plans.scale import cut_lineage
 
 BLANKS = frozenset((0x20, *range(0x09, 0x0E)))
 
@@ -93,8 +95,8 @@ def packed_texts(docs: DataFrame, text: str, words: int, bits: np.ndarray) -> Da
     return rows.groupBy("h").agg(F.min("z").alias("z"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of handles whose full sets reach the threshold."""
+def products(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, d, m, linked) of pairs of handles: in how many n-grams their sets differ, and a bitmap of these."""
     rows = pairs.join(texts.withColumnsRenamed({"h": "a", "z": "za"}), "a").join(
         texts.withColumnsRenamed({"h": "b", "z": "zb"}), "b").select("a", "b", "za", "zb")
 
@@ -111,9 +113,97 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             for x, y, zx, zy in zip(*[c.to_pylist() for c in b.columns]):
                 if last[0] != y:
                     last = (y, made(zy))
-                mine = made(zx)
-                common = len(np.intersect1d(mine, last[1], assume_unique=True))
-                out.append(100 * common >= percent * (len(mine) + len(last[1]) - common))
-            yield b.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
+                mine, theirs = made(zx), last[1]
+                common = len(np.intersect1d(mine, theirs, assume_unique=True))
+                total = len(mine) + len(theirs) - common
+                bits = np.bitwise_or.reduce(np.uint64(1) << (np.setxor1d(mine, theirs, True) >> np.uint64(58)))
+                out.append((x, y, total - common, int(bits.view(np.int64)), 100 * common >= percent * total))
+            kinds = [pa.int64()] * 4 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)],
+                ["a", "b", "d", "m", "linked"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, d long, m long, linked boolean")
+
+
+def alone(texts: DataFrame, words: int) -> DataFrame:
+    """(h, e): how many n-grams of a set no other of these sets has, if any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, unpack = alphabet(), zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                raws = [unpack(z) for z in b.column(1).to_pylist()]
+                off = np.append(0, np.cumsum([len(r) for r in raws])).astype(np.int64)
+                value, count = sets_of(np.frombuffer(b"".join(raws), np.uint8), off, letters, words)
+                ends = np.append(0, np.cumsum(count)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], ["h", "g"])
+
+    grams = texts.mapInArrow(run, "h long, g array<long>").select("h", F.explode("g").alias("g"))
+    owners = grams.groupBy("g").agg(F.count("*").alias("k"), F.min("h").alias("h"))
+    return owners.where("k = 1").groupBy("h").agg(F.count("*").alias("e"))
+
+
+def connect(met: DataFrame, texts: DataFrame, words: int, percent: int, likely: Callable[[DataFrame, float], DataFrame] | None = None,
+            bits: DataFrame | None = None, far: int = 0) -> DataFrame:
+    """(a, b): links between set handles that connect all that the threshold connects.
+
+    ``met`` are (key, h, n, e): sets of n n-grams, e of which occur in no other set, under the keys that
+    linked sets share; ``texts`` (h, z) their packed texts. Under a key all sets meet its lead, the one
+    with the fewest n-grams of its own. Only where sets of one key are not connected then, the rest meet,
+    if bounds allow: the overlap is at most n - e on either side; and if both differ from the lead by d
+    n-grams, they have at most the least d - e of these in common, and no more than the common bits of
+    64-bit maps allow, so that their own difference is known from below. ``bits`` (h, x, y) are 128 bits
+    in which linked sets differ in ``far`` places at most. ``likely`` may drop pairs before they are counted
+    out; it is given how far below the threshold they must lie.
+    """
+    live = written(met.where((F.col("n") - F.col("e")) * 100 >= F.col("n") * percent))
+    leads = live.groupBy("key").agg(F.min(F.struct("e", "h")).alias("l"), F.count("*").alias("k"))
+    led = written(live.join(cut_lineage(leads.where("k > 1").select("key", F.col("l.h").alias("lead"))), "key"))
+    first = led.where("h != lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
+    tried = cut_lineage(products(likely(first, 0.3) if likely else first, texts, words, percent))
+    found = tried.where("linked").select("a", "b")
+
+    label = connected_components(found, "a", "b").withColumnsRenamed({"node": "h", "component": "c"})
+    known = cut_lineage(led.join(label, "h", "left").withColumn("c", F.coalesce("c", "h")))
+    open_ = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    apart = tried.select(F.col("a").alias("h"), F.col("b").alias("lead"), "d", "m")
+    none = F.lit(0).cast("long")
+    is_lead = F.col("h") == F.col("lead")
+    rest = known.join(cut_lineage(open_), "key").join(apart, ["h", "lead"], "left").select(
+        "key", "h", "n", "c", "e", (F.col("n") - F.col("e")).alias("u"),
+        F.when(is_lead, none).otherwise(F.col("d")).alias("d"), F.when(is_lead, none).otherwise(F.col("m")).alias("m"))
+    rest = rest.withColumn("s", F.col("d") - F.least("d", "e")).withColumn("x", F.col("d") - F.bit_count("m"))
+    names = "hncudmsx"
+    if bits is not None:
+        rest = rest.join(bits.select("h", F.col("x").alias("p"), F.col("y").alias("q")), "h")
+        names += "pq"
+    rest = cut_lineage(rest)
+    left, right = (rest.select("key", *[F.col(x).alias(f"{x}{side}") for x in names]) for side in "ab")
+    both = F.col("na") + F.col("nb")
+    alike = F.least("sa", "sb", F.bit_count(F.col("ma").bitwiseAND(F.col("mb"))) + F.least("xa", "xb"))
+    differ = F.coalesce(F.col("da") + F.col("db") - 2 * alike, F.lit(0))  # nothing known of a set that never met the lead
+    cond = (
+        (F.col("ha") < F.col("hb")) & (F.col("ca") != F.col("cb"))
+        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        & (F.least("ua", "ub") * (100 + percent) >= both * percent)
+        & (differ * (100 + percent) <= both * (100 - percent)))
+    if bits is not None:
+        cond &= F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) + F.bit_count(F.col("qa").bitwiseXOR(F.col("qb"))) <= far
+    pairs = left.join(right, "key").where(cond).select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.join(done, ["a", "b"], "left_anti")
+    more = cut_lineage(products(likely(pairs, 0.0) if likely else pairs, texts, words, percent))
+    return found.unionByName(more.where("linked").select("a", "b"))
+
+
+def smallest_ids(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, n_shingles, component) of ``rows`` (id, n, h) from links between handles; a set of none stands alone."""
+    label = connected_components(cut_lineage(links), "a", "b").withColumnsRenamed({"node": "h", "component": "c"})
+    placed = cut_lineage(rows.select("id", "n", "h").join(label, "h", "left").select("id", "n", F.coalesce("c", "h").alias("c")))
+    smallest = cut_lineage(placed.where("n > 0").groupBy("c").agg(F.min("id").alias("component")))
+    return placed.join(smallest, "c", "left").select(
+        "id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
