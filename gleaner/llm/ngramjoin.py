@@ -1,21 +1,31 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 Documents are rows and n-grams columns of a sparse 0/1 matrix; the overlap of two
-documents is an entry of its product with its transpose. Columns are cut into blocks
-by the n-gram's hash. Sizes bound what linked documents may differ in: with blocks
-enough, some block rows of the two are equal. So the product is only formed for
-documents that share a block row, and pairs whose sizes cannot reach the threshold
-are dropped before; for the rest the overlap is counted in full.
-
-Equal sets are one row of the matrix. A shared block row links its documents to one
-of them first; documents that are connected already need no further products, and
-only pairs in one block row that are not connected yet are formed afterwards. All
-links between different sets are thus found or implied by components.
-
-Defined cases: null, empty and blank texts have no n-grams and link with nothing;
-texts with fewer words than an n-gram are one n-gram as a whole; rows that repeat get
-the same component; a null id is not chosen as component while another id is there.
-N-grams and sets are held as 64-bit hashes.
+documents is an entry of its product with its transpose. Only columns that can tell are
+multiplied: columns of one document go, and of the others a document shows its prefix,
+the n - ceil(percent * n / 100) + 1 rarest of its n columns, of which linked documents
+share one at least. Rarity is the class of the number of documents that have a column,
+counted over the whole corpus, then the column's hash.
+
+Equal sets are one row of the matrix, dealt into groups by a hash of the set. A group
+asks for the rarity of its columns, blocked by the column's hash; a block adds up what
+all groups ask and answers each. So one shuffle moves texts and one moves columns, both
+once and packed, and no n-gram is a row of its own. A document that has too many columns
+of its own to reach the threshold leaves before any product is formed.
+
+Products are formed block by block of shared columns: all documents of a column meet its
+lead, the one with the fewest columns of its own; their overlaps are added up over blocks
+of columns by hash, and a pair is dropped as soon as what is left cannot lift it over the
+bound that its sizes set. Documents that are connected already need no further products
+(``setpairs.connect``). All links between different sets are thus found or implied by
+components.
+
+Defined cases: null, empty and blank texts have no n-grams and link with nothing; texts
+with fewer words than an n-gram are one n-gram as a whole; rows that repeat get the same
+component; a null id is not chosen as component while another id is there; an empty table
+gives no rows. Columns other than the two named are not looked at. A very long text is
+hashed whole, with some 40 bytes of memory per byte. N-grams and sets are held as 64-bit
+hashes; rarity is counted on 40 of these bits, which can only make a column look commoner.
 """
 
 from __future__ import annotations
@@ -30,314 +40,132 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.frames import cols, fresh, text_of, written
-from gleaner.llm.wordhash import BASE, Alphabet, blocks, buffers, mix, shingles
-from gleaner.operators.graph import connected_components
-from gleaner.plans.scale import cut_lineage
-
-BLANKS = frozenset((0x20, *range(0x09, 0x0E)))
-SIG_BITS = 1 << 24  # of the filter over shared block rows
-SPARE = 3  # block rows beyond the possible differences, so that empty ones need not count
-GROWTH = 1.5
-
-
-def alphabet() -> Alphabet:
-    return Alphabet(lambda b: b not in BLANKS, lower=True)
-
-
-def sets_of(raw: np.ndarray, at: np.ndarray, letters: Alphabet, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-gram hashes of every text, ascending, and how many each text has."""
-    n_texts = len(at) - 1
-    begin, end, owner = letters.words(raw, at)
-    h = letters.hashes(raw, begin, end)
-    n_words = np.bincount(owner, minlength=n_texts)
-    g = shingles(h, k)
-    inside = owner[: len(g)] == owner[k - 1 :]
-    values, owners = [g[inside]], [owner[: len(g)][inside]]
-    first = np.cumsum(n_words) - n_words
-    for few in range(1, k):
-        short = np.flatnonzero(n_words == few)
-        if len(short):
-            values.append(shingles(h, few)[first[short]])
-            owners.append(short)
-    value, owner = np.concatenate(values), np.concatenate(owners)
-    if len(values) > 1:
-        order = np.argsort(owner, kind="stable")
-        value, owner = value[order], owner[order]
-    ends = np.cumsum(np.bincount(owner, minlength=n_texts))
-    for i, j in zip((np.append(0, ends[:-1])).tolist(), ends.tolist()):
-        value[i:j].sort()
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return value[new], np.bincount(owner[new], minlength=n_texts)
-
-
-def handles(value: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """One hash per set, the same in any order of its elements."""
-    total = np.append(np.uint64(0), np.cumsum(mix(value + BASE)))
-    ends = np.cumsum(count)
-    return mix(mix(total[ends] - total[ends - count]) + count.astype(np.uint64))
-
-
-def size_classes(most: int) -> np.ndarray:
-    """Upper bounds of size classes up to ``most``."""
-    out = [1]
-    while out[-1] < most:
-        out.append(max(out[-1] + 1, int(out[-1] * GROWTH)))
-    return np.array(out)
-
-
-def block_rows(value: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, signature) of the block rows of every set.
-
-    A pair is looked for in the class of its smaller set. A set shows its block rows in its own
-    class and in those of the smaller sets it may link with. In a class whose sets have at most u
-    n-grams, linked sets differ in at most u * (100 - percent) / percent of them, and each n-gram
-    that differs spoils one block row, so SPARE of them are equal at least. Empty block rows are
-    shown only by sets with SPARE of them or more, as below that some equal one is not empty.
-    """
-    bounds = size_classes(int(count.max(initial=1)))
-    own = np.searchsorted(bounds, count)
-    least = np.searchsorted(bounds, -(-count * percent // 100))
-    texts, signatures = [], []
-    for back in range(int((own - least).max(initial=0)) + 1):
-        cls = own - back
-        differ = bounds[np.maximum(cls, 0)] * (100 - percent) // percent
-        use = (cls >= least) & (count > 0) & (differ > 0)
-        n_blocks = np.where(use, differ + SPARE, 0)
-        who = np.flatnonzero(use)
-        if not len(who):
-            continue
-        of = np.repeat(np.arange(len(count)), count)
-        mine = use[of]
-        v, of = value[mine], of[mine]
-        block = ((v >> np.uint64(32)) * n_blocks[of].astype(np.uint64)) >> np.uint64(32)
-        edge = np.ones(len(v), bool)
-        edge[1:] = (block[1:] != block[:-1]) | (of[1:] != of[:-1])
-        start = np.flatnonzero(edge)
-        total = np.append(np.uint64(0), np.cumsum(mix(v * BASE)))
-        body = total[np.append(start[1:], len(v))] - total[start]
-        text, block = of[start], block[start]
-        empty = n_blocks - np.bincount(text, minlength=len(count))
-        for t in np.flatnonzero(use & (empty >= SPARE)).tolist():
-            have = block[text == t]
-            none = np.setdiff1d(np.arange(n_blocks[t], dtype=np.uint64), have)
-            text, block = np.append(text, np.full(len(none), t)), np.append(block, none)
-            body = np.append(body, np.zeros(len(none), np.uint64))
-        signatures.append(mix(mix(body + cls[text].astype(np.uint64)) * BASE + block))
-        texts.append(text)
-    if not texts:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    text, signature = np.concatenate(texts), np.concatenate(signatures)
-    order = np.argsort(text, kind="stable")
-    return text[order], signature[order]
-
-
-def _rows(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(id, n, h, sigs): set size, set handle and block row signatures.
-
-    A task shows the signatures of equal sets once, so copies add nothing after it.
-    """
+from gleaner.llm.setpairs import alphabet, connect, handles, sets_of, smallest_ids
+from gleaner.llm.wordhash import blocks, buffers
+
+KEY_BITS = 40
+GROUP_MB, PART_MB = 8, 32
+
+
+def rarity_class(n: np.ndarray) -> np.ndarray:
+    """1 for a column of one document, then one more for every doubling."""
+    return (np.minimum(np.log2(n).astype(np.int64), 61) + 1 + (n > 1)).astype(np.uint8)
+
+
+def prefixes(value: np.ndarray, count: np.ndarray, rare: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set number, column) of the prefix of every set that may link with another, without columns of one
+    document; and how many of these each set has."""
+    of = np.repeat(np.arange(len(count)), count)
+    own = np.bincount(of[rare == 1], minlength=len(count))
+    need = -(-count * percent // 100)
+    order = np.lexsort((value, rare, of))
+    place = np.arange(len(value)) - np.repeat(np.cumsum(count) - count, count)
+    use = (place >= own[of]) & (place <= (count - need)[of]) & ((count - own >= need) & (count > 0))[of]
+    return of[use], value[order][use], own
+
+
+def _sets(docs: DataFrame, key: str, text: str, words: int, texts: bool) -> DataFrame:
+    """(id, n, h): size and handle of every set; or (h, text) of the first row of every set in a task."""
     slim = docs.select(F.col(f"`{key}`").alias("id"), text_of(text).alias("text"))
-    schema = T.StructType([slim.schema["id"], T.StructField("n", T.LongType()), T.StructField("h", T.LongType()),
-                           T.StructField("sigs", T.ArrayType(T.LongType()))])
+    fields = [T.StructField("h", T.LongType()), T.StructField("text", T.StringType())] if texts else [
+        slim.schema["id"], T.StructField("n", T.LongType()), T.StructField("h", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, seen = alphabet(), set()
         for whole in batches:
             for b in blocks(whole, 1):
-                raw, at = buffers(b.column(1))
-                value, count = sets_of(raw, at, letters, words)
+                value, count = sets_of(*buffers(b.column(1)), letters, words)
                 h = handles(value, count).view(np.int64)
-                fresh_ = np.zeros(len(h), bool)
+                if not texts:
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count.astype(np.int64)), pa.array(h)], ["id", "n", "h"])
+                    continue
+                new = []
                 for i, x in enumerate(h.tolist()):
-                    if x not in seen:
+                    if count[i] and x not in seen:
                         seen.add(x)
-                        fresh_[i] = True
-                keep = np.repeat(fresh_, count)
-                text_no, sig = block_rows(value[keep], np.where(fresh_, count, 0), percent)
-                off = np.append(0, np.cumsum(np.bincount(text_no, minlength=len(h)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(sig.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(count.astype(np.int64)), pa.array(h), lists], ["id", "n", "h", "sigs"])
-
-    return slim.mapInArrow(run, schema)
-
-
-def _bit_filter(handles_: DataFrame, n_bits: int) -> np.ndarray:
-    """Two bits per handle in a filter of fixed size; ``n_bits`` bounds what reaches the driver."""
-    at = F.explode(F.array(
-        F.col("h").bitwiseAND(n_bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(n_bits - 1))).alias("p")
-    words = handles_.select(at).groupBy(F.shiftright("p", 5).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits"))
-    out = np.zeros(n_bits // 32, np.uint32)
-    for b in words.toArrow().to_batches():
-        out[b.column(0).to_numpy()] = b.column(1).to_numpy().astype(np.uint32)
-    return out
-
-
-def _passing(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(h, sig): the signatures that pass a filter of fixed size over those that sets share."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-    n_bits = len(bits) * 32
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(shared.value.view(np.uint8), bitorder="little")
-        for b in batches:
-            lists = b.column(1)
-            sig = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            of = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            low, high = sig & np.uint64(n_bits - 1), (sig >> np.uint64(32)) & np.uint64(n_bits - 1)
-            use = (table[low.astype(np.intp)] & table[high.astype(np.intp)]) > 0
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(of[use])), pa.array(sig[use].view(np.int64))], ["h", "sig"])
-
-    return rows.where(F.size("sigs") > 0).select("h", "sigs").mapInArrow(run, "h long, sig long")
-
-
-def _texts(docs: DataFrame, text: str, words: int, bits: np.ndarray) -> DataFrame:
-    """(h, z): packed text of one document per set whose handle passes the filter."""
-    slim = docs.select(text_of(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
-    n_bits = len(bits) * 32
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, seen, table = alphabet(), set(), np.unpackbits(shared.value.view(np.uint8), bitorder="little")
+                        new.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), b.column(1).take(pa.array(new, pa.int64()))], ["h", "text"])
+
+    return slim.mapInArrow(run, T.StructType(fields))
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers byte plane by byte plane, compressed."""
+    raw = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
+
+
+def _values(blob: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view(np.uint64).ravel()
+
+
+def _group(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Column hashes, sizes, handles and texts of the sets of a group, each once."""
+    h, texts = table.column("h").to_numpy(), table.column("text").combine_chunks()
+    first = np.unique(h, return_index=True)[1]
+    texts = texts.take(pa.array(first))
+    value, count = sets_of(*buffers(texts if isinstance(texts, pa.Array) else texts.chunk(0)), alphabet(), words)
+    return value, count, h[first], texts.to_pylist()
+
+
+def prefix_columns(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """(h, n, e, keys, z) of every set that may link with another: its size, its columns of no other set,
+    its prefix and its packed text."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("b")).first()["b"] or 0
+    n_groups, n_parts = total // (GROUP_MB << 20) + 1, total // (PART_MB << 20) + 1
+    dealt = _sets(docs, key, text, words, True).withColumn("g", F.pmod("h", F.lit(n_groups)))
+    part_of = lambda k: (k * np.uint64(n_parts)) >> np.uint64(KEY_BITS)
+
+    def ask(table: pa.Table) -> pa.Table:
+        value, _, _, _ = _group(table, words)
+        keys, n = np.unique(value >> np.uint64(64 - KEY_BITS), return_counts=True)
+        cuts = np.searchsorted(part_of(keys), np.arange(n_parts + 1, dtype=np.uint64))
+        rows = [(p, _planes(np.diff(keys[i:j], prepend=np.uint64(0)), 5), _planes(n[i:j], 4))
+                for p, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if j > i]
+        g = table.column("g")[0].as_py()
+        return pa.table([pa.array(c, t) for c, t in zip([*zip(*[(p, g, k, n) for p, k, n in rows])] or [[]] * 4, (
+            pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["p", "g", "columns", "n"])
+
+    def tell(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_values(k, 5)) for k in table.column("columns").to_pylist()]
+        some, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([_values(x, 4) for x in table.column("n").to_pylist()]), minlength=len(some))
+        rare, ends = rarity_class(n)[at], np.cumsum([len(k) for k in keys]).tolist()
+        said = [zstandard.ZstdCompressor(level=1).compress(rare[i:j].tobytes()) for i, j in zip([0, *ends], ends)]
+        return pa.table({"g": table.column("g"), "p": table.column("p"), "said": pa.array(said, pa.binary())})
+
+    def mark(left: pa.Table, right: pa.Table) -> pa.Table:
+        value, count, h, texts = _group(left, words)
+        at = np.unique(value >> np.uint64(64 - KEY_BITS), return_inverse=True)[1]
+        unpack = zstandard.ZstdDecompressor().decompress
+        said = sorted(zip(right.column("p").to_pylist(), right.column("said").to_pylist()))
+        rare = np.frombuffer(b"".join(unpack(s) for _, s in said), np.uint8)[at]
+        of, shown, own = prefixes(value, count, rare, percent)
+        live = np.unique(of)
+        ends = np.searchsorted(of, np.append(live, len(count))).astype(np.int32)
         pack = zstandard.ZstdCompressor(level=3).compress
-        for whole in batches:
-            for b in blocks(whole, 0):
-                raw, at = buffers(b.column(0))
-                h = handles(*sets_of(raw, at, letters, words))
-                low, high = h & np.uint64(n_bits - 1), (h >> np.uint64(32)) & np.uint64(n_bits - 1)
-                out, made = [], []
-                for i in np.flatnonzero(table[low.astype(np.intp)] & table[high.astype(np.intp)]).tolist():
-                    x = int(h[i].view(np.int64))
-                    if x not in seen:
-                        seen.add(x)
-                        out.append(x)
-                        made.append(pack(raw[at[i] : at[i + 1]].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(made, pa.binary())], ["h", "z"])
+        return pa.table({
+            "h": pa.array(h[live]), "n": pa.array(count[live].astype(np.int64)), "e": pa.array(own[live].astype(np.int64)),
+            "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(shown.view(np.int64))),
+            "z": pa.array([pack(texts[i].encode()) for i in live.tolist()], pa.binary())})
 
-    rows = slim.mapInArrow(run, "h long, z binary")
-    return rows.groupBy("h").agg(F.min("z").alias("z"))
+    asked = dealt.groupBy("g").applyInArrow(ask, "p long, g long, columns binary, n binary")
+    told = asked.groupBy("p").applyInArrow(tell, "g long, p long, said binary")
+    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(mark, "h long, n long, e long, keys array<long>, z binary")
 
 
-def _products(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, d, m, linked) of the asked pairs: in how many n-grams they differ, and a bitmap of these."""
-    rows = pairs.join(texts.withColumnsRenamed({"h": "a", "z": "za"}), "a").join(
-        texts.withColumnsRenamed({"h": "b", "z": "zb"}), "b").select("a", "b", "za", "zb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, unpack = alphabet(), zstandard.ZstdDecompressor().decompress
-        last: tuple = (None, None)
-
-        def made(z: bytes) -> np.ndarray:
-            raw = np.frombuffer(unpack(z), np.uint8)
-            return sets_of(raw, np.array([0, len(raw)]), letters, words)[0]
-
-        for b in batches:
-            out = []
-            for x, y, zx, zy in zip(*[c.to_pylist() for c in b.columns]):
-                if last[0] != y:
-                    last = (y, made(zy))
-                mine, theirs = made(zx), last[1]
-                common = len(np.intersect1d(mine, theirs, assume_unique=True))
-                total = len(mine) + len(theirs) - common
-                bits = np.bitwise_or.reduce(np.uint64(1) << (np.setxor1d(mine, theirs, True) >> np.uint64(58)))
-                out.append((x, y, total - common, int(bits.view(np.int64)), 100 * common >= percent * total))
-            kinds = [pa.int64()] * 4 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)],
-                ["a", "b", "d", "m", "linked"])
-
-    return rows.mapInArrow(run, "a long, b long, d long, m long, linked boolean")
-
-
-def _alone(texts: DataFrame, words: int) -> DataFrame:
-    """(h, e): how many n-grams of a set no other of these sets has, if any."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, unpack = alphabet(), zstandard.ZstdDecompressor().decompress
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                raws = [unpack(z) for z in b.column(1).to_pylist()]
-                off = np.append(0, np.cumsum([len(r) for r in raws])).astype(np.int64)
-                value, count = sets_of(np.frombuffer(b"".join(raws), np.uint8), off, letters, words)
-                ends = np.append(0, np.cumsum(count)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists], ["h", "g"])
-
-    grams = texts.mapInArrow(run, "h long, g array<long>").select("h", F.explode("g").alias("g"))
-    owners = grams.groupBy("g").agg(F.count("*").alias("k"), F.min("h").alias("h"))
-    return owners.where("k = 1").groupBy("h").agg(F.count("*").alias("e"))
-
-
-def links(docs: DataFrame, rows: DataFrame, text: str, words: int, percent: int, n_bits: int) -> DataFrame:
-    """(a, b): links between set handles that connect all that the threshold connects.
-
-    Bounds before a product is formed, for sets of n n-grams of which e occur in no other set:
-    the overlap is at most n - e on either side; and if both differ from a third set, the lead,
-    by d n-grams, they have at most the least d - e of these in common, and no more than the
-    common bits of 64-bit maps allow, so that their own difference is known from below.
-    """
-    shown = rows.where(F.size("sigs") > 0).select("h", F.explode("sigs").alias("sig"))
-    span = shown.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    shared = span.where("lo < hi").select("sig")
-    likely = _passing(rows, _bit_filter(shared.select(F.col("sig").alias("h")), SIG_BITS))
-    met = written(likely.join(shared, "sig").distinct().join(rows.groupBy("h").agg(F.max("n").alias("n")), "h"))
-    texts = cut_lineage(_texts(docs, text, words, _bit_filter(met.select("h").distinct(), n_bits)))
-
-    # sets with too many n-grams of their own link with nothing; the rest of a block row meets
-    # the one with the fewest
-    own = cut_lineage(_alone(texts, words))
-    live = met.join(own, "h", "left").withColumn("e", F.coalesce("e", F.lit(0))).where(
-        (F.col("n") - F.col("e")) * 100 >= F.col("n") * percent)
-    live = written(live)
-    leads = live.groupBy("sig").agg(F.min(F.struct("e", "h")).alias("l"), F.count("*").alias("k"))
-    led = written(live.join(leads.where("k > 1").select("sig", F.col("l.h").alias("lead")), "sig"))
-    first = led.where("h != lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
-    tried = cut_lineage(_products(first, texts, words, percent))
-    found = tried.where("linked").select("a", "b")
-
-    label = connected_components(found, "a", "b").withColumnsRenamed({"node": "h", "component": "c"})
-    known = led.join(label, "h", "left").withColumn("c", F.coalesce("c", "h"))
-    open_ = known.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    apart = tried.select(F.col("a").alias("h"), F.col("b").alias("lead"), "d", "m")
-    none = F.lit(0).cast("long")
-    rest = known.join(open_, "sig").join(apart, ["h", "lead"], "left").select(
-        "sig", "h", "n", "c", "e", (F.col("n") - F.col("e")).alias("u"),
-        F.coalesce("d", none).alias("d"), F.coalesce("m", none).alias("m"))  # the lead differs by nothing
-    rest = cut_lineage(rest.withColumn("s", F.col("d") - F.least("d", "e")).withColumn("x", F.col("d") - F.bit_count("m")))
-    left, right = (rest.select("sig", *[F.col(x).alias(f"{x}{side}") for x in "hncudmsx"]) for side in "ab")
-    both = F.col("na") + F.col("nb")
-    alike = F.least("sa", "sb", F.bit_count(F.col("ma").bitwiseAND(F.col("mb"))) + F.least("xa", "xb"))
-    differ = F.col("da") + F.col("db") - 2 * alike
-    pairs = left.join(right, "sig").where(
-        (F.col("ha") < F.col("hb")) & (F.col("ca") != F.col("cb"))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        & (F.least("ua", "ub") * (100 + percent) >= both * percent)
-        & (differ * (100 + percent) <= both * (100 - percent)))
-    pairs = pairs.select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut_lineage(_products(pairs.join(done, ["a", "b"], "left_anti"), texts, words, percent))
-    return found.unionByName(more.where("linked").select("a", "b"))
-
-
-def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text",
-               n_bits: int = 1 << 22) -> DataFrame:
+def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component) of every row: sets link at 100 * intersection >= percent * union.
 
-    ``component`` is the smallest id that links reach. ``n_bits`` bounds the filter that keeps
-    texts without partner from travelling; a full filter only lets more of them travel.
+    ``component`` is the smallest id that links reach.
     """
-    rows = cut_lineage(_rows(docs, key, text, words, percent))
-    label = connected_components(cut_lineage(links(docs, rows, text, words, percent, n_bits)), "a", "b")
-    label = label.withColumnsRenamed({"node": "h", "component": "c"})
-    placed = cut_lineage(rows.select("id", "n", "h").join(label, "h", "left").select("id", "n", F.coalesce("c", "h").alias("c")))
-    smallest = placed.where("n > 0").groupBy("c").agg(F.min("id").alias("component"))
-    return placed.join(smallest, "c", "left").select(
-        "id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    sets = written(prefix_columns(docs, key, text, words, percent))
+    met = sets.select("h", "n", "e", F.explode("keys").alias("key"))
+    links = connect(met, sets.select("h", "z"), words, percent)
+    return smallest_ids(_sets(docs, key, text, words, False), links)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from gleaner.operators.graph import connected_components
 from gleaner.plans.scale import cut_lineage
 
 BLANKS = frozenset((0x20, *range(0x09, 0x0E)))
+BLOCK_BITS = 2  # blocks of columns
 
 
 def alphabet() -> Alphabet:
@@ -95,33 +97,72 @@ def packed_texts(docs: DataFrame, text: str, words: int, bits: np.ndarray) -> Da
     return rows.groupBy("h").agg(F.min("z").alias("z"))
 
 
-def products(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, d, m, linked) of pairs of handles: in how many n-grams their sets differ, and a bitmap of these."""
+def overlaps(owner_a: np.ndarray, a: np.ndarray, owner_b: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Overlap of each pair, added up over blocks of columns by hash; -1 where it cannot reach ``need``.
+
+    ``a`` and ``b`` are the columns of the first and second set of pair ``owner``. After each block a pair
+    goes whose overlap so far and the columns that it has left cannot reach what it needs.
+    """
+    got, n = np.zeros(len(need), np.int64), len(need)
+    block_a, block_b = (x >> np.uint64(64 - BLOCK_BITS) for x in (a, b))
+    left_a, left_b = np.bincount(owner_a, minlength=n), np.bincount(owner_b, minlength=n)
+    alive = np.minimum(left_a, left_b) >= need
+    for block in range(1 << BLOCK_BITS):
+        in_a, in_b = block_a == block, block_b == block
+        left_a, left_b = left_a - np.bincount(owner_a[in_a], minlength=n), left_b - np.bincount(owner_b[in_b], minlength=n)
+        in_a &= alive[owner_a]
+        in_b &= alive[owner_b]
+        owner, column = np.append(owner_a[in_a], owner_b[in_b]), np.append(a[in_a], b[in_b])
+        order = np.lexsort((column, owner))
+        owner, column = owner[order], column[order]
+        both = (owner[1:] == owner[:-1]) & (column[1:] == column[:-1])
+        got += np.bincount(owner[1:][both], minlength=n)
+        alive &= got + np.minimum(left_a, left_b) >= need
+    return np.where(alive, got, -1)
+
+
+def products(pairs: DataFrame, texts: DataFrame, words: int, percent: int, below: float = 0.0) -> DataFrame:
+    """(a, b, d, m, linked) of pairs of handles: in how many n-grams their sets differ, and a bitmap of these.
+
+    d and m are null of pairs that lie more than ``below`` under the threshold, whose product is not formed to its end.
+    """
     rows = pairs.join(texts.withColumnsRenamed({"h": "a", "z": "za"}), "a").join(
         texts.withColumnsRenamed({"h": "b", "z": "zb"}), "b").select("a", "b", "za", "zb")
+    least = percent / 100 - below
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, unpack = alphabet(), zstandard.ZstdDecompressor().decompress
-        last: tuple = (None, None)
-
-        def made(z: bytes) -> np.ndarray:
-            raw = np.frombuffer(unpack(z), np.uint8)
-            return sets_of(raw, np.array([0, len(raw)]), letters, words)[0]
-
-        for b in batches:
-            out = []
-            for x, y, zx, zy in zip(*[c.to_pylist() for c in b.columns]):
-                if last[0] != y:
-                    last = (y, made(zy))
-                mine, theirs = made(zx), last[1]
-                common = len(np.intersect1d(mine, theirs, assume_unique=True))
-                total = len(mine) + len(theirs) - common
-                bits = np.bitwise_or.reduce(np.uint64(1) << (np.setxor1d(mine, theirs, True) >> np.uint64(58)))
-                out.append((x, y, total - common, int(bits.view(np.int64)), 100 * common >= percent * total))
-            kinds = [pa.int64()] * 4 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)],
-                ["a", "b", "d", "m", "linked"])
+
+        def some(b: pa.RecordBatch) -> pa.RecordBatch:
+            sides = []
+            for z in b.columns[2:]:
+                raws = list(map(unpack, z.to_pylist()))
+                at = np.append(0, np.cumsum([len(r) for r in raws])).astype(np.int64)
+                value, count = sets_of(np.frombuffer(b"".join(raws), np.uint8), at, letters, words)
+                sides.append((np.repeat(np.arange(b.num_rows), count), value, count))
+            (owner_a, x, n_a), (owner_b, y, n_b) = sides
+            need = np.ceil(least * (n_a + n_b) / (1 + least) - 1e-9).astype(np.int64)
+            common = overlaps(owner_a, x, owner_b, y, need)
+            linked = (common >= 0) & (100 * common >= percent * (n_a + n_b - common))
+            bits, known = np.zeros(b.num_rows, np.uint64), common >= 0
+            owner, column = np.append(owner_a, owner_b), np.append(x, y)
+            use = known[owner]
+            order = np.lexsort((column[use], owner[use]))
+            owner, column = owner[use][order], column[use][order]
+            same = np.append(False, (owner[1:] == owner[:-1]) & (column[1:] == column[:-1]))[: len(owner)]
+            single = ~(same | np.append(same[1:], False)[: len(owner)])
+            np.bitwise_or.at(bits, owner[single], np.uint64(1) << (column[single] >> np.uint64(58)))
+            return pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(n_a + n_b - 2 * common, pa.int64(), mask=~known),
+                 pa.array(bits.view(np.int64), mask=~known), pa.array(linked)], ["a", "b", "d", "m", "linked"])
+
+        for whole in batches:
+            at = 0
+            size = np.cumsum(pc.add(pc.binary_length(whole.column(2)), pc.binary_length(whole.column(3))).to_numpy(zero_copy_only=False))
+            while at < whole.num_rows:  # about a megabyte of packed texts at once
+                stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), "right")))
+                yield some(whole.slice(at, stop - at))
+                at = stop
 
     return rows.mapInArrow(run, "a long, b long, d long, m long, linked boolean")
 
@@ -163,7 +204,7 @@ def connect(met: DataFrame, texts: DataFrame, words: int, percent: int, likely:
     leads = live.groupBy("key").agg(F.min(F.struct("e", "h")).alias("l"), F.count("*").alias("k"))
     led = written(live.join(cut_lineage(leads.where("k > 1").select("key", F.col("l.h").alias("lead"))), "key"))
     first = led.where("h != lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
-    tried = cut_lineage(products(likely(first, 0.3) if likely else first, texts, words, percent))
+    tried = cut_lineage(products(likely(first, 0.3) if likely else first, texts, words, percent, 0.3))
     found = tried.where("linked").select("a", "b")
 
     label = connected_components(found, "a", "b").withColumnsRenamed({"node": "h", "component": "c"})

@@ -257,9 +257,11 @@ def test_rows_are_judged_apart_from_their_ids(spark):
     assert got == sorted([r for r in rows if r[1] not in (one, three)], key=str)
 
 
-def test_every_close_pair_shares_a_block_row():
+def test_every_close_pair_shares_a_prefix_column_and_overlaps_add_up():
     import numpy as np
 
+    from gleaner.llm import setpairs
+
     rng = np.random.default_rng(3)
     for percent in (80, 90):
         for _ in range(300):
@@ -269,10 +271,16 @@ def test_every_close_pair_shares_a_block_row():
             b = np.unique(np.concatenate([a[cut:], rng.integers(0, 1 << 63, int(rng.integers(0, cut + 2))).astype(np.uint64)]))
             common = len(np.intersect1d(a, b))
             total = len(a) + len(b) - common
-            if 100 * common >= percent * total and common < total:
-                value, count = np.concatenate([a, b]), np.array([len(a), len(b)])
-                text, sig = ngramjoin.block_rows(value, count, percent)
-                assert set(sig[text == 0].tolist()) & set(sig[text == 1].tolist())
+            values = np.concatenate([a, b])
+            names, at, seen = np.unique(values, return_inverse=True, return_counts=True)
+            rare = ngramjoin.rarity_class(seen + (names % np.uint64(7)).astype(np.int64) * (seen > 1))[at]  # others have some too
+            text, column, own = ngramjoin.prefixes(values, np.array([len(a), len(b)]), rare, percent)
+            assert own.tolist() == [len(a) - common, len(b) - common]
+            if 100 * common >= percent * total:
+                assert set(column[text == 0].tolist()) & set(column[text == 1].tolist())
+            need = np.array([0, common, common + 1])
+            sides = [(np.repeat(np.arange(3), len(x)), np.tile(x, 3)) for x in (a, b)]
+            assert setpairs.overlaps(*sides[0], *sides[1], need).tolist() == [common, common, -1]
 
 
 def test_pipeline_against_a_plain_version(spark):
