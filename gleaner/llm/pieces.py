@@ -148,14 +148,14 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _mapped(df: DataFrame, source: str, out: str, kind: T.DataType, make: str, path: str) -> DataFrame:
+def _mapped(df: DataFrame, source: str, out: str, kind: T.DataType, make: str, path: str | None) -> DataFrame:
     """``df`` and a column ``out`` made from ``source`` by the named method, batch by batch."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
     place = df.columns.index(source)
     names = [*df.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = getattr(pieces(path), make)
+        work = getattr(pieces(path or default_path()), make)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
@@ -164,14 +164,30 @@ def _mapped(df: DataFrame, source: str, out: str, kind: T.DataType, make: str, p
     return df.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, text: str = "text", ids: str = "pieces", out: str = "decoded", path: str | None = None) -> DataFrame:
+    """``docs``, the ids of each whole text and the text that these ids give back, in one worker stage."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.StringType())])
+    place, names = docs.columns.index(text), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path or default_path())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                lists = model.encode_column(b.column(place))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists, model.decode_column(lists)], names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, text: str = "text", out: str = "pieces", path: str | None = None) -> DataFrame:
     """``docs`` and the ids of each whole text. Narrow work; ``path`` must be there on every worker."""
-    return _mapped(docs, text, out, T.ArrayType(T.IntegerType()), "encode_column", path or default_path())
+    return _mapped(docs, text, out, T.ArrayType(T.IntegerType()), "encode_column", path)
 
 
 def decode(rows: DataFrame, ids: str = "pieces", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``rows`` and the text of each array of ids."""
-    return _mapped(rows, ids, out, T.StringType(), "decode_column", path or default_path())
+    return _mapped(rows, ids, out, T.StringType(), "decode_column", path)
 
 
 def encoded_documents(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:

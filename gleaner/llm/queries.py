@@ -32,7 +32,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document and whether decoding them gives the text back (U+2581 as a blank)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = pieces.decode(pieces.encode(docs))
+    rows = pieces.round_trip(docs)
     same = F.col("decoded").eqNullSafe(F.translate("text", pieces.BLANK, " "))
     return rows.select(
         "doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), same.alias("round_trip"), "pieces")
@@ -51,10 +51,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    model = language.learn(docs.where(~held_out))
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 3 == 1, F.lit(False))  # noqa: E731  a null id is not held out
+    model = language.learn(docs.where(~held_out("doc_id")))
     rows = language.identify(docs, model)
-    own = F.crc32(F.col("id").cast("string")) % 3 == 1
+    own = held_out("id")
     return rows.select(F.col("id").alias("doc_id"), own.alias("held_out"), "lang_pred", "score")
 
 
