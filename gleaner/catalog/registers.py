@@ -58,7 +58,7 @@ PREFIXES = """SELECT cast(1000+p_partkey*37%8999 as varchar(20)) AS prefix, max(
 
 
 @query("h06_longest_prefix_lookup", f"""SELECT num, arg_max(owner, length(prefix)) AS owner, max(length(prefix)) AS digits FROM (
- SELECT DISTINCT num FROM ({NUMBERS} UNION ALL SELECT unnest(regexp_extract_all(text,'\\b[0-9]{{16}}\\b')) FROM documents)) JOIN ({PREFIXES}) ON starts_with(num,prefix) GROUP BY 1""")
+ SELECT DISTINCT num FROM ({NUMBERS} UNION ALL SELECT unnest(regexp_extract_all(text,'\\b[0-9]{{16}}\\b')) FROM documents)) LEFT JOIN ({PREFIXES}) ON starts_with(num,prefix) WHERE num IS NOT NULL GROUP BY 1""")
 def _(t):
     nums = t.sql(NUMBERS).union(t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[0-9]{16}\b"), F.lit(0)))))
     return H.longest_prefix_lookup(nums, "num", t.sql(PREFIXES), "prefix", "owner")

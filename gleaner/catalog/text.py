@@ -36,9 +36,9 @@ DATED = """concat(text, ' 2024-', lpad(cast(doc_id%14 as string),2,'0'), '-', lp
 
 
 @query("c03_extract_dates_prices", f"""WITH d AS (SELECT doc_id, {DATED.replace('string', 'varchar')} AS text FROM documents)
- SELECT doc_id, 'date' AS kind, raw AS on_date, cast(NULL as double) AS amount, cast(NULL as varchar) AS currency FROM (
+ SELECT doc_id, 'date' AS kind, raw AS on_date, cast(NULL as double) AS amount, cast(NULL as varchar) AS currency, raw FROM (
   SELECT doc_id, unnest(regexp_extract_all(text,{lit(X.ISO_DATE)})) AS raw FROM d) WHERE try_cast(raw as date) IS NOT NULL
- UNION ALL SELECT doc_id, 'price', NULL, R4(cast(replace(substr(raw,2),',','') as double)), left(raw,1) FROM (
+ UNION ALL SELECT doc_id, 'price', NULL, R4(cast(replace(substr(raw,2),',','') as double)), left(raw,1), raw FROM (
   SELECT doc_id, unnest(regexp_extract_all(text,{lit(X.MONEY)})) AS raw FROM d)""")
 def _(t):
     return C.extract_dates_prices(t.documents.withColumn("text", F.expr(DATED)), "doc_id", "text")

@@ -268,12 +268,34 @@ def _ips(t):
     return found.union(seen).select(U.ipv4_number(F.col("s")).alias("ip"))
 
 
-@query("d23_ip_prefix_lookup", f"""WITH {IPS} SELECT ip, arg_min(net, hi-lo) AS net FROM n JOIN v_nets ON ip BETWEEN lo AND hi GROUP BY 1""")
+@query("d23_ip_prefix_lookup", f"""WITH {IPS} SELECT ip, arg_min(net, hi-lo) AS net FROM n LEFT JOIN v_nets ON ip BETWEEN lo AND hi WHERE ip IS NOT NULL GROUP BY 1""")
 def _(t):
     return D.ip_prefix_lookup(_ips(t), "ip", t.v_nets, "lo", "hi", "net")
 
 
-@query("d24_ip_geo_counts", f"""WITH {IPS}, f AS (SELECT ip, arg_min(net, hi-lo) AS net FROM n JOIN v_nets ON ip BETWEEN lo AND hi GROUP BY 1)
+_V6 = 0x20010DB8 * 65536  # the first 48 bits of 2001:db8::
+
+
+@query("d23_cidr_lookup", f"""WITH a AS (
+ SELECT DISTINCT s AS ip, 32 AS w, {_ipnum} AS x FROM (SELECT concat(cast(event_id%223 as varchar),'.',cast(user_id as varchar),'.',cast(floor(value)%250 as int),'.1') AS s FROM events
+  UNION ALL SELECT unnest(regexp_extract_all(text,{lit(IPV4)})) FROM documents) WHERE s IS NOT NULL
+ UNION ALL SELECT DISTINCT concat('2001:db8:',lower(to_hex(user_id)),'::',lower(to_hex(event_id))), 48, {_V6}+user_id FROM events WHERE user_id IS NOT NULL),
+ k AS (SELECT n_name AS owner, 48 AS w, 48 AS len, {_V6}+n_nationkey AS y FROM nation UNION ALL SELECT r_name, 48, 43, {_V6}+cast(32*r_regionkey as bigint) FROM region
+ UNION ALL SELECT n_name, 32, 8, cast(n_nationkey as bigint)*9*16777216 FROM nation UNION ALL SELECT r_name, 32, 13, cast(r_regionkey as bigint)*18*16777216+8*65536 FROM region)
+ SELECT ip, arg_max(owner, len) AS owner, max(len+CASE WHEN k.w=32 THEN 96 ELSE 0 END)::BIGINT AS prefix_len, count(len)>0 AS found
+ FROM a LEFT JOIN k ON a.w=k.w AND (x>>(a.w-len))=(y>>(k.w-len)) GROUP BY 1""")
+def _(t):
+    six = t.events.where("user_id IS NOT NULL").selectExpr("concat('2001:db8:',lower(hex(user_id)),'::',lower(hex(event_id))) AS ip")
+    four = t.events.selectExpr("concat(cast(event_id%223 as string),'.',cast(user_id as string),'.',cast(cast(floor(value) as int)%250 as string),'.1') AS ip")
+    found = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(IPV4), F.lit(0))).alias("ip"))
+    nets = t.nation.selectExpr("n_name AS owner", "concat('2001:DB8:',hex(n_nationkey),'::/48') AS cidr").union(
+        t.region.selectExpr("r_name", "concat('2001:db8:',hex(32*r_regionkey),':0:0:0:0:0/43')")).union(
+        t.nation.selectExpr("n_name", "concat(cast(n_nationkey*9 as string),'.0.0.0/8')")).union(
+        t.region.selectExpr("r_name", "concat(cast(r_regionkey*18 as string),'.8.0.0/13')"))
+    return D.cidr_lookup(four.union(found).union(six), "ip", nets, "cidr", "owner")
+
+
+@query("d24_ip_geo_counts", f"""WITH {IPS}, f AS (SELECT ip, arg_min(net, hi-lo) AS net FROM n LEFT JOIN v_nets ON ip BETWEEN lo AND hi WHERE ip IS NOT NULL GROUP BY 1)
  SELECT net, count(*) AS addresses FROM f GROUP BY 1""")
 def _(t):
     return D.ip_geo_counts(_ips(t), "ip", t.v_nets, "lo", "hi", "net")

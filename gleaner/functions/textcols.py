@@ -87,7 +87,7 @@ def entropy(text: Column) -> Column:
 
 def mod97_valid(code: Column) -> Column:
     """ISO 7064 mod 97-10: first four characters moved last, letters as 10 to 35, rest 1."""
-    moved = F.concat(F.substring(code, 5, 64), F.substring(code, 1, 4))
+    moved = F.concat(F.substr(code, F.lit(5)), F.substring(code, 1, 4))
     digits = moved
     for i in range(26):
         digits = F.replace(digits, F.lit(chr(65 + i)), F.lit(str(10 + i)))

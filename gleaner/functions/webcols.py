@@ -70,6 +70,32 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(~bad, value)
 
 
+def address_hex(ip: Column) -> Column:
+    """An IPv4 or IPv6 address as 32 hexadecimal digits (IPv4 behind ffff), or null if it is none."""
+    v4 = F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex(ipv4_number(ip))), 8, "0"))
+    tail = F.regexp_extract(ip, r"^.*:([0-9]+\.[0-9.]+)$", 1)  # the last 32 bits may be written as IPv4
+    low = F.lpad(F.lower(F.hex(ipv4_number(tail))), 8, "0")
+    text = F.lower(F.when(tail == "", ip).otherwise(F.concat(
+        F.substr(ip, F.lit(1), F.length(ip) - F.length(tail)), F.substring(low, 1, 4), F.lit(":"), F.substring(low, 5, 4))))
+    halves = F.split(text, "::")
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    left, right = groups(halves[0]), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    gap = 8 - F.size(left) - F.size(right)
+    fits = F.when(F.size(halves) == 2, gap >= 1).otherwise((F.size(halves) == 1) & (gap == 0))
+    clean = text.rlike(r"^[0-9a-f:]+$") & ~text.rlike(r"[0-9a-f]{5}|:::|^:[^:]|[^:]:$") & fits
+    padded = lambda g: F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")
+    v6 = F.concat(padded(left), F.repeat(F.lit("0000"), F.greatest(gap, F.lit(0))), padded(right))
+    return F.when(F.contains(ip, F.lit(":")), F.when(clean, v6)).otherwise(v4)
+
+
+def address_prefix(digits: Column, bits: Column) -> Column:
+    """The first ``bits`` bits of an address in hexadecimal digits, as a key."""
+    whole, more = F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
+    part = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    rest = F.floor(part / F.pow(F.lit(2.0), 4 - more)).cast("string")
+    return F.concat(F.substr(digits, F.lit(1), whole), F.when(more == 0, "").otherwise(F.concat(F.lit("/"), rest)))
+
+
 def aligned_blocks(lo: Column, hi: Column) -> Column:
     """Power-of-two blocks (prefix, bits) that make up the number range lo to hi."""
     empty = F.array().cast("array<struct<prefix:bigint,bits:int>>")

@@ -89,13 +89,15 @@ def fuzzy_name_search(df: DataFrame, name: str, asked: list[str], k: int) -> Dat
 
 
 def longest_prefix_lookup(df: DataFrame, number: str, prefixes: DataFrame, prefix: str, owner: str) -> DataFrame:
-    """Owner of the longest listed prefix of each distinct number."""
+    """Owner of the longest listed prefix of each distinct number, null for a number without one."""
     sizes = prefixes.agg(F.collect_set(F.length(prefix))).scalar()  # one entry per length in use
-    asked = df.select(number).distinct().select(number, F.explode(sizes).alias("_n"))
-    keyed = asked.withColumn(prefix, F.substr(F.col(number), F.lit(1), F.col("_n"))).where(
-        F.length(prefix) == F.col("_n"))
-    return keyed.join(prefixes.select(prefix, owner), prefix).groupBy(number).agg(
-        F.max_by(owner, "_n").alias(owner), F.max("_n").alias("digits"))
+    asked = df.select(number).where(F.col(number).isNotNull()).distinct().select(number, F.explode_outer(sizes).alias("_n"))
+    head = F.substr(F.col(number), F.lit(1), F.col("_n"))
+    keyed = asked.withColumn(prefix, F.when(F.length(head) == F.col("_n"), head))
+    listed = prefixes.select(prefix, owner, F.lit(True).alias("_listed"))
+    return keyed.join(listed, prefix, "left").groupBy(number).agg(
+        F.max(F.when(F.col("_listed"), F.struct("_n", owner))).alias("_b")).select(
+        number, F.col(f"_b.{owner}").alias(owner), F.col("_b._n").alias("digits"))
 
 
 def company_mentions(docs: DataFrame, text: str, groups: list[str], names: DataFrame, name: str) -> DataFrame:

@@ -33,13 +33,16 @@ def redact_pii(df: DataFrame, text: str) -> DataFrame:
 
 
 def extract_dates_prices(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Typed dates and money amounts (thousands separated or not) with currency sign; one row per find."""
+    """Typed dates and money amounts (thousands separated or not) with currency sign; one row per find.
+
+    ``raw`` is the find as it stands; an amount of more than 36 digits before the point is null beside it.
+    """
     dates = each(df, [key], F.regexp_extract_all(text, F.lit(X.ISO_DATE), F.lit(0)), "raw").select(key, F.lit("date").alias("kind"), F.try_to_date("raw", "yyyy-MM-dd").alias("on_date"),
-             F.lit(None).cast("decimal(18,2)").alias("amount"), F.lit(None).cast("string").alias("currency"))
+             F.lit(None).cast("decimal(38,2)").alias("amount"), F.lit(None).cast("string").alias("currency"), "raw")
     money = each(df, [key], F.regexp_extract_all(text, F.lit(X.MONEY), F.lit(0)), "raw").select(key, F.lit("price").alias("kind"), F.lit(None).cast("date").alias("on_date"),
-             F.replace(F.substring("raw", 2, 40), F.lit(",")).try_cast("decimal(18,2)").alias("amount"),
-             F.substring("raw", 1, 1).alias("currency"))
-    return dates.where("on_date IS NOT NULL").unionByName(money.where("amount IS NOT NULL"))
+             F.replace(F.substr("raw", F.lit(2)), F.lit(",")).try_cast("decimal(38,2)").alias("amount"),
+             F.substring("raw", 1, 1).alias("currency"), "raw")
+    return dates.where("on_date IS NOT NULL").unionByName(money)
 
 
 def extract_urls(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -209,7 +209,7 @@ def shared_tracker_groups(df: DataFrame, site: str, tracker: str) -> DataFrame:
     comp = connected_components(edges, "a", "b").where(F.col("node").startswith("s:"))
     sized = comp.groupBy("component").agg(F.count("*").alias("sites"))
     return comp.join(sized, "component").select(
-        F.substring("node", 3, 4096).alias("site"), F.substring("component", 3, 4096).alias("group"), "sites"
+        F.substr("node", F.lit(3)).alias("site"), F.substr("component", F.lit(3)).alias("group"), "sites"
     )
 
 
@@ -286,7 +286,7 @@ def registry_search(df: DataFrame, name: str, tld: str, terms: list[str]) -> Dat
 
 
 def ip_prefix_lookup(ips: DataFrame, ip: str, nets: DataFrame, lo: str, hi: str, name: str) -> DataFrame:
-    """Most specific network of each distinct address (a number).
+    """Most specific network of each distinct address (a number); null for an address in none.
 
     Networks are cut into aligned blocks and an address asks for its block at
     every size in use: equal keys only, so crowded address space costs no more.
@@ -294,18 +294,41 @@ def ip_prefix_lookup(ips: DataFrame, ip: str, nets: DataFrame, lo: str, hi: str,
     blocks = nets.select(name, (F.col(hi) - F.col(lo)).alias("_width"),
                          F.inline(U.aligned_blocks(F.col(lo), F.col(hi))))
     sizes = blocks.agg(F.array_sort(F.collect_set("bits"))).scalar()  # at most 33 sizes
-    asked = ips.select(ip).where(F.col(ip).isNotNull()).distinct().select(ip, F.explode(sizes).alias("bits"))
+    asked = ips.select(ip).where(F.col(ip).isNotNull()).distinct().select(ip, F.explode_outer(sizes).alias("bits"))
     keyed = asked.withColumn("prefix", F.floor(F.col(ip) / F.pow(F.lit(2.0), "bits")).cast("bigint"))
     return (
-        keyed.join(blocks, ["prefix", "bits"])
+        keyed.join(blocks, ["prefix", "bits"], "left")
         .groupBy(ip)
-        .agg(F.min(F.struct("_width", name)).alias("_b"))
+        .agg(F.min(F.when(F.col("_width").isNotNull(), F.struct("_width", name))).alias("_b"))
         .select(ip, F.col(f"_b.{name}").alias(name))
     )
 
 
+def cidr_lookup(df: DataFrame, ip: str, nets: DataFrame, cidr: str, owner: str) -> DataFrame:
+    """(ip, owner, prefix_len, found) of every distinct address text, IPv4 or IPv6, in networks such as `2001:db8::/32`.
+
+    Addresses are 128 bits wide, IPv4 as the block ::ffff:0:0/96, in which ``prefix_len`` counts from
+    96 on. An address asks for its prefix of every length in use, at most 129, by equal keys; the longest
+    that is listed wins, of equal networks the first owner by name. An address that no network holds, or
+    that is none, has a null owner and ``found`` false; a null one is not asked; networks that are none
+    hold nothing.
+    """
+    at = F.substring_index(cidr, "/", 1)
+    v4 = F.when(F.contains(F.col(cidr), F.lit(":")), 0).otherwise(96)
+    length = F.when(F.contains(F.col(cidr), F.lit("/")), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(128 - v4) + v4
+    listed = nets.select(U.address_hex(at).alias("_x"), length.alias("_n"), F.col(owner).alias(owner)).where(
+        F.col("_x").isNotNull() & F.col("_n").between(0, 128))
+    listed = listed.groupBy("_n", U.address_prefix(F.col("_x"), F.col("_n")).alias("_k")).agg(F.min(owner).alias(owner))
+    sizes = listed.agg(F.collect_set("_n")).scalar()
+    asked = df.select(ip).where(F.col(ip).isNotNull()).distinct().select(ip, U.address_hex(F.col(ip)).alias("_x"))
+    keyed = asked.select(ip, "_x", F.explode_outer(sizes).alias("_n")).select(ip, "_n", U.address_prefix(F.col("_x"), F.col("_n")).alias("_k"))
+    best = F.max(F.when(F.col(owner).isNotNull(), F.struct("_n", owner))).alias("_b")
+    return keyed.join(listed, ["_n", "_k"], "left").groupBy(ip).agg(best).select(
+        ip, F.col(f"_b.{owner}").alias(owner), F.col("_b._n").alias("prefix_len"), F.col("_b").isNotNull().alias("found"))
+
+
 def ip_geo_counts(ips: DataFrame, ip: str, nets: DataFrame, lo: str, hi: str, place: str) -> DataFrame:
-    """Addresses per country after lookup."""
+    """Addresses per country after lookup; a null place counts those in no network."""
     found = ip_prefix_lookup(ips, ip, nets, lo, hi, place)
     return found.groupBy(place).agg(F.count("*").alias("addresses"))
 

@@ -289,3 +289,46 @@ def test_cells_with_line_breaks_come_back(spark, tmp_path):
 def test_boolean_search_with_nulls(spark):
     df = spark.createDataFrame([(1, "Red fox, blue sky"), (2, None), (3, "red-blue"), (4, "blue")], "id long, t string")
     assert [r["id"] for r in search.boolean_search(df, "t", ["blue"], ["red", "fox"], ["sky"]).collect()] == [3]
+
+
+def test_addresses_of_both_kinds_and_without_a_network(spark):
+    import ipaddress
+
+    from gleaner.functions import webcols
+
+    good = ["::", "::1", "1::", "2001:db8::ff00:42:8329", "2001:0DB8:0:0:0:0:0:1", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8", "10.1.2.3", "1::8:0"]
+    bad = ["1:2:3", "1::2::3", "12345::", ":1::2", "1:2:3:4:5:6:7:8:9", "::g", "300.1.1.1", "x", "", "1:2:3:4:5:6:7::8:9", "1::2:"]
+    df = spark.createDataFrame([(x,) for x in [*good, *bad, None]], "ip string")
+    got = {r.ip: r.x for r in df.select("ip", webcols.address_hex(F.col("ip")).alias("x")).collect()}
+    for x in good:
+        a = ipaddress.ip_address(x)
+        assert got[x] == f"{int(a) + (0xFFFF << 32 if a.version == 4 else 0):032x}", x
+    assert all(got[x] is None for x in [*bad, None])
+    nets = spark.createDataFrame([("2001:db8::/32", "a"), ("2001:db8::ff00:0:0/87", "b"), ("10.0.0.0/8", "c"), ("10.1.2.3", "d"), ("::/0", "z"), ("junk/9", "j"), (None, "k")], "cidr string, owner string")
+    found = {r.ip: (r.owner, r.prefix_len, r.found) for r in web.cidr_lookup(df, "ip", nets.where("owner != 'z'"), "cidr", "owner").collect()}
+    assert found["2001:db8::ff00:42:8329"] == ("b", 87, True) and found["2001:0DB8:0:0:0:0:0:1"] == ("a", 32, True)
+    assert found["10.1.2.3"] == ("d", 128, True) and found["::1"] == (None, None, False) and found["x"] == (None, None, False)
+    assert len(found) == len(good) + len(bad)
+    assert web.cidr_lookup(df, "ip", nets, "cidr", "owner").where("found").count() == len(good)
+    assert web.cidr_lookup(df, "ip", nets.limit(0), "cidr", "owner").where("NOT found").count() == len(good) + len(bad)
+
+
+def test_lookups_keep_what_they_do_not_find_and_long_values_stay_whole(spark):
+    from gleaner.functions import textcols
+    from gleaner.operators import registers
+
+    ips = spark.createDataFrame([(5,), (500,), (None,)], "ip long")
+    nets = spark.createDataFrame([("n", 0, 9)], "n string, lo long, hi long")
+    assert {(r.ip, r.n) for r in web.ip_prefix_lookup(ips, "ip", nets, "lo", "hi", "n").collect()} == {(5, "n"), (500, None)}
+    nums = spark.createDataFrame([("123",), ("9",), ("",), (None,)], "num string")
+    pre = spark.createDataFrame([("12", "x"), ("1", "y"), ("999", "z")], "prefix string, owner string")
+    got = {(r.num, r.owner, r.digits) for r in registers.longest_prefix_lookup(nums, "num", pre, "prefix", "owner").collect()}
+    assert got == {("123", "x", 2), ("9", None, None), ("", None, None)}
+    body = "1" * 80
+    code = f"QZ{98 - int(body + '263500') % 97:02d}{body}"
+    assert spark.createDataFrame([(code,)], "c string").select(textcols.mod97_valid(F.col("c"))).first()[0]
+    long = [("s" * 5000 + x, 1) for x in "ab"]
+    sites = web.shared_tracker_groups(spark.createDataFrame(long, "site string, t long"), "site", "t").collect()
+    assert {r.site for r in sites} == {x for x, _ in long}
+    rows = text.extract_dates_prices(spark.createDataFrame([(1, "$12345678901234567890.00")], "id long, t string"), "id", "t").collect()
+    assert [(r.raw, str(r.amount)) for r in rows] == [("$12345678901234567890.00", "12345678901234567890.00")]
