@@ -1,5 +1,8 @@
 """URLs, pages, domains and networks: catalogue entries with check SQL."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.catalog.registry import query
@@ -79,11 +82,18 @@ def _(t):
     return D.backlink_counts(links, "target", "page_id", "host")
 
 
-@query("d07_domain_call_tree", """WITH RECURSIVE w AS (SELECT src AS n, src, dst, 1 AS depth FROM v_hops
- UNION ALL SELECT w.n, h.src, h.dst, w.depth+1 FROM w JOIN v_hops h ON w.dst=h.src)
- SELECT n AS src, max_by(dst, depth) AS root, max(depth) AS depth FROM w GROUP BY 1""")
+LOADS = """SELECT src, dst FROM v_hops UNION ALL SELECT src, src-1 FROM v_hops WHERE src%10=3
+ UNION ALL SELECT src, src*2 FROM v_hops WHERE src%50=7 UNION ALL SELECT -src, -src-1 FROM v_hops WHERE src<3 UNION ALL SELECT -3, -1 FROM v_hops"""
+
+
+@query("d07_domain_call_tree", f"""WITH RECURSIVE l AS (SELECT DISTINCT src, dst FROM ({LOADS})),
+ w AS (SELECT cast(0 as bigint) AS node, 0 AS depth UNION SELECT l.src, w.depth+1 FROM w JOIN l ON l.dst=w.node WHERE w.depth<40)
+ SELECT node, cast(0 as bigint) AS root, min(depth)::BIGINT AS depth, (SELECT count(*) FROM l WHERE l.src=w.node) AS parents FROM w GROUP BY 1 HAVING min(depth)>0""")
 def _(t):
-    return D.domain_call_tree(t.v_hops, "src", "dst")
+    h = t.v_hops
+    more = [h.where("src%10=3").selectExpr("src", "src-1"), h.where("src%50=7").selectExpr("src", "src*2"),
+            h.where("src<3").selectExpr("-src", "-src-1"), h.selectExpr("cast(-3 as bigint)", "cast(-1 as bigint)")]
+    return D.domain_call_tree(reduce(DataFrame.union, more, h.select("src", "dst")), "src", "dst", 0)
 
 
 CHAIN = "SELECT src, CASE WHEN src%40=9 THEN src*2 ELSE dst END AS dst FROM v_hops"

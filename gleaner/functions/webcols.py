@@ -123,12 +123,21 @@ def aligned_blocks(lo: Column, hi: Column) -> Column:
 def version_number(version: Column) -> Column:
     """All parts of a dotted version as whole numbers, without zeros at the end, for comparison.
 
-    A part that is no number counts as 0, and so does a null version.
+    A part that is no number counts as 0, and so does a null version. A leading v is no part, nor is
+    what follows a plus sign. What follows a hyphen marks a version before the plain one: its
+    parts compare as numbers, or else as text above any number.
     """
     none = F.array().cast("array<string>")
-    parts = F.transform(F.coalesce(F.split(version, r"\."), none), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
+    bare = F.regexp_replace(version, r"^\s*[vV](?=[0-9])|\+.*$", "")
+    before = F.regexp_extract(bare, r"-(.*)$", 1)
+    parts = F.transform(F.coalesce(F.split(F.regexp_replace(bare, "-.*$", ""), r"\."), none), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
     zeros = F.array_position(F.transform(F.reverse(parts), lambda x: x != 0), True)  # place of the last other part
-    return F.slice(parts, 1, F.when(zeros == 0, 0).otherwise(F.size(parts) - zeros + 1).cast("int"))
+    main = F.slice(parts, 1, F.when(zeros == 0, 0).otherwise(F.size(parts) - zeros + 1).cast("int"))
+    one = lambda x: F.when(x.rlike("^[0-9]{1,18}$"), F.array(F.lit(0).cast("bigint"), x.try_cast("bigint"))).otherwise(
+        F.concat(F.array(F.lit(1).cast("bigint")), F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint")),
+                 F.array(F.lit(0).cast("bigint"))))
+    early = F.concat(F.array(F.lit(-1).cast("bigint")), F.flatten(F.transform(F.split(before, r"\."), one)))
+    return F.concat(main, F.when(F.coalesce(before, F.lit("")) == "", F.array(F.lit(0).cast("bigint"))).otherwise(early))
 
 
 def deletions(name: Column, edits: int) -> Column:

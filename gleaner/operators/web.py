@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from gleaner.operators.graph import connected_components
 from gleaner.operators.stats import latest, session_measures, sessionise
 from gleaner.plans.forest import ancestor_rows, resolve_parents
 from gleaner.plans.scale import (
+    cut_lineage,
     as_of_join,
     lag_within,
     running_sum_within,
@@ -101,9 +104,35 @@ def backlink_counts(links: DataFrame, target: str, page: str, host: str) -> Data
     )
 
 
-def domain_call_tree(links: DataFrame, src: str, dst: str) -> DataFrame:
-    """Depth below the root page for every node of a load tree."""
-    return resolve_parents(links, [], src, dst).where(~F.col("on_loop")).drop("on_loop")
+def domain_call_tree(links: DataFrame, src: str, dst: str, root=None) -> DataFrame:
+    """(node, root, depth, parents): every node that ``src`` names, once, with its least depth below a root.
+
+    ``src`` is loaded by ``dst``; a node may have several parents, which are counted. Without ``root`` the
+    roots are the nodes that nothing loads; of several at one depth the smallest counts. Nodes that no
+    root reaches, such as loops of their own, are left out. Levels are found one after the other: only
+    the newest level is joined with the links, and a level is written once and not touched again.
+    """
+    edges = links.select(F.col(src).alias("node"), F.col(dst).alias("parent")).where("node IS NOT NULL AND parent IS NOT NULL").distinct()
+    edges = cut_lineage(edges)
+    if root is None:
+        front = edges.select(F.col("parent").alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
+    else:
+        front = edges.limit(1).select(F.lit(root).cast(edges.schema["node"].dataType).alias("node"))
+    front = cut_lineage(front.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth")))
+    levels = [front]
+    while True:
+        nxt = edges.join(front.withColumnsRenamed({"node": "parent"}), "parent").groupBy("node").agg(
+            F.min("root").alias("root"), (F.min("depth") + 1).alias("depth"))
+        for level in levels:
+            nxt = nxt.join(level.select("node"), "node", "left_anti")
+        front = cut_lineage(nxt)
+        if front.isEmpty():
+            break
+        levels.append(front)
+        if len(levels) > 16:  # older levels as one table, so that plans stay short
+            levels = [cut_lineage(reduce(DataFrame.unionByName, levels))]
+    parents = edges.groupBy("node").agg(F.count("*").alias("parents"))
+    return reduce(DataFrame.unionByName, levels).where("depth > 0").join(parents, "node")
 
 
 def redirect_chain(hops: DataFrame, src: str, dst: str) -> DataFrame:

@@ -69,18 +69,21 @@ def write_routed(df: DataFrame, path: str, key: str) -> None:
 def append_snapshot(df: DataFrame, content: str, captured_on: str, path: str) -> None:
     """Add only content not captured before, one folder per capture day.
 
-    Content is compared by digest; within the new rows the first of equal content is kept.
+    Content is compared by digest, null content by a mark of its own; within the new rows the first of
+    equal content is kept.
     """
     spark = df.sparkSession
-    fresh = df.withColumn("digest", F.sha2(content, 256))
+    fresh = df.withColumn("digest", F.coalesce(F.sha2(content, 256), F.lit("null")))
     others = [c for c in df.columns]
     fresh = fresh.groupBy("digest").agg(
         F.min_by(F.struct(*others), F.struct(captured_on, *[c for c in others if c not in (captured_on, content)])).alias("_r")
     ).select("_r.*", "digest")
     try:
         seen = spark.read.parquet(path).select("digest")
-    except AnalysisException:  # first capture, no folder yet
-        seen = None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        seen = None  # first capture, no folder yet
     if seen is not None:
         fresh = fresh.join(seen, "digest", "left_anti")
     fresh.write.partitionBy(captured_on).mode("append").parquet(path)

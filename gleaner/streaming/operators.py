@@ -108,22 +108,24 @@ def stream_interval_join(planned: DataFrame, actual: DataFrame, key: str, planne
 
 
 class DueTimer(StatefulProcessor):
-    """One event-time timer per key, fired when the watermark passes the due time."""
+    """One event-time timer per key, fired when the watermark passes the due time that was seen last."""
 
-    def __init__(self, key: str):
-        self.key = key
+    def __init__(self, key: str, seen: str):
+        self.key, self.seen = key, seen
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("due", "due_ms bigint")
+        self.state = handle.getValueState("due", "due_ms bigint, seen_ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = min(int(batch["due_ms"].min()) for batch in rows)
+        # the row seen last counts, of several the latest due time
+        seen, due = max((int(s), int(d)) for batch in rows for s, d in zip(batch["seen_ms"], batch["due_ms"]))
         if self.state.exists():
-            old = self.state.get()[0]
-            due = min(due, old)
+            old, before = self.state.get()
+            if (before, old) >= (seen, due):
+                return iter([])
             self.handle.deleteTimer(old)
-        self.state.update((due,))
+        self.state.update((due, seen))
         self.handle.registerTimer(due)
         return iter([])
 
@@ -137,12 +139,16 @@ class DueTimer(StatefulProcessor):
 
 
 def stream_expiry_reminder(stream: DataFrame, key: str, seen: str, due: str, days_before: int, delay: str) -> DataFrame:
-    """A reminder ``days_before`` the due time of each key, once the stream's time has come to it."""
+    """A reminder ``days_before`` the due time of each key, once the stream's time has come to it.
+
+    A key seen again with another due time is renewed: the reminder moves with it.
+    """
     kind = dict(stream.dtypes)[key]
     ms = (F.unix_millis(F.col(due).cast("timestamp")) - days_before * 86400000).alias("due_ms")
-    rows = stream.select(key, seen, ms).withWatermark(seen, delay)
+    rows = stream.where(F.col(seen).isNotNull() & F.col(due).isNotNull()).select(
+        key, seen, ms, F.unix_millis(F.col(seen).cast("timestamp")).alias("seen_ms")).withWatermark(seen, delay)
     return rows.groupBy(key).transformWithStateInPandas(
-        DueTimer(key), f"{key} {kind}, reminded_at timestamp", "Append", "EventTime")
+        DueTimer(key, seen), f"{key} {kind}, reminded_at timestamp", "Append", "EventTime")
 
 
 def stream_running_balance(stream: DataFrame, account: str, amount: str, incoming) -> DataFrame:

@@ -332,3 +332,22 @@ def test_lookups_keep_what_they_do_not_find_and_long_values_stay_whole(spark):
     assert {r.site for r in sites} == {x for x, _ in long}
     rows = text.extract_dates_prices(spark.createDataFrame([(1, "$12345678901234567890.00")], "id long, t string"), "id", "t").collect()
     assert [(r.raw, str(r.amount)) for r in rows] == [("$12345678901234567890.00", "12345678901234567890.00")]
+
+
+def test_load_tree_with_several_parents_and_loops(spark):
+    links = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("b", "e"), ("c", "b"), ("x", "y"), ("y", "x"), ("c", "a"), (None, "a"), ("q", None), ("s", "r")]
+    df = spark.createDataFrame(links, "src string, dst string")
+    got = sorted((r.node, r.root, r.depth, r.parents) for r in web.domain_call_tree(df, "src", "dst").collect())
+    assert got == [("b", "a", 1, 2), ("c", "a", 1, 2), ("d", "a", 2, 2), ("e", "a", 3, 1), ("s", "r", 1, 1)]
+    got = sorted((r.node, r.depth) for r in web.domain_call_tree(df, "src", "dst", "d").collect())
+    assert got == [("b", 2), ("c", 3), ("e", 1)]
+    assert web.domain_call_tree(df.limit(0), "src", "dst").count() == 0
+    chain = spark.range(1, 41).selectExpr("id AS src", "id - 1 AS dst")
+    assert web.domain_call_tree(chain, "src", "dst").selectExpr("max(depth) AS d", "count(*) AS n").first() == (40, 40)
+
+
+def test_null_content_is_captured_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, "2024-01-01"), (2, "x", "2024-01-01"), (3, None, "2024-01-01")], "id long, html string, day string")
+    for _ in range(3):
+        sinks.append_snapshot(df, "html", "day", str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
