@@ -62,13 +62,13 @@ class Pieces:
 
         self.costs = {p: -score for p, score in scores.items()}
         self._cuts()
-        self.memo = Memo(self._encode_word, 120_000)
+        self.memo = Memo(self._encode_word, 240_000)
 
     @cached_property
     def machine(self) -> MergeTransducer:
         """The piece transducer, made when the first word is encoded."""
         costs = self.costs
-        return MergeTransducer(self.ids, lambda pair: costs.get(pair[0] + pair[1]), 200_000, 120_000)
+        return MergeTransducer(self.ids, lambda pair: costs.get(pair[0] + pair[1]), 200_000, 240_000)
 
     def _cuts(self) -> None:
         """Where words end: a cut is safe where no piece holds the characters on both sides of it.
