@@ -165,21 +165,45 @@ def _(t):
     return E.latest_position(t.v_moves, "mover", ["ts", "event_id"], ["lat", "lon"])
 
 
+def _trips(t):
+    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", F.date_add(F.to_date("o_orderdate"), 60).alias("planned"))
+    return t.lineitem.select("l_orderkey", "l_suppkey", "l_shipdate").join(o, "l_orderkey")
+
+
 @query("e20_on_time_performance", """WITH d AS (SELECT o_orderpriority, cast(date_diff('day', cast(o_orderdate as date)+60, cast(l_shipdate as date)) as double) AS d
  FROM lineitem JOIN orders ON l_orderkey=o_orderkey)
  SELECT o_orderpriority, count(*) AS trips, R4(avg(cast(d<=0 as int))) AS on_time, R4(avg(d)) AS mean_delay, R4(quantile_cont(d,0.5)) AS p50,
  R4(quantile_cont(d,0.9)) AS p90 FROM d GROUP BY 1""")
 def _(t):
-    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", F.date_add(F.to_date("o_orderdate"), 60).alias("planned"))
-    trips = t.lineitem.select("l_orderkey", "l_shipdate").join(o, "l_orderkey")
-    return E.on_time_performance(trips, "o_orderpriority", "planned", "l_shipdate")
+    return E.on_time_performance(_trips(t), ["o_orderpriority"], "planned", "l_shipdate")
+
+
+@query("e20_on_time_by_station_day", """WITH d AS (SELECT l_suppkey, cast(o_orderdate as date)+60 AS planned,
+ cast(date_diff('day', cast(o_orderdate as date)+60, cast(l_shipdate as date)) as double) AS d FROM lineitem JOIN orders ON l_orderkey=o_orderkey)
+ SELECT l_suppkey, strftime(planned,'%Y-%m-%d') AS planned, count(*) AS trips, R4(avg(cast(d<=0 as int))) AS on_time, R4(avg(d)) AS mean_delay,
+ R4(quantile_cont(d,0.5)) AS p50, R4(quantile_cont(d,0.9)) AS p90 FROM d GROUP BY 1,2""")
+def _(t):
+    return E.on_time_performance(_trips(t), ["l_suppkey", "planned"], "planned", "l_shipdate")
+
+
+def _reports(t):
+    return t.lineitem.select("l_orderkey", F.to_date("l_shipdate").alias("day"), "l_linenumber", "l_linestatus")
 
 
 @query("e21_shipment_status", """SELECT l_orderkey, arg_max(l_linestatus, strftime(l_shipdate,'%Y%m%d')||'-'||cast(l_linenumber as varchar)||'-'||l_linestatus) AS state,
  cast(cast(min(l_shipdate) as date) as varchar) AS first_at, cast(cast(max(l_shipdate) as date) as varchar) AS last_at, count(*) AS reports FROM lineitem GROUP BY 1""")
 def _(t):
-    rows = t.lineitem.select("l_orderkey", F.to_date("l_shipdate").alias("day"), "l_linenumber", "l_linestatus")
-    return E.shipment_status(rows, "l_orderkey", ["day", "l_linenumber", "l_linestatus"], "l_linestatus")
+    return E.shipment_status(_reports(t), "l_orderkey", ["day", "l_linenumber", "l_linestatus"], "l_linestatus")
+
+
+@query("e21_shipment_history", """WITH c AS (SELECT l_orderkey, l_linestatus, cast(l_shipdate as date) AS day, l_linenumber,
+ CASE WHEN lag(l_linestatus) OVER w = l_linestatus THEN 0 ELSE 1 END AS ch FROM lineitem
+ WINDOW w AS (PARTITION BY l_orderkey ORDER BY cast(l_shipdate as date), l_linenumber, l_linestatus)),
+ r AS (SELECT *, sum(ch) OVER (PARTITION BY l_orderkey ORDER BY day, l_linenumber, l_linestatus) AS run FROM c)
+ SELECT l_orderkey, l_linestatus, cast(min(day) as varchar) AS first_at, cast(max(day) as varchar) AS last_at, count(*) AS reports
+ FROM r GROUP BY l_orderkey, l_linestatus, run""")
+def _(t):
+    return E.shipment_history(_reports(t), "l_orderkey", ["day", "l_linenumber", "l_linestatus"], "l_linestatus")
 
 
 @query("e22_weather_statistics", """SELECT event_type, cast(cast(ts as date) as varchar) AS period, R4(min(value)) AS low, R4(max(value)) AS high, R4(avg(value)) AS mean_value,

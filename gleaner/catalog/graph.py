@@ -116,14 +116,14 @@ def _label_sql(rounds):
     for i in range(rounds):
         parts.append(f"""l{i + 1} AS MATERIALIZED (SELECT node, label FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, label) AS rn
  FROM (SELECT b.src AS node, l.label FROM b JOIN l{i} l ON b.dst=l.node UNION ALL SELECT node, label FROM l{i}) GROUP BY 1,2) WHERE rn=1)""")
-    return f"WITH {', '.join(parts)} SELECT node, label AS community FROM l{rounds}"
+    return f"WITH {', '.join(parts)} SELECT l.node, l.label AS community, (SELECT count(*)=0 FROM l{rounds} a JOIN l{rounds - 1} b USING (node) WHERE a.label<>b.label) AS converged FROM l{rounds} l"
 
 
-@query("g08_page_rank", _rank_sql(6))
+@query("g08_page_rank", _rank_sql(50))
 def _(t):
-    return G.page_rank(_named(t), "x", "y", rounds=6).select("node", (F.col("rank") * 1000).alias("permille"))
+    return G.page_rank(_named(t), "x", "y", tolerance=1e-10).select("node", (F.col("rank") * 1000).alias("permille"))
 
 
-@query("g09_communities", _label_sql(5))
+@query("g09_communities", _label_sql(40))
 def _(t):
-    return G.communities(_named(t), "x", "y", rounds=5).select("node", "community")
+    return G.communities(_named(t), "x", "y")

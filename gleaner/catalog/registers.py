@@ -64,14 +64,17 @@ def _(t):
     return H.longest_prefix_lookup(nums, "num", t.sql(PREFIXES), "prefix", "owner")
 
 
-@query("h07_company_mentions", f"""WITH d AS (SELECT source, lang, concat(text,' ',p_name) AS text FROM documents JOIN part ON p_partkey=doc_id)
- SELECT name, source, lang, count(*) AS mentions FROM (SELECT source, lang, unnest({TOK}) AS name FROM d)
- WHERE name IN (SELECT DISTINCT string_split(p_name,' ')[2] FROM part) GROUP BY 1,2,3""")
+@query("h07_company_mentions", f"""WITH d AS (SELECT source, lang, date '2024-01-01' + cast(doc_id%90 as int) AS seen, concat(text,' ',coalesce(p_name,'')) AS text
+ FROM documents LEFT JOIN part ON p_partkey=doc_id)
+ SELECT name, source, lang, strftime(date_trunc('month',seen),'%Y-%m-%d') AS period, count(*) AS mentions
+ FROM (SELECT source, lang, seen, unnest({TOK}) AS name FROM d)
+ WHERE name IN (SELECT DISTINCT string_split(p_name,' ')[2] FROM part) GROUP BY 1,2,3,4""")
 def _(t):
-    docs = t.documents.join(t.part, F.col("p_partkey") == F.col("doc_id")).select(
-        "source", "lang", F.concat("text", F.lit(" "), "p_name").alias("text"))
+    docs = t.documents.join(t.part, F.col("p_partkey") == F.col("doc_id"), "left").select(
+        "source", "lang", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")).alias("seen"),
+        F.concat("text", F.lit(" "), F.coalesce("p_name", F.lit(""))).alias("text"))
     names = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name"))
-    return H.company_mentions(docs, "text", ["source", "lang"], names, "name")
+    return H.company_mentions(docs, "text", ["source", "lang"], names, "name", "seen", "month")
 
 
 @query("h08_catalogue_availability", """SELECT md5(text) AS title, count(distinct source) AS sources, count(*) AS rows,

@@ -7,6 +7,7 @@ from gleaner.plans.derive import BASE
 from gleaner.sources import files as R
 from gleaner.sources import profile as P
 from gleaner.sources import sinks as W
+from gleaner.sources.tables import SCHEMAS
 
 
 @query("a01_read_table", """SELECT l_returnflag, l_linestatus, count(*) AS n, R4(sum(cast(l_quantity as decimal(18,2)))) AS quantity,
@@ -36,12 +37,12 @@ def _(t):
         F.col(R.BAD_ROW).isNull()).drop(R.BAD_ROW)
 
 
-@query("a04_read_xml_items", "SELECT doc_id, lang, md5(concat('t ',lang,' ',source)) AS digest FROM documents")
+@query("a04_read_xml_items", "SELECT doc_id, lang, source, md5(text) AS digest FROM documents")
 def _(t):
     path = W.scratch_folder(t.spark)
-    W.write_xml(t.documents.select("doc_id", "lang", F.concat(F.lit("t "), "lang", F.lit(" "), "source").alias("title")), path, "feed", "item")
-    items = R.read_xml_items(t.spark, path, "item", "doc_id bigint, lang string, title string")
-    return items.select("doc_id", "lang", F.md5("title").alias("digest"))
+    W.write_xml(t.documents.select("doc_id", "lang", "source", "text"), path, "feed", "item")
+    items = R.read_xml_items(t.spark, path, "item", "doc_id bigint, lang string, source string, text string")
+    return items.select("doc_id", "lang", "source", F.md5("text").alias("digest"))
 
 
 @query("a05_read_text_corpus", """SELECT lang, count(*) AS lines, cast(sum(length(line)) as bigint) AS chars FROM (
@@ -117,15 +118,19 @@ def _(t):
     return back.fillna("", ["label"])
 
 
-COLUMNS = {"region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
-           "labels": "doc_id quality toxic", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"}
+KIND = "CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' " \
+    "WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(any_value(typeof({c}))) END"
+
+
+def _columns(table: str) -> list[str]:
+    return [c.split()[0] for c in SCHEMAS[table].split(", ")]
 
 
 @query("a13_table_profile", " UNION ALL ".join(
-    f"""SELECT '{n}' AS "table", '{c}' AS "column", count(*) AS rows, R4(count(*) FILTER ({c} IS NULL)/count(*)) AS null_share, count(distinct {c}) AS distinct_values FROM {n}"""
-    for n, cs in COLUMNS.items() for c in cs.split()))
+    f"""SELECT '{n}' AS "table", '{c}' AS "column", {KIND.format(c=c)} AS "type", count(*) AS rows, R4(count(*) FILTER ({c} IS NULL)/count(*)) AS null_share,
+ count(distinct {c}) AS distinct_values FROM {n}""" for n in BASE for c in _columns(n)))
 def _(t):
-    return P.table_profile({n: getattr(t, n) for n in COLUMNS}, exact=True).drop("type")
+    return P.table_profile({n: getattr(t, n) for n in BASE}, exact=True)
 
 
 @query("a13_table_profile_sketch")

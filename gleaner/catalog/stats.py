@@ -144,6 +144,14 @@ def _(t):
     return S.message_stats(t.conversations, "conv_id", "role", "text")
 
 
+@query("f14_message_rates", """SELECT conv_id, role, count(*) AS messages, count(distinct conv_id%60+turn//4) AS days,
+ R4(count(*)/count(distinct conv_id%60+turn//4)) AS per_day, R4(avg(length(text))) AS mean_chars FROM conversations GROUP BY 1,2""")
+def _(t):
+    sent = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(
+        (F.col("conv_id") % 60).cast("int"), (F.col("turn") * 6).cast("int"))
+    return S.message_rates(t.conversations.withColumn("sent", sent), ["conv_id", "role"], "text", "sent")
+
+
 THREAD = """WITH RECURSIVE w AS (SELECT conv_id, turn, turn AS pos, parent, 0 AS depth FROM v_thread
  UNION ALL SELECT w.conv_id, w.turn, p.turn, p.parent, w.depth+1 FROM w JOIN v_thread p ON w.conv_id=p.conv_id AND w.parent=p.turn)"""
 

@@ -102,14 +102,18 @@ def _(t):
     return C.validate_mod97(t.customer.withColumn("code", code), "c_mktsegment", "code")
 
 
-@query("c10_validate_contact_syntax", rf"""WITH d AS (SELECT lang, regexp_extract(text,'[^ \n]+@[^ \n]+') AS m,
- concat('+',regexp_replace(regexp_extract(text,'\+[0-9 ()-]+'),'[^0-9]','','g')) AS p FROM documents),
- s AS (SELECT lang, cast(regexp_matches(m,'^{X.EMAIL}$') as int) AS gm, cast(regexp_matches(p,'^\+[1-9][0-9]{{6,14}}$') as int) AS gp FROM d)
+@query("c10_validate_contact_syntax", rf"""WITH d AS (SELECT lang, regexp_extract_all(text,'[^ \n]+@[^ \n]+') AS ms,
+ list_transform(regexp_extract_all(text,'\+[0-9 ()-]+'), lambda x: concat('+',regexp_replace(x,'[^0-9]','','g'))) AS ps FROM documents),
+ c AS (SELECT lang, ms[i] AS m, ps[i] AS p FROM d, unnest(range(1, greatest(coalesce(len(ms),0),coalesce(len(ps),0),1)+1)) u(i)),
+ s AS (SELECT lang, cast(coalesce(regexp_matches(m,'^{X.EMAIL}$'),false) as int) AS gm,
+ cast(coalesce(regexp_matches(p,'^\+[1-9][0-9]{{6,14}}$'),false) as int) AS gp FROM c)
  SELECT lang, count(*) AS n, R4(avg(gm)) AS mail_share, R4(avg(gp)) AS phone_share, R4(avg(6*gm+4*gp)) AS score FROM s GROUP BY 1""")
 def _(t):
-    d = t.documents.withColumn("mail", F.regexp_extract("text", r"[^ \n]+@[^ \n]+", 0)).withColumn(
-        "phone", F.concat(F.lit("+"), F.regexp_replace(F.regexp_extract("text", r"\+[0-9 ()-]+", 0), "[^0-9]", "")))
-    return C.validate_contact_syntax(d, "lang", "mail", "phone")
+    mails = F.regexp_extract_all("text", F.lit(r"[^ \n]+@[^ \n]+"), F.lit(0))
+    phones = F.transform(F.regexp_extract_all("text", F.lit(r"\+[0-9 ()-]+"), F.lit(0)),
+                         lambda x: F.concat(F.lit("+"), F.regexp_replace(x, "[^0-9]", "")))
+    pairs = F.explode_outer(F.arrays_zip(mails.alias("mail"), phones.alias("phone"))).alias("pair")
+    return C.validate_contact_syntax(t.documents.select("lang", pairs).select("lang", "pair.*"), "lang", "mail", "phone")
 
 
 @query("c11_hash_columns", """SELECT doc_id, md5(concat_ws('|',lang,text)) AS md5, sha1(concat_ws('|',lang,text)) AS sha1,
@@ -118,6 +122,12 @@ def _(t):
     return C.hash_columns(t.documents, "doc_id", ["lang", "text"]).drop("crc32")
 
 
+@query("c11_digest_groups", """SELECT sha256(concat_ws('|',lang,text)) AS sha256, count(*) AS rows, min(doc_id) AS first, max(doc_id) AS last
+ FROM documents GROUP BY 1 HAVING count(*)>1""")
+def _(t):
+    return C.digest_groups(t.documents, "doc_id", ["lang", "text"])
+
+
 @query("c12_encode_decode", """SELECT lang, count(*) FILTER (doc_id%10=0) AS base64_failed, count(*) FILTER (doc_id%7=0) AS hex_failed,
  count(*) FILTER (doc_id%11=0) AS url_failed, cast(sum(CASE WHEN doc_id%10<>0 THEN strlen(text) ELSE 0 END) as bigint) AS base64_bytes,
  cast(sum(CASE WHEN doc_id%7<>0 THEN strlen(text) ELSE 0 END) as bigint) AS hex_bytes,
@@ -247,11 +257,12 @@ def _(t):
     return C.cluster_texts(t.documents, "doc_id", "text", 4)
 
 
-@query("c25_term_timeline", """SELECT strftime(date_trunc('day',ts),'%Y-%m-%d %H:%M:%S') AS "at", count(*) AS rows,
- count(*) FILTER (regexp_matches(props,'[^0-9]7[^0-9]')) AS n_7, count(*) FILTER (regexp_matches(props,'[^0-9]42[^0-9]')) AS n_42
- FROM events GROUP BY 1""")
+@query("c25_term_timeline", f"""SELECT strftime(timestamp '2024-01-01' + to_days(cast(doc_id%60 as int)),'%Y-%m-%d %H:%M:%S') AS "at", count(*) AS rows,
+ count(*) FILTER (list_contains(toks,'that')) AS n_that, count(*) FILTER (list_contains(toks,'from')) AS n_from
+ FROM (SELECT doc_id, {TOK} AS toks FROM documents) GROUP BY 1""")
 def _(t):
-    return C.term_timeline(t.events, "props", "ts", ["7", "42"], "day")
+    seen = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("doc_id") % 60).cast("int"))
+    return C.term_timeline(t.documents.withColumn("seen", seen), "text", "seen", ["that", "from"], "day")
 
 
 _lat = f"translate(lower(text),'{X.CYRILLIC + X.ACCENTED}','{X.CYRILLIC_LATIN + X.PLAIN}')"

@@ -199,13 +199,13 @@ def _(t):
     return D.shared_tracker_groups(ids, "host", "tracker")
 
 
-@query("d16_lookalike_domains", rf"""WITH h AS (SELECT DISTINCT list_extract(list_reverse(string_split({HOST},'.')),3) AS label FROM pages),
+@query("d16_lookalike_domains", rf"""WITH h AS (SELECT DISTINCT unnest(string_split({HOST},'.')) AS label FROM pages),
  b AS (SELECT unnest(['thern','ththin','cheap-pi11s','spam-farn','theran']) AS brand),
  f AS (SELECT label, brand, replace(translate(lower(label),'013457$@','oleastsa'),'rn','m') AS x,
   replace(translate(lower(brand),'013457$@','oleastsa'),'rn','m') AS y FROM h, b WHERE label<>brand)
  SELECT label, brand, levenshtein(x,y) AS distance FROM f WHERE levenshtein(x,y)<=2""")
 def _(t):
-    hosts = t.pages.select(F.split_part(U.host_of(F.col("url")), F.lit("."), F.lit(-3)).alias("label"))
+    hosts = t.pages.select(F.explode(F.split(U.host_of(F.col("url")), r"\.")).alias("label"))
     brands = t.spark.createDataFrame([(b,) for b in ("thern", "ththin", "cheap-pi11s", "spam-farn", "theran")], "brand string")
     return D.lookalike_domains(hosts, "label", brands, "brand", 2)
 
@@ -257,12 +257,14 @@ def _(t):
     return D.expiring_domains(t.v_expiry, "expires_on", F.lit("2024-02-01").cast("date"), 10)
 
 
-@query("d22_registry_search", rf"""WITH r AS (SELECT list_extract(list_reverse(string_split({HOST},'.')),3) AS name,
+@query("d22_registry_search", rf"""WITH r AS (SELECT unnest(string_split({HOST},'.')[1:-2]) AS name,
  regexp_extract({HOST},'[^.]+$') AS tld FROM pages) SELECT name, count(distinct tld) AS zones, min(tld) AS first_zone, count(*) AS rows
  FROM r WHERE contains(name,'th') OR contains(name,'farm') GROUP BY 1""")
 def _(t):
     host = U.host_of(F.col("url"))
-    r = t.pages.select(F.split_part(host, F.lit("."), F.lit(-3)).alias("name"), F.substring_index(host, ".", -1).alias("tld"))
+    labels = F.split(host, r"\.")
+    r = t.pages.select(F.explode(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0)))).alias("name"),
+                       F.substring_index(host, ".", -1).alias("tld"))
     return D.registry_search(r, "name", "tld", ["th", "farm"])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import geocols as X
 from gleaner.operators.graph import shortest_paths
 from gleaner.operators.stats import epoch_seconds, latest
+from gleaner.operators.web import dns_history
 from gleaner.plans.scale import cut_lineage, exact_quantiles, lag_within, sized_chunks, top_k_per_group
 
 
@@ -225,13 +226,27 @@ def latest_position(df: DataFrame, mover: str, order: list[str], cols: list[str]
         F.max_by(F.struct(*order, *cols), F.struct(*order)).alias("_r")).select(mover, "_r.*")
 
 
-def on_time_performance(trips: DataFrame, carrier: str, planned: str, actual: str) -> DataFrame:
-    """Delay in days, share on time, exact median and 90th percentile by carrier."""
+def on_time_performance(trips: DataFrame, by: list[str], planned: str, actual: str) -> DataFrame:
+    """Delay in days, share on time, exact median and 90th percentile by carrier, station or day.
+
+    Trips are counted per delay first, which combines before the shuffle; everything
+    else comes from those counts. Trips without one of the two dates have no delay.
+    """
     late = F.date_diff(F.to_date(actual), F.to_date(planned)).cast("double")
-    rows = trips.select(carrier, late.alias("delay"))
-    base = rows.groupBy(carrier).agg(
-        F.count("*").alias("trips"), F.avg((F.col("delay") <= 0).cast("int")).alias("on_time"), F.avg("delay").alias("mean_delay"))
-    return base.join(exact_quantiles(rows, [carrier], "delay", {"p50": 0.5, "p90": 0.9}), carrier)
+    counts = trips.groupBy(*by, late.alias("delay")).agg(F.count("*").alias("n"))
+    known = F.sum(F.when(F.col("delay").isNotNull(), F.col("n")))
+    at = F.percentile("delay", [0.5, 0.9], F.col("n"))
+    return counts.groupBy(*by).agg(
+        F.sum("n").alias("trips"),
+        (F.coalesce(F.sum(F.when(F.col("delay") <= 0, F.col("n"))), F.lit(0)) / known).alias("on_time"),
+        (F.sum(F.col("delay") * F.col("n")) / known).alias("mean_delay"),
+        F.get(at, F.lit(0)).alias("p50"), F.get(at, F.lit(1)).alias("p90"))
+
+
+def shipment_history(events: DataFrame, number: str, order: list[str], state: str) -> DataFrame:
+    """Every stay of a container or voyage number in one state: first and last report, and how many."""
+    return dns_history(events, number, order, state).withColumnsRenamed(
+        {"valid_from": "first_at", "last_seen": "last_at", "sightings": "reports"})
 
 
 def shipment_status(events: DataFrame, number: str, order: list[str], state: str) -> DataFrame:

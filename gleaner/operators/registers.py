@@ -100,8 +100,12 @@ def longest_prefix_lookup(df: DataFrame, number: str, prefixes: DataFrame, prefi
         number, F.col(f"_b.{owner}").alias(owner), F.col("_b._n").alias("digits"))
 
 
-def company_mentions(docs: DataFrame, text: str, groups: list[str], names: DataFrame, name: str) -> DataFrame:
-    """Mentions of listed one-word names by group."""
+def company_mentions(docs: DataFrame, text: str, groups: list[str], names: DataFrame, name: str,
+                     ts: str | None = None, grain: str = "month") -> DataFrame:
+    """Mentions of listed one-word names by group and, with ``ts``, by ``period`` of that grain."""
+    if ts is not None:
+        docs = docs.withColumn("period", F.to_date(F.date_trunc(grain, F.col(ts))))
+        groups = [*groups, "period"]
     words = each(docs, groups, tokens(F.col(text)), name)
     return words.join(names.select(name).distinct(), name).groupBy(name, *groups).agg(F.count("*").alias("mentions"))
 

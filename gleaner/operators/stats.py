@@ -182,6 +182,16 @@ def message_stats(df: DataFrame, chat: str, role: str, text: str) -> DataFrame:
     )
 
 
+def message_rates(df: DataFrame, by: list[str], text: str, ts: str) -> DataFrame:
+    """Messages by chat, role or both: days with a message, messages per such day, mean length."""
+    daily = df.groupBy(*by, F.to_date(ts).alias("_day")).agg(
+        F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"), F.count(text).alias("texts"))
+    days = F.count("_day")
+    return daily.groupBy(*by).agg(
+        F.sum("n").alias("messages"), days.alias("days"), F.try_divide(F.sum("n"), days).alias("per_day"),
+        F.try_divide(F.sum("chars"), F.sum("texts")).alias("mean_chars"))
+
+
 def reply_matrix(df: DataFrame, chat: str, turn: str, role: str, roles: list[str]) -> DataFrame:
     """Who answers whom: rows answer, columns are the role answered."""
     parts = sized_chunks(df.select(chat, turn, role), [chat], [turn], F.floor(F.col(turn) / 1000))

@@ -119,6 +119,13 @@ def hash_columns(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     )
 
 
+def digest_groups(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Digests that several rows share: how many rows, and the least and greatest key."""
+    digest = F.sha2(F.concat_ws("|", *cols), 256)
+    return df.groupBy(digest.alias("sha256")).agg(
+        F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last")).where(F.col("rows") > 1)
+
+
 def decode_report(df: DataFrame, group: str, base64: str, hexed: str, url: str) -> DataFrame:
     """Decode stored base64, hex and URL-encoded columns; failures and sizes by group."""
     b = F.try_to_binary(base64, F.lit("base64"))

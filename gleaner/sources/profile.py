@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Times as JSON keep all their digits, so that values a microsecond apart count as two.
+MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def table_profile(tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:
     """Type, row count, null share and distinct count of every column, one pass per table.
 
@@ -18,7 +22,7 @@ def table_profile(tables: dict[str, DataFrame], exact: bool = False) -> DataFram
         types = dict(df.dtypes)
         if exact:
             cells = df.select(F.inline(F.array(*[
-                F.struct(F.lit(c).alias("column"), F.to_json(F.struct(F.col(c).alias("v"))).alias("v"),
+                F.struct(F.lit(c).alias("column"), F.to_json(F.struct(F.col(c).alias("v")), MICROSECONDS).alias("v"),
                          F.col(c).isNull().cast("int").alias("gone")) for c in df.columns])))
             per_value = cells.groupBy("column", F.xxhash64("v").alias("h"), F.md5("v").alias("d")).agg(
                 F.count("*").alias("n"), F.sum("gone").alias("gone"))

@@ -351,3 +351,43 @@ def test_null_content_is_captured_once(spark, tmp_path):
     for _ in range(3):
         sinks.append_snapshot(df, "html", "day", str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+
+
+def test_punctuality_from_counts_keeps_trips_without_a_date(spark):
+    from gleaner.operators import geo
+
+    rows = spark.sql("""SELECT * FROM VALUES ('a', date'2024-01-01', date'2024-01-03'), ('a', date'2024-01-01', date'2024-01-01'),
+        ('a', date'2024-01-01', null), ('b', date'2024-01-01', null) AS t(carrier, planned, actual)""")
+    got = {r.carrier: r for r in geo.on_time_performance(rows, ["carrier"], "planned", "actual").collect()}
+    assert (got["a"].trips, got["a"].on_time, got["a"].mean_delay, got["a"].p50, got["a"].p90) == (3, 0.5, 1.0, 1.0, 1.8)
+    assert (got["b"].trips, got["b"].on_time, got["b"].mean_delay, got["b"].p50) == (1, None, None, None)
+
+
+def test_mentions_by_period_and_rates_by_chat(spark):
+    from gleaner.operators import registers, stats
+
+    rows = spark.sql("""SELECT * FROM VALUES ('Acme and acme', 'x', timestamp'2024-01-05'), ('acme', 'x', timestamp'2024-02-05'),
+        (null, 'x', timestamp'2024-02-05'), ('other', 'y', null) AS t(text, chat, ts)""")
+    names = spark.sql("SELECT 'acme' AS name UNION ALL SELECT 'acme'")
+    got = registers.company_mentions(rows, "text", ["chat"], names, "name", "ts", "month").collect()
+    assert sorted((r.chat, str(r.period), r.mentions) for r in got) == [("x", "2024-01-01", 2), ("x", "2024-02-01", 1)]
+    rates = {r.chat: r for r in stats.message_rates(rows, ["chat"], "text", "ts").collect()}
+    assert (rates["x"].messages, rates["x"].days, rates["x"].per_day, rates["x"].mean_chars) == (3, 2, 1.5, 8.5)
+    assert (rates["y"].messages, rates["y"].days, rates["y"].per_day) == (1, 0, None)
+
+
+def test_profile_counts_times_a_microsecond_apart(spark):
+    from gleaner.sources.profile import table_profile
+
+    rows = spark.sql("""SELECT * FROM VALUES (timestamp_ntz'2024-01-01 00:00:00.000001'), (timestamp_ntz'2024-01-01 00:00:00.000002'),
+        (null) AS t(ts)""")
+    (got,) = table_profile({"t": rows}, exact=True).collect()
+    assert (got.type, got.rows, got.distinct_values) == ("timestamp_ntz", 3, 2)
+
+
+def test_digests_that_rows_share(spark):
+    from gleaner.operators import text
+
+    rows = spark.sql("SELECT * FROM VALUES (1, 'a', null), (2, 'a', null), (3, 'b', 'c'), (4, 'b', 'd') AS t(id, x, y)")
+    (got,) = text.digest_groups(rows, "id", ["x", "y"]).collect()
+    assert (got.rows, got.first, got.last) == (2, 1, 2)
