@@ -28,7 +28,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -46,7 +46,7 @@ from gleaner.plans.scale import cut_lineage
 
 STEP, BLOCK, BLOCK_ROWS = 1 << 21, 1 << 23, 1 << 16  # characters aligned at once, and bytes and rows of a block
 PARTS, BLOCKS_PER_CALL = 256, 128
-WORDS = 300_000
+WORDS = 400_000
 #: Words that a line end keeps apart like nothing else would: no line end or blank but one in front.
 PLAIN = re.compile(r" ?\S(?:.*\S)?").fullmatch
 ID_BITS = 16  # ids of A
@@ -76,16 +76,19 @@ class Words:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __call__(self, words: Iterable[str]) -> list[bytes]:
+    def __call__(self, words: list[str]) -> list[bytes]:
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing = [w for w in words if w not in new]
-        if old:
-            new.update((w, old[w]) for w in missing if w in old)
-            missing = [w for w in missing if w not in new]
-        some, texts = [], []
-        for w in missing:
+        got = list(map(new.get, words))
+        missing = [i for i, ids in enumerate(got) if ids is None]
+        some, texts, unknown = [], [], []
+        for i in missing:
+            w = words[i]
+            if (ids := old.get(w)) is not None:
+                got[i] = new[w] = ids
+                continue
+            unknown.append(i)
             text = w if self.blank == " " else w.replace(self.blank, " ")
             if not PLAIN(text):
                 self._learn([w], [text])
@@ -97,7 +100,9 @@ class Words:
                 some, texts = [], []
         if some:
             self._learn(some, texts)
-        return [new[w] for w in words]
+        for i in unknown:
+            got[i] = new[words[i]]
+        return got
 
     def _learn(self, words: list[str], texts: list[str]) -> None:
         whole = "\n".join(texts).encode()
@@ -145,7 +150,8 @@ class Aligner:
         self.words_b = Words(self._spans_b, dict(enumerate(self.cutter.surface)), WORDS, pieces.BLANK)
         digits = [b"%d" % i for i in range(1 << ID_BITS)]
         self.width = np.array([len(d) for d in digits], np.int64)
-        self.digits = np.frombuffer(b"".join(d.ljust(5) for d in digits), np.uint8).reshape(-1, 5)
+        self.digits = np.frombuffer(b"".join(d.ljust(6) for d in digits), np.uint8).reshape(-1, 6)
+        self.used = np.arange(6) <= self.width[:, None]  # the digits and the mark behind them
 
     def _spans_a(self, text: str) -> tuple[np.ndarray, ...]:
         got = self.a.encode(text, add_special_tokens=False)
@@ -163,9 +169,9 @@ class Aligner:
     @staticmethod
     def _tokens(words: list[str], first: np.ndarray, known: Words) -> tuple[np.ndarray, ...]:
         """(ids, byte lengths, tokens per text, whole) of texts given as words and the index of each text's first."""
-        index = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        got = known(index)
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        at = coded.indices.to_numpy()
+        got = known(coded.dictionary.to_pylist())
         ids = np.frombuffer(b"".join(got), known.kind)
         sizes = np.fromiter(map(len, got), np.int64, len(got)) // ids.itemsize
         begin, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
@@ -218,16 +224,11 @@ class Aligner:
         mark = np.full(len(ids), ord(","), np.uint8)
         mark[place_a[upto_a - 1]] = ord("|")
         mark[place_b[np.cumsum(in_b) - 1]] = ord(";")
-        size = self.width[ids] + 1
-        ends = np.cumsum(size)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        size = self.width[ids]
         digits = self.digits[ids]
-        begin = ends - size
-        for k in range(5):
-            have = size > k + 1
-            out[begin[have] + k] = digits[have, k]
-        out[ends - 1] = mark
-        text = out.tobytes()
+        digits[np.arange(len(ids)), size] = mark
+        text = digits[self.used[ids]].tobytes()
+        ends = np.cumsum(size + 1)
         stops = np.append(0, ends)[np.cumsum(sizes)].tolist()
         starts = [0, *stops[:-1]]
         return [hashlib.sha256(text[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(starts, stops)]
