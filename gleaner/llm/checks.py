@@ -58,16 +58,18 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM d, unnest(range(1, len(w) - 1)) t(i)),
 rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY r),
-l AS (SELECT r, count(*) AS n_lines, count(DISTINCT line) AS n_distinct FROM (
-    SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+l AS (SELECT r, sum(n) AS n_lines, count(*) AS n_distinct, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n_unlike FROM (
+    SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY r),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines - n_distinct, 0)::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
+    (len(w) - coalesce(n_unlike, 0))::BIGINT AS n_dup_words,
     (length(t) - length(regexp_replace(t, '\p{Lu}+', '', 'g')))::BIGINT AS n_upper
     FROM d LEFT JOIN rep USING (r) LEFT JOIN l USING (r)),
 f AS (SELECT *, (n_words < 50) OR (n_repeat_words * 100 > n_words * 50) AS base_failed,
     (n_words < 50)::BIGINT + 2 * (n_repeat_words * 100 > n_words * 50)::BIGINT + 4 * (n_symbols * 10 > n_words)::BIGINT
-    + 8 * (n_dup_lines * 100 > n_lines * 30)::BIGINT
+    + 8 * (n_dup_words * 100 > n_words * 30)::BIGINT
     + 16 * ((word_chars > n_words * 12) OR (word_chars * 2 < n_words * 5))::BIGINT
     + 32 * (n_upper * 100 > word_chars * 40)::BIGINT AS failed_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules = 0 AS kept, failed_rules FROM f

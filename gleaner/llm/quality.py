@@ -5,9 +5,13 @@ one failure bit per rule; policies are masks over those bits, so that a new poli
 version or an ablation is a bitwise expression over the ledger and never reads a
 text again.
 
+Repeated lines are judged by the words in them (``n_dup_words``), so that a short text
+whose opening line comes again at its end is not taken for boilerplate.
+
 Defined cases: a null or empty text has no words and fails ``few_words``; rows that
 repeat are measured each; columns of the input are kept as they are and new names
-that clash are put into one struct whose name is free.
+that clash are put into one struct whose name is free; an empty table gives an empty
+ledger; a very long text is measured whole, in the memory of one row.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ RULES = (
     Rule(0, "few_words", lambda m: m("n_words") < 50),
     Rule(1, "repeated_words", lambda m: m("n_repeat_words") * 100 > m("n_words") * 50),
     Rule(2, "symbols", lambda m: m("n_symbols") * 10 > m("n_words")),
-    Rule(3, "duplicate_lines", lambda m: m("n_dup_lines") * 100 > m("n_lines") * 30),
+    Rule(3, "duplicate_lines", lambda m: m("n_dup_words") * 100 > m("n_words") * 30),
     Rule(4, "word_length", lambda m: (m("word_chars") > m("n_words") * 12) | (m("word_chars") * 2 < m("n_words") * 5)),
     Rule(5, "shouting", lambda m: m("n_upper") * 100 > m("word_chars") * 40),
 )
@@ -52,6 +56,7 @@ POLICIES = {
 }
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper",
+    "n_dup_words",
 )
 
 
@@ -87,14 +92,17 @@ def measured(docs: DataFrame, text: str = "text", out: str = "m") -> DataFrame:
     p = F.col(at)
     covered = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
     lines = F.col(f"{small}.lines")
+    unlike = F.array_distinct(lines)
+    in_unlike = F.regexp_count(F.array_join(unlike, "\n"), F.lit(WORD))
     return three.select(*cols(docs), F.struct(
         F.col(n).alias("n_words"),
         F.col(f"{small}.word_chars"),
         F.col(f"{small}.n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        (F.size(lines) - F.size(unlike)).cast("long").alias("n_dup_lines"),
         F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         F.col(f"{small}.n_upper"),
+        F.when(F.size(lines) == F.size(unlike), F.lit(0)).otherwise(F.col(n) - in_unlike).cast("long").alias("n_dup_words"),
     ).alias(out))
 
 

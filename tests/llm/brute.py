@@ -95,10 +95,11 @@ def kept_by_rules(text):
     n, grams = len(w), Counter(zip(w, w[1:], w[2:]))
     cover = {i + k for i in range(n - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
     ls = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    unlike = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in set(ls))
     chars = sum(map(len, w))
     return not (
         n < 50 or 100 * len(cover) > 50 * n or 10 * len(re.findall(r"[#*$%&|<>]", text)) > n
-        or 100 * (len(ls) - len(set(ls))) > 30 * len(ls) or chars > 12 * n or 2 * chars < 5 * n
+        or 100 * (n - unlike) > 30 * n or chars > 12 * n or 2 * chars < 5 * n
         or 100 * sum(c.isupper() for c in text) > 40 * chars)
 
 

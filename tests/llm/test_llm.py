@@ -207,6 +207,17 @@ def test_rules_and_ablations(odd, none):
     assert quality.kept_documents(none).count() == 0 and quality.kept_documents(odd).columns == odd.columns
 
 
+def test_repeated_lines_are_judged_by_their_words(spark):
+    rng = random.Random(9)
+    opening, middle = _sentence(rng, 12), _sentence(rng, 70)
+    chorus = [_sentence(rng, 15) for _ in range(6)]
+    rows = [(1, f"{opening}\n{middle}\n{opening}"), (2, "\n".join([*chorus, *chorus])), (3, "\n".join([*chorus, "", chorus[0]]))]
+    got = {r.doc_id: r.ledger for r in quality.ledger(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (v.n_dup_lines, v.n_dup_words) for k, v in got.items()} == {1: (1, 12), 2: (6, 90), 3: (1, 15)}
+    lines_bit = quality.BITS["duplicate_lines"]
+    assert {k for k, v in got.items() if v.failed & lines_bit} == {2} and got[1].failed == 0
+
+
 @pytest.mark.parametrize("sample,per_range", [(4096, 1_000_000), (64, 2)])
 def test_shards(docs, odd, none, sample, per_range):
     for frame in (docs, odd):
