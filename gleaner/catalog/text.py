@@ -214,7 +214,16 @@ def _(t):
     return C.summarise_extractive(t.documents, "doc_id", "text", 2)
 
 
-@query("c20_near_duplicates")
+@query("c20_near_duplicates", rf"""WITH w AS (SELECT doc_id, {TOK} AS w FROM documents),
+ c AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY array_to_string(w,' ')) AS lead FROM w),
+ g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w)<3 THEN [array_to_string(w,' ')] ELSE
+  list_transform(generate_series(1,len(w)-2), lambda i: array_to_string(w[i:i+2],' ')) END) AS g FROM c WHERE doc_id=lead),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+ o AS (SELECT b.doc_id, a.doc_id AS lead, count(*) AS both FROM g b JOIN g a ON a.g=b.g AND a.doc_id<b.doc_id GROUP BY 1,2),
+ j AS (SELECT o.doc_id, o.lead, o.both/cast(x.n+y.n-o.both as double) AS jaccard
+  FROM o JOIN n x ON x.doc_id=o.doc_id JOIN n y ON y.doc_id=o.lead)
+ SELECT doc_id, lead AS leader, 1.0::double AS jaccard FROM c WHERE doc_id<>lead
+ UNION ALL SELECT doc_id, min(lead), R4(arg_min(jaccard, lead)) FROM j WHERE jaccard>=0.7 GROUP BY 1""")
 def _(t):
     return C.near_duplicates(t.documents, "doc_id", "text", 0.7)
 

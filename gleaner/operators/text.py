@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import textcols as X
 from gleaner.functions.rows import each, each_at, pin
 from gleaner.plans.leaders import follow_leaders
-from gleaner.plans.scale import cut_lineage, spread, top_k_per_group
+from gleaner.plans.scale import cut_lineage, top_k_per_group
 
 
 def detect_pii(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -224,40 +222,46 @@ def summarise_extractive(df: DataFrame, key: str, text: str, k: int) -> DataFram
     return sent.join(best, [key, "at"]).select(key, "position", "at", "score", "sentence")
 
 
-def minhash_bands(bands: int, rows: int, seed: int = 13):
-    """Pandas UDF: MinHash bucket numbers, one per band, of an array of shingle hashes."""
-    rng = np.random.default_rng(seed)
-    mult = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-    fold = rng.integers(1, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    number = np.arange(bands, dtype=np.uint64)
-
-    @F.pandas_udf("array<bigint>")
-    def buckets(column: pd.Series) -> pd.Series:
-        sizes = column.str.len().fillna(0).to_numpy().astype(np.int64)
-        least = np.full((bands * rows, len(column)), np.iinfo(np.uint64).max, dtype=np.uint64)
-        some = np.flatnonzero(sizes)
-        if len(some):
-            s = np.concatenate(column.to_numpy()[some]).astype(np.int64).view(np.uint64)
-            starts = (np.cumsum(sizes) - sizes)[some]
-            for j in range(bands * rows):  # one pass over the whole batch per hash function
-                least[j, some] = np.minimum.reduceat(s * mult[j] + plus[j], starts)
-        keys = (least.T.reshape(len(column), bands, rows) * fold).sum(axis=2, dtype=np.uint64)
-        return pd.Series(list((keys * np.uint64(bands) + number).view(np.int64)))
-
-    return buckets
-
-
-def near_duplicates(
-    df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 3,
-    bands: int = 16, rows: int = 4,
-) -> DataFrame:
+def prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
+    """The rarest shared entries of each set, as buckets (id, bucket, about = size and place of the entry).
+
+    ``sets`` is (id, s). With the entries of a set in one order, rarest first, two sets of a Jaccard of
+    ``threshold`` or more share one of the first ``n - ceil(threshold * n) + 1``. Entries of one set only
+    stand first and are counted, not kept, so what most sets have in common is rarely a bucket.
+    """
+    entries = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    shared = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = entries.join(shared, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    alone = F.col("n") - F.size("t")
+    most = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    first = pin(ordered, ["id", "n"], alone=alone, t=F.slice("t", F.lit(1), F.greatest(most - alone, F.lit(0)).cast("int")))
+    return each_at(first, ["id", "n", "alone"], F.col("t.h"), "at", "bucket").select(
+        "id", "bucket", F.struct("n", (F.col("alone") + F.col("at")).alias("at")).alias("about"))
+
+
+def may_reach(threshold: float):
+    """Whether sets that meet in a bucket can have a Jaccard of ``threshold``, from sizes and places alone.
+
+    The bound on places holds for the first entry two sets share, where they meet in any case.
+    """
+    def may(x: Column, y: Column) -> Column:
+        sizes = F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * threshold - 1e-9
+        rest = F.least(x["n"] - x["at"], y["n"] - y["at"])
+        return sizes & (rest >= (x["n"] + y["n"]) * (threshold / (1 + threshold)) - 1e-9)
+
+    return may
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 3) -> DataFrame:
     """Each near copy with the leader it repeats and their exact Jaccard of word n-grams.
 
-    Equal texts are folded first; distinct texts that agree on a MinHash band meet
-    in a bucket and are compared with the leader of the bucket, never pair by pair.
+    Of equal texts (equal words in order) the smallest key stands for all and leads the others. Every
+    such representative follows the smallest representative of a Jaccard of ``threshold`` or more, none
+    missed: sets meet on their rarest shared n-grams, bounded by size and place, and are compared with
+    leaders in order of their keys, never pair by pair. Texts of fewer than ``n`` words are one n-gram;
+    texts without words are equal to each other, and a null text follows nothing.
     """
-    words = pin(df, [key], _w=X.tokens(F.col(text)))
+    words = pin(df.where(F.col(text).isNotNull()), [key], _w=X.tokens(F.col(text)))
     grams = F.when(F.size("_w") >= n, X.ngrams(F.col("_w"), n)).otherwise(
         F.array(F.array_join("_w", " "))
     )
@@ -271,13 +275,13 @@ def near_duplicates(
     )
     first = copies.select(F.col("leader").alias(key))
     shingles = cut_lineage(texts.join(first, key, "left_semi").select(F.col(key).alias("id"), "s"))
-    buckets = each(spread(shingles), ["id"], minhash_bands(bands, rows)("s"), "bucket")
 
     def jaccard(x: Column, y: Column) -> Column:
         both = F.size(F.array_intersect(x, y))
         return both / (F.size(x) + F.size(y) - both)
 
-    near = follow_leaders(shingles.withColumnRenamed("s", "item"), buckets, jaccard, threshold)
+    near = follow_leaders(
+        shingles.withColumnRenamed("s", "item"), prefix_buckets(shingles, threshold), jaccard, threshold, may_reach(threshold))
     return exact.unionByName(
         near.select(F.col("id").alias(key), "leader", F.col("score").alias("jaccard")))
 
