@@ -140,23 +140,39 @@ def version_number(version: Column) -> Column:
     return F.concat(main, F.when(F.coalesce(before, F.lit("")) == "", F.array(F.lit(0).cast("bigint"))).otherwise(early))
 
 
-def deletions(name: Column, edits: int) -> Column:
-    """The name and every string made by deleting up to ``edits`` characters.
+def _piece(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
+    """Start and size of piece ``i`` of a string cut into ``edits`` + 1 pieces of near equal size."""
+    cut = lambda j: F.floor(length * j / (edits + 1)).cast("int")
+    return cut(i), cut(i + 1) - cut(i)
 
-    Two names within ``edits`` changes of each other share at least one entry.
+
+def segments(name: Column, edits: int) -> Column:
+    """The ``edits`` + 1 pieces a name is cut into, each with the length of the name and its number.
+
+    Pass a plain column. Of a name within ``edits`` changes, ``probes`` holds at least one of them: fewer
+    changes than pieces leave one piece as it is, moved by ``edits`` places at most.
     """
-    def once(words: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                words,
-                lambda w: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
-                    lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)),
-                ),
-            )
-        )
+    def piece(i: Column) -> Column:
+        at, size = _piece(F.length(name), i, edits)
+        return F.struct(F.length(name).alias("length"), i.alias("i"), F.substr(name, at + 1, size).alias("piece"))
+
+    return F.transform(F.array(*[F.lit(i) for i in range(edits + 1)]), piece)
 
-    out = F.array(name)
-    for _ in range(edits):
-        out = F.array_distinct(F.concat(out, once(out)))
-    return out
+
+def probes(name: Column, edits: int) -> Column:
+    """The pieces that names of every length within ``edits`` changes may share with this one.
+
+    Their number depends on ``edits`` alone, not on the length of the name: (2 ``edits`` + 1)^2 (``edits`` + 1).
+    """
+    span = range(-edits, edits + 1)
+    steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(m).alias("m"))
+                      for d in span for i in range(edits + 1) for m in span])
+
+    def piece(s: Column) -> Column:
+        length = F.length(name) + s["d"]
+        start, size = _piece(length, s["i"], edits)
+        at = start + s["m"]
+        fits = (length >= 0) & (at >= 0) & (at + size <= F.length(name))
+        return F.when(fits, F.struct(length.alias("length"), s["i"].alias("i"), F.substr(name, at + 1, size).alias("piece")))
+
+    return F.array_distinct(F.filter(F.transform(steps, piece), lambda x: x.isNotNull()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.rows import each
 from gleaner.functions.textcols import tokens
-from gleaner.functions.webcols import deletions
+from gleaner.functions.webcols import probes, segments
 from gleaner.plans.scale import top_k_per_group
 
 # Legal forms left out of company names.
@@ -26,17 +26,16 @@ def watchlist_screening(names: DataFrame, name: str, listed: DataFrame, entry: s
                         edits: int, threshold: float) -> DataFrame:
     """Company names within ``edits`` changes of a listed one, with score 1 - distance / length.
 
-    Distinct names are matched once, on shared deletions, and joined back to their rows.
+    Distinct names are matched once, on a shared piece of the listed name, and joined back to their rows.
+    Null names match nothing.
     """
     keys = names.select(company_key(F.col(name)).alias("_n")).distinct()
     wanted = listed.select(entry, company_key(F.col(entry)).alias("_e"))
-    left = each(keys, ["_n"], deletions(F.col("_n"), edits), "_k")
-    right = each(wanted.select("_e").distinct(), ["_e"], deletions(F.col("_e"), edits), "_k")
-    near = left.join(right, "_k").select("_n", "_e").distinct()
-    d = F.levenshtein("_n", "_e")
-    score = 1 - d / F.greatest(F.length("_n"), F.length("_e"))
-    scored = near.select("_n", "_e", d.alias("edits"), score.alias("score")).where(
-        (F.col("edits") <= edits) & (F.col("score") >= threshold))
+    left = each(keys, ["_n"], probes(F.col("_n"), edits), "_k")
+    right = each(wanted.select("_e").distinct(), ["_e"], segments(F.col("_e"), edits), "_k")
+    near = left.join(right, "_k").select("_n", "_e", F.levenshtein("_n", "_e", edits).alias("edits")).where("edits >= 0").distinct()
+    score = 1 - F.col("edits") / F.greatest(F.length("_n"), F.length("_e"), F.lit(1))
+    scored = near.withColumn("score", score).where(F.col("score") >= threshold)
     hits = scored.join(wanted, "_e").drop("_e")
     return names.withColumn("_n", company_key(F.col(name))).join(hits, "_n").drop("_n")
 

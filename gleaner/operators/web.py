@@ -245,17 +245,18 @@ def shared_tracker_groups(df: DataFrame, site: str, tracker: str) -> DataFrame:
 def lookalike_domains(hosts: DataFrame, host: str, brands: DataFrame, brand: str, edits: int) -> DataFrame:
     """Host labels within ``edits`` changes of a protected name after look-alike folding.
 
-    Both sides are keyed by shared deletions, so only near names ever meet.
+    Protected names are cut into ``edits`` + 1 pieces, one of which a near label must hold, so only
+    labels that share a piece at about its place ever meet.
     """
     left = hosts.select(host).distinct().select(
         host, U.fold_lookalikes(F.col(host)).alias("_h"))
-    left = each(left, [host, "_h"], U.deletions(F.col("_h"), edits), "_k")
+    left = each(left, [host, "_h"], U.probes(F.col("_h"), edits), "_k")
     right = brands.select(brand).distinct().select(
         brand, U.fold_lookalikes(F.col(brand)).alias("_b"))
-    right = each(right, [brand, "_b"], U.deletions(F.col("_b"), edits), "_k")
-    near = left.join(right, "_k").where(F.col(host) != F.col(brand)).select(host, brand, "_h", "_b").distinct()
+    right = each(right, [brand, "_b"], U.segments(F.col("_b"), edits), "_k")
     d = F.levenshtein("_h", "_b", edits)
-    return near.withColumn("distance", d).where(F.col("distance") >= 0).select(host, brand, "distance")
+    near = left.join(right, "_k").where(F.col(host) != F.col(brand)).select(host, brand, d.alias("distance"))
+    return near.where("distance >= 0").distinct()
 
 
 def blocklist_match(df: DataFrame, key: str, host: str, feed: DataFrame, entry: str) -> DataFrame:

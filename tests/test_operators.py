@@ -182,12 +182,13 @@ def test_prefix_lookup_picks_narrowest(spark):
                    5000: "a", 5001: "world", 2**32 - 1: "world"}
 
 
-def test_deletion_keys_find_every_near_name(spark):
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_shared_pieces_find_every_near_name(spark, edits):
     rnd = random.Random(6)
-    names = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 5))) for _ in range(60)})
+    names = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9))) for _ in range(120)})
     hosts = spark.createDataFrame([(n,) for n in names], "h string")
     brands = spark.createDataFrame([(n,) for n in names[::4]], "b string")
-    got = {(r["h"], r["b"]) for r in web.lookalike_domains(hosts, "h", brands, "b", 2).collect()}
+    got = {(r["h"], r["b"]) for r in web.lookalike_domains(hosts, "h", brands, "b", edits).collect()}
     def lev(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -195,7 +196,21 @@ def test_deletion_keys_find_every_near_name(spark):
             for j, y in enumerate(b, 1):
                 prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
         return row[-1]
-    assert got == {(h, b) for h in names for b in names[::4] if h != b and lev(h, b) <= 2}
+    assert got == {(h, b) for h in names for b in names[::4] if h != b and lev(h, b) <= edits}
+
+
+def test_keys_per_name_do_not_grow_with_its_length(spark):
+    df = spark.createDataFrame([(n, "".join(chr(97 + i * i % 23) for i in range(n))) for n in (0, 1, 8, 64, 4000)], "n int, s string")
+    rows = {r["n"]: (r["asked"], r["kept"]) for r in df.select(
+        "n", F.size(webcols.probes(F.col("s"), 2)).alias("asked"), F.size(webcols.segments(F.col("s"), 2)).alias("kept")).collect()}
+    assert all(asked <= 75 and kept == 3 for asked, kept in rows.values())
+
+
+def test_screening_with_short_and_missing_names(spark):
+    names = spark.createDataFrame([(1, "AB"), (2, None), (3, ""), (4, "Gazprom Neft Ltd"), (4, "Gazprom Neft Ltd")], "id int, n string")
+    listed = spark.createDataFrame([("A",), ("GAZPRON NEFT",), (None,), ("ABCDEFG",)], "e string")
+    got = registers.watchlist_screening(names, "n", listed, "e", 2, 0.5).select("id", "e", "edits").collect()
+    assert sorted(map(tuple, got)) == [(1, "A", 1), (4, "GAZPRON NEFT", 1), (4, "GAZPRON NEFT", 1)]
 
 
 def test_diff_added_plus_kept_is_new_version(spark):
