@@ -28,15 +28,19 @@ def _(t):
     return E.within_bbox(t.v_geo, -20, 150, 30, -120).select("id")
 
 
-@query("e04_points_in_polygons", """WITH s AS (SELECT a.zone, a.lat AS y1, a.lon AS x1, b.lat AS y2, b.lon AS x2 FROM v_zone a JOIN v_zone b
- ON a.zone=b.zone AND b.i=a.i%5+1)
- SELECT id, zone FROM (SELECT p.id, s.zone, count(*) FILTER ((y1>lat)<>(y2>lat) AND lon<(x2-x1)*(lat-y1)/nullif(y2-y1,0)+x1) AS n
- FROM v_geo p, s GROUP BY 1,2) WHERE n%2=1""")
+EASTWARD = "(CASE WHEN abs({b}-{a})>180 THEN {b}-{a}-360*sign({b}-{a}) ELSE {b}-{a} END)"
+
+
+@query("e04_points_in_polygons", f"""WITH d AS (SELECT *, lag(lon) OVER w AS was, first_value(lon) OVER w AS f FROM v_zone WINDOW w AS (PARTITION BY zone ORDER BY i)),
+ u AS (SELECT zone, i, lat, lon+360*sum(CASE WHEN lon-was<-180 THEN 1 WHEN lon-was>180 THEN -1 ELSE 0 END) OVER (PARTITION BY zone ORDER BY i) AS lon FROM d),
+ s AS (SELECT a.zone, a.lat AS y1, a.lon AS x1, b.lat AS y2, b.lon AS x2 FROM u a JOIN u b ON a.zone=b.zone AND b.i=a.i%5+1)
+ SELECT DISTINCT id, zone FROM (SELECT p.id, s.zone, k, count(*) FILTER ((y1>lat)<>(y2>lat) AND lon+k<(x2-x1)*(lat-y1)/nullif(y2-y1,0)+x1) AS n
+ FROM v_geo p, s, (VALUES (-720), (-360), (0), (360), (720)) t(k) GROUP BY 1,2,3) WHERE n%2=1""")
 def _(t):
     return E.points_in_polygons(t.v_geo, E.rings(t.v_zone, ["zone"]), "zone").select("id", "zone")
 
 
-RING = f"""m AS (SELECT a.plot, a.kind, abs(sum(radians(b.lon-a.lon)*(sin(radians(a.lat))+sin(radians(b.lat)))/2))*{EARTH_KM}::double*{EARTH_KM}::double AS km2,
+RING = f"""m AS (SELECT a.plot, a.kind, abs(sum(radians({EASTWARD.format(a='a.lon', b='b.lon')})*(sin(radians(a.lat))+sin(radians(b.lat)))/2))*{EARTH_KM}::double*{EARTH_KM}::double AS km2,
  sum({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS km FROM v_plot a JOIN v_plot b ON a.plot=b.plot AND b.i=a.i%4+1 GROUP BY 1,2)"""
 
 

@@ -23,6 +23,26 @@ def cell(value: Column, size: float) -> Column:
     return F.floor(value / size)
 
 
+def eastward(start: Column, end: Column) -> Column:
+    """Degrees from one longitude to another the short way; half a turn keeps its sign."""
+    d = end - start
+    return F.when(F.abs(d) > 180, d - 360 * F.signum(d)).otherwise(d)
+
+
+def date_line_turns(ring: Column) -> Column:
+    """Places of a ring (array of lat, lon) where an edge crosses the date line: vertex from 0, and 1 east or -1 west."""
+    before = F.concat(F.slice(ring, 1, 1), F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
+    d = F.zip_with(ring, before, lambda p, q: p["lon"] - q["lon"])
+    turn = F.transform(d, lambda x, i: F.struct(i.alias("i"), F.when(x < -180, 1).when(x > 180, -1).otherwise(0).alias("way")))
+    return F.filter(turn, lambda t: t["way"] != 0)
+
+
+def unrolled(ring: Column, turns: Column) -> Column:
+    """The ring with longitudes that go on past the date line. Pass plain columns."""
+    way = lambda i: F.aggregate(F.filter(turns, lambda t: t["i"] <= i), F.lit(0), lambda acc, t: acc + t["way"])
+    return F.transform(ring, lambda p, i: F.struct(p["lat"].alias("lat"), (p["lon"] + 360 * way(i)).alias("lon")))
+
+
 def inside_ring(lat: Column, lon: Column, ring: Column) -> Column:
     """True when the point lies inside the ring (array of lat, lon), by crossing count."""
     after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
@@ -40,7 +60,7 @@ def ring_area_km2(ring: Column) -> Column:
     after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
     parts = F.zip_with(
         ring, after,
-        lambda p, q: F.radians(q["lon"] - p["lon"]) * (F.sin(F.radians(p["lat"])) + F.sin(F.radians(q["lat"]))) / 2,
+        lambda p, q: F.radians(eastward(p["lon"], q["lon"])) * (F.sin(F.radians(p["lat"])) + F.sin(F.radians(q["lat"]))) / 2,
     )
     return F.abs(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)) * EARTH_KM * EARTH_KM
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import geocols as X
+from gleaner.functions.rows import pin
 from gleaner.operators.graph import shortest_paths
 from gleaner.operators.stats import epoch_seconds, latest
 from gleaner.operators.web import dns_history
@@ -43,19 +44,35 @@ def rings(vertices: DataFrame, keys: list[str], order: str = "i") -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, polys: DataFrame, name: str, cell: float = 10.0) -> DataFrame:
-    """Join points to the areas that hold them: equal grid cells first, then ray casting."""
+    """Join points to the areas that hold them: equal grid cells first, then ray casting.
+
+    Edges go the short way round, so a ring may cross the date line; ``cell`` has to divide 360. The
+    inside of a ring is what it holds with its last vertex joined straight to its first; a ring around
+    a pole does not close that way and has to name the pole's latitude among its vertices. Points and
+    rings without a position match nothing.
+    """
+    columns = round(360 / cell)
+    if abs(columns * cell - 360) > 1e-9:
+        raise ValueError("cell has to divide 360")
+    turned = pin(polys, [name, "ring"], _turns=X.date_line_turns(F.col("ring")))
+    flat = pin(turned, [name], ring=X.unrolled(F.col("ring"), F.col("_turns")))
     lats, lons = F.col("ring.lat"), F.col("ring.lon")
     def span(c: Column) -> Column:
         return F.sequence(X.cell(F.array_min(c), cell), X.cell(F.array_max(c), cell))
     cover = (
-        polys.select(name, "ring", F.explode(span(lats)).alias("_ci"))
-        .withColumn("_cj", F.explode(span(lons)))
+        flat.select(name, "ring", F.array_min(lons).alias("_west"), F.array_max(lons).alias("_east"),
+                    F.explode(span(lats)).alias("_ci"))
+        .withColumn("_cj", F.explode(F.array_distinct(F.transform(span(F.col("ring.lon")), lambda j: F.pmod(j, F.lit(columns))))))
     )
-    placed = points.withColumn("_ci", X.cell(F.col("lat"), cell)).withColumn("_cj", X.cell(F.col("lon"), cell))
+    placed = points.withColumn("_ci", X.cell(F.col("lat"), cell)).withColumn(
+        "_cj", F.pmod(X.cell(F.col("lon"), cell), F.lit(columns)))
+    # the first turn of the globe on which the point is not west of the ring
+    lon = F.col("lon") + 360 * F.ceil((F.col("_west") - F.col("lon")) / 360)
+    again = (F.col("_east") - F.col("_west") > 360) & X.inside_ring(F.col("lat"), lon + 360, F.col("ring"))
     return (
         placed.join(cover, ["_ci", "_cj"])
-        .where(X.inside_ring(F.col("lat"), F.col("lon"), F.col("ring")))
-        .drop("_ci", "_cj", "ring")
+        .where(X.inside_ring(F.col("lat"), lon, F.col("ring")) | again)
+        .drop("_ci", "_cj", "ring", "_west", "_east")
     )
 
 

@@ -245,6 +245,21 @@ def test_ipv4_and_versions(spark):
     assert r[0] == 16909060 and r[1] is None and r[2] > r[3]
 
 
+def test_areas_across_the_date_line(spark):
+    corners = {"pacific": [(10, 170), (-10, 170), (-10, -170), (10, -170)], "zero": [(10, -5), (-10, -5), (-10, 5), (10, 5)]}
+    rows = [(z, i, float(a), float(o)) for z, c in corners.items() for i, (a, o) in enumerate(c)]
+    for start in range(4):  # whichever vertex comes first
+        turned = [(z, (i + start) % 4, a, o) for z, i, a, o in rows]
+        ring = geo.rings(spark.createDataFrame(turned, "zone string, i int, lat double, lon double"), ["zone"])
+        pts = spark.createDataFrame(
+            [(1, 0.0, 179.5), (2, 0.0, -179.5), (3, 0.0, 0.0), (4, 0.0, 169.0), (5, 0.0, -169.0), (6, 11.0, 180.0), (7, None, 1.0)],
+            "id int, lat double, lon double")
+        got = {(r["id"], r["zone"]) for r in geo.points_in_polygons(pts, ring, "zone").collect()}
+        assert got == {(1, "pacific"), (2, "pacific"), (3, "zero")}, start
+        km2 = {r["zone"]: r["km2"] for r in geo.polygon_measures(ring).collect()}
+        assert km2["pacific"] == pytest.approx(2 * km2["zero"])
+
+
 def test_hard_joins_have_no_nested_loop(spark):
     pts = spark.range(100).select(F.col("id"), (F.col("id") * 1.0).alias("lat"), (F.col("id") * 1.0).alias("lon"))
     nets = spark.createDataFrame([("a", 0, 9)], "n string, lo long, hi long")
