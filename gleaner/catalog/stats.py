@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gleaner.catalog.registry import query
 from gleaner.operators import stats as S
+from gleaner.sources import sinks as W
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
@@ -325,6 +326,23 @@ def _(t):
     return S.approx_reach(t.events, "event_type", "user_id")
 
 
+@query("f31_merged_sketches", """SELECT event_type, count(*) AS acts, count(value) AS n_values, count(distinct user_id) AS exact,
+ true AS reach_in_bound, true AS median_in_bound FROM events WHERE cast(ts as date)>(SELECT min(cast(ts as date)) FROM events) GROUP BY 1""")
+def _(t):
+    path = W.scratch_folder(t.spark)
+    S.day_sketches(t.events, ["event_type"], "ts", "user_id", "value").write.parquet(path)
+    stored = t.spark.read.parquet(path)
+    from_day = stored.agg(F.date_add(F.min("day"), 1)).scalar()
+    late = t.events.where(F.to_date("ts") >= from_day)
+    bounds = S.quantile_report(late, "event_type", "value", {"low": 0.48, "high": 0.52})
+    exact = late.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
+    whole = S.merged_sketches(stored.where(F.col("day") >= from_day), ["event_type"])
+    return whole.join(exact, "event_type").join(bounds, "event_type").select(
+        "event_type", "acts", "n_values", "exact",
+        (F.abs(F.col("reach") - F.col("exact")) <= F.col("exact") * 5 * 1.04 / 128).alias("reach_in_bound"),
+        F.col("p50").between(F.col("low"), F.col("high")).alias("median_in_bound"))
+
+
 @query("f32_list_copy", """SELECT item, min(label) AS label, count(*) AS listed FROM (
  SELECT c_custkey AS item, c_name AS label FROM customer WHERE c_acctbal>5000
  UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey<12) GROUP BY 1""")

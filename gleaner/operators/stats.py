@@ -401,6 +401,41 @@ def approx_reach(df: DataFrame, group: str, member: str) -> DataFrame:
     )
 
 
+def day_sketches(df: DataFrame, keys: list[str], ts: str, member: str, value: str, lg_k: int = 14, k: int = 1000) -> DataFrame:
+    """One row per key and day to store: row count, audience sketch (HLL) and value sketch (KLL).
+
+    Rows of one key and day are added up before the shuffle, so a hot key costs one sketch per task.
+    Null members and values are counted in ``acts`` only; a null time has a day of its own, null.
+    """
+    return df.groupBy(*keys, F.to_date(ts).alias("day")).agg(
+        F.count("*").alias("acts"),
+        F.hll_sketch_agg(member, lg_k).alias("members"),
+        F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("measures"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str], first=None, last=None, probs: tuple[float, ...] = (0.5,),
+                    k: int = 1000) -> DataFrame:
+    """Rows, audience and quantiles by ``keys`` over any days, from stored ``day_sketches`` alone.
+
+    ``keys`` may be fewer than the sketches have: an audience is then counted once over the groups that
+    share it. The standard error of ``reach`` is 1.04 / sqrt(2^lg_k), 0.8 % at 14; ranks of the quantiles
+    err by 0.3 % or less at a k of 1000 with 99 % confidence. Quantiles are null where no value is held.
+    """
+    rows = sketches
+    if first is not None:
+        rows = rows.where(F.col("day") >= F.lit(first))
+    if last is not None:
+        rows = rows.where(F.col("day") <= F.lit(last))
+    whole = rows.groupBy(*keys).agg(
+        F.sum("acts").alias("acts"),
+        F.hll_sketch_estimate(F.hll_union_agg("members")).alias("reach"),
+        F.kll_merge_agg_double("measures", k).alias("_m"))
+    held = F.kll_sketch_get_n_double("_m")
+    names = [f"p{round(p * 100)}" for p in probs]
+    return whole.select(*keys, "acts", "reach", held.alias("n_values"), *[
+        F.when(held > 0, F.kll_sketch_get_quantile_double(F.col("_m"), F.lit(p))).alias(n) for n, p in zip(names, probs)])
+
+
 def list_copy(lists: list[DataFrame], key: str, payload: list[str]) -> DataFrame:
     """Merge curated lists; the smallest payload is kept where a key repeats."""
     merged = reduce(DataFrame.unionByName, lists)

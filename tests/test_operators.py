@@ -260,6 +260,25 @@ def test_areas_across_the_date_line(spark):
         assert km2["pacific"] == pytest.approx(2 * km2["zero"])
 
 
+def test_merged_sketches_equal_whole_ones(spark):
+    rows = [(f"k{i % 3}", f"2024-01-{1 + i % 5:02d} 10:00:00", i % 97 if i % 11 else None, float(i % 500) if i % 7 else None) for i in range(6000)]
+    rows += [("k9", None, None, None)]
+    df = spark.createDataFrame(rows, "k string, ts string, m int, v double").withColumn("ts", F.to_timestamp("ts"))
+    days = stats.day_sketches(df, ["k"], "ts", "m", "v")
+    whole = {r["k"]: r for r in df.groupBy("k").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("m", 14)).alias("reach"), F.count("*").alias("acts"), F.count("v").alias("n"),
+        F.percentile("v", F.lit(0.47)).alias("low"), F.percentile("v", F.lit(0.53)).alias("high")).collect()}
+    got = {r["k"]: r for r in stats.merged_sketches(days, ["k"]).collect()}
+    assert set(got) == set(whole)
+    for k, r in got.items():
+        w = whole[k]
+        assert (r["reach"], r["acts"], r["n_values"]) == (w["reach"], w["acts"], w["n"])
+        assert (r["p50"] is None) == (w["n"] == 0) and (r["p50"] is None or w["low"] <= r["p50"] <= w["high"])
+    two = stats.merged_sketches(days, [], "2024-01-02", "2024-01-03").first()
+    assert two["acts"] == 2400 and two["reach"] == 97
+    assert stats.merged_sketches(days.limit(0), ["k"]).count() == 0
+
+
 def test_hard_joins_have_no_nested_loop(spark):
     pts = spark.range(100).select(F.col("id"), (F.col("id") * 1.0).alias("lat"), (F.col("id") * 1.0).alias("lon"))
     nets = spark.createDataFrame([("a", 0, 9)], "n string, lo long, hi long")
