@@ -7,7 +7,7 @@ from gleaner.catalog.search import TOK
 from gleaner.catalog.web import HOST
 from gleaner.functions.webcols import host_of
 from gleaner.streaming import operators as J
-from gleaner.streaming.runner import as_stored, latest_version, read_stream, run_to_table
+from gleaner.streaming.runner import as_stored, latest_version, read_stream, run_arrivals, run_to_table
 
 CLOSED = "(SELECT max(ts) - interval 1 hour FROM events)"
 
@@ -23,6 +23,37 @@ def _(t):
     return out.withColumn("window_start", as_stored(F.col("window_start")))
 
 
+# Events as they arrive: four quarters of the time, then rows of the first half that were held up.
+SPAN = "SELECT min(ts) AS a, max(ts) AS b FROM events"
+HELD_UP = f"event_id%50=0 AND ts < (SELECT a + (b-a)/2 FROM ({SPAN}))"
+
+
+def _arrivals(t):
+    a, b = t.events.agg(F.min("ts"), F.max("ts")).first()
+    ev = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    cuts = [a + (b - a) * i / 4 for i in range(5)]
+    stored = F.col("ts").cast("timestamp_ntz")
+    late = (F.col("event_id") % 50 == 0) & (stored < F.lit(cuts[2]))
+    part = lambda i: (stored >= F.lit(cuts[i])) & ((stored < F.lit(cuts[i + 1])) if i < 3 else F.lit(True))
+    return [*[ev.where(part(i) & ~late) for i in range(4)], ev.where(late)]
+
+
+@query("j01_stream_arrivals", f"""SELECT strftime(date_trunc('day',ts),'%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events
+ WHERE NOT ({HELD_UP}) GROUP BY 1,2, date_trunc('day',ts) HAVING date_trunc('day',ts) + interval 1 day <= {CLOSED}""")
+def _(t):
+    out, _late = run_arrivals(_arrivals(t), lambda s: J.stream_tumbling_counts(s, "ts", "event_type", "1 day", "1 hour"))
+    return out.withColumn("window_start", as_stored(F.col("window_start")))
+
+
+@query("j04_stream_alert_arrivals", f"""WITH d AS (SELECT user_id, date_trunc('day',ts) AS s, sum(value) AS total FROM events
+ WHERE NOT ({HELD_UP}) GROUP BY 1,2 HAVING date_trunc('day',ts)+interval 1 day <= {CLOSED}),
+ p AS (SELECT *, lag(total) OVER (PARTITION BY user_id ORDER BY s) AS before FROM d)
+ SELECT user_id, strftime(s,'%Y-%m-%d %H:%M:%S') AS window_start, R4(total) AS total FROM p WHERE total>=120 AND (before IS NULL OR before<120)""")
+def _(t):
+    out, _late = run_arrivals(_arrivals(t), lambda s: J.stream_threshold_alert(s, "user_id", "ts", "value", 120.0, "1 day", "1 hour"))
+    return out.withColumn("window_start", as_stored(F.col("window_start")))
+
+
 @query("j02_stream_sliding_trend", f"""WITH w AS (SELECT unnest([date_trunc('day',ts) + to_hours(cast(floor(hour(ts)/12)*12 as bigint)),
   date_trunc('day',ts) + to_hours(cast(floor(hour(ts)/12)*12-12 as bigint))]) AS s, event_type, value FROM events)
  SELECT strftime(s,'%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, R4(sum(value)) AS total FROM w GROUP BY s, event_type

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,20 +26,26 @@ def read_stream(spark: SparkSession, folder: str, name: str, per_trigger: int |
     return df
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run until the input is used up, write Parquet, and read it back.
+#: Progress reports kept per run; a run of more batches raises instead of losing counts.
+REPORTS = 10_000
+KEPT = "spark.sql.streaming.numRecentProgressUpdates"
+
+
+def run_stream(stream: DataFrame, mode: str, base: str) -> int:
+    """Run until the input is used up, into ``base``/out, and return how many late rows were dropped.
 
-    State lives in RocksDB on the executors; offsets and commits go to a folder
-    below the shared checkpoint folder, so a lost executor replays its batch.
-    In update mode each batch is written under its number; ``batch_id`` tells
-    the later version of a key from the earlier one.
+    State lives in RocksDB on the executors; offsets and commits go to ``base``/log, below the shared
+    checkpoint folder, so a lost executor replays its batch and a later run goes on from here. In
+    update mode each batch is written under its number. Rows are counted where they reach the state:
+    behind a partial aggregate, late rows of one key and window in one task count once.
     """
     spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    base = scratch_folder(spark)
+    settings = {PROVIDER: ROCKSDB, KEPT: str(REPORTS)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     out = f"{base}/out"
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         writer = stream.writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True)
         if mode == "append":
             query = writer.outputMode("append").format("parquet").option("path", out).start()
@@ -47,15 +55,47 @@ def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream")
 
             query = writer.outputMode(mode).foreachBatch(save).start()
         query.awaitTermination()
+        reports = query.recentProgress
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if len(reports) >= REPORTS:
+        raise RuntimeError(f"{REPORTS} batches or more in one run: rows dropped as late can't be told")
+    return sum(o.numRowsDroppedByWatermark for r in reports for o in r.stateOperators)
+
+
+def _written(stream: DataFrame, mode: str, base: str) -> DataFrame:
     schema = stream.schema
     if mode != "append":
         schema = schema.add("batch_id", "long")
-    return spark.read.schema(schema).parquet(out)
+    return stream.sparkSession.read.schema(schema).parquet(f"{base}/out")
+
+
+def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
+    """Run until the input is used up, write Parquet, and read it back.
+
+    In update mode ``batch_id`` tells the later version of a key from the earlier one.
+    """
+    base = scratch_folder(stream.sparkSession)
+    run_stream(stream, mode, base)
+    return _written(stream, mode, base)
+
+
+def run_arrivals(
+    arrivals: list[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str = "append",
+) -> tuple[DataFrame, int]:
+    """What a stream makes of rows that arrive one table after the other, and how many came too late.
+
+    Each arrival is added to one input folder, and the stream that ``build`` makes of that folder is
+    run until it has read it, from the offsets, watermark and state of the run before.
+    """
+    spark, base, late = arrivals[0].sparkSession, scratch_folder(arrivals[0].sparkSession), 0
+    stream = None
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = build(spark.readStream.schema(arrivals[0].schema).parquet(f"{base}/in"))
+        late += run_stream(stream, mode, base)
+    return _written(stream, mode, base), late
 
 
 def latest_version(df: DataFrame, keys: list[str]) -> DataFrame:
