@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import geocols as X
-from gleaner.functions.rows import pin
+from gleaner.functions.rows import each, pin
 from gleaner.operators.graph import shortest_paths
 from gleaner.operators.stats import epoch_seconds, latest
 from gleaner.operators.web import dns_history
@@ -96,6 +96,8 @@ def grid_density(points: DataFrame, cell: float, value: str) -> DataFrame:
 
 # Halvings of the cube edge that are looked at: 2 down to 2e-6, about ten metres.
 FINEST = 20
+#: Places in one list of a cube.
+LISTED = 2048
 
 
 def nearest_poi(points: DataFrame, key: str, pois: DataFrame, poi: str, kind: str, k: int,
@@ -107,14 +109,27 @@ def nearest_poi(points: DataFrame, key: str, pois: DataFrame, poi: str, kind: st
     spots and doubles each round. A (point, kind) is settled once its k-th place
     lies within one cube edge, since nothing outside the 27 cubes around can be
     nearer; only the rest goes on. Points in crowded areas settle among few
-    candidates and sparse ones widen their search.
+    candidates and sparse ones widen their search. Of the places of a kind at one
+    spot only the first ``k`` can be asked for. Places wait in lists of a bounded
+    length in every cube that sees them; a point takes its best ``k`` of each list
+    within its row, so that only those are shuffled and ordered.
     """
     xyz = ["_x", "_y", "_z"]
+    cells = [f"_c{c}" for c in xyz]
+
     def on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
         for n, c in zip(xyz, X.unit_vector(F.col(lat), F.col(lon))):
             df = df.withColumn(n, c)
         return df
-    place = cut_lineage(on_sphere(pois.select(poi, kind, "plat", "plon"), "plat", "plon"))
+
+    def chord2(x: Column) -> Column:
+        d = [x[c] - F.col(c) for c in xyz]
+        return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+    pois = pois.select(poi, kind, "plat", "plon")
+    per_kind = cut_lineage(pois.groupBy(kind).agg(F.least(F.count("*"), F.lit(k)).alias("_need")))
+    firsts = top_k_per_group(pois.where("plat IS NOT NULL AND plon IS NOT NULL"), [kind, "plat", "plon"], [F.asc(poi)], k)
+    place = cut_lineage(on_sphere(firsts.drop("position"), "plat", "plon"))
     # how crowded the fullest cube is at every edge from 2 down, in one pass
     levels = (
         place.select("plat", "plon", *xyz).distinct()
@@ -123,21 +138,36 @@ def nearest_poi(points: DataFrame, key: str, pois: DataFrame, poi: str, kind: st
         .agg(F.count("*").alias("n")).groupBy("_l").agg(F.max("n").alias("n")))
     fullest = {r["_l"]: r["n"] for r in levels.collect()}  # one row per level
     edge = 2.0 / 2 ** next((l for l in range(FINEST) if fullest.get(l, 0) <= crowd), FINEST)
-    per_kind = place.groupBy(kind).agg(F.least(F.count("*"), F.lit(k)).alias("_need"))
     todo = on_sphere(points.select(key, "lat", "lon"), "lat", "lon").select(
         "*", F.explode(per_kind.agg(F.collect_set(kind)).scalar()).alias(kind))
     todo = cut_lineage(todo)
     out = []
     while True:
-        around = todo
-        at_place = place.select(poi, kind, "plat", "plon", *[F.floor(F.col(c) / edge).alias(f"_c{c}") for c in xyz])
+        asked = todo.select("*", *[F.floor(F.col(c) / edge).alias(f"_c{c}") for c in xyz])
+        # places go to the cubes around their own, so that a point meets them all in its own cube, as lists
+        around = place
         for c in xyz:
             mid = F.floor(F.col(c) / edge)
             around = around.withColumn(f"_c{c}", F.explode(F.array(mid - 1, mid, mid + 1)))
-        met = around.join(at_place, [kind, *[f"_c{c}" for c in xyz]])
-        km = X.haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-        near = top_k_per_group(
-            met.select(key, kind, poi, km.alias("km")), [key, kind], [F.round("km", 6), F.asc(poi)], k)
+        around = around.join(asked.select(kind, *cells).distinct(), [kind, *cells], "left_semi")
+        lists = around.groupBy(kind, *cells).agg(F.ceil(F.count("*") / LISTED).alias("_lists"))
+        lists = around.join(lists, [kind, *cells]).groupBy(
+            kind, *cells, F.pmod(F.xxhash64(poi, "plat", "plon"), "_lists").alias("_list")).agg(
+            F.collect_list(F.struct(poi, "plat", "plon", *xyz)).alias("_near"))
+        met = asked.join(lists, [kind, *cells])
+        # whatever may tie with the k-th chord at the six places that order kilometres goes on to the exact distance
+        kth = F.element_at(F.sort_array(F.transform("_near", chord2)), F.least(F.lit(k), F.size("_near")))
+        base = [key, kind, "lat", "lon", *xyz, "_near"]
+        met = pin(met, base, _kth=kth)
+        met = pin(met, base, _most=F.col("_kth") + 1e-9 * F.sqrt("_kth") + 1e-18)
+
+        def exact(p: Column) -> Column:
+            km = X.haversine_km(F.col("lat"), F.col("lon"), p["plat"], p["plon"])
+            return F.struct(F.round(km, 6).alias("r"), p[poi].alias("poi"), km.alias("km"))
+
+        best = F.slice(F.sort_array(F.transform(F.filter("_near", lambda p: chord2(p) <= F.col("_most")), exact)), 1, k)
+        near = each(met, [key, kind], best, "_b").select(key, kind, F.col("_b.poi").alias(poi), F.col("_b.km").alias("km"))
+        near = cut_lineage(top_k_per_group(near, [key, kind], [F.round("km", 6), F.asc(poi)], k))
         # a chord of one edge is an arc of 2 asin(edge / 2)
         safe = 2 * math.asin(min(edge / 2, 1.0)) * X.EARTH_KM
         full = near.groupBy(key, kind).agg(F.count("*").alias("_n"), F.max("km").alias("_far"))
