@@ -15,20 +15,25 @@ MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestamp
 def table_profile(tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:
     """Type, row count, null share and distinct count of every column, one pass per table.
 
-    Distinct counts are sketches unless ``exact``; then values are counted per column first.
+    Distinct counts are sketches unless ``exact``; then values are counted per column first. There a value
+    travels as its JSON if that has fewer than 16 bytes, else as the 16 bytes of its digest.
     """
     out = []
     for name, df in tables.items():
         types = dict(df.dtypes)
         if exact:
+            # a value without its frame {"v":, or nothing
             cells = df.select(F.inline(F.array(*[
-                F.struct(F.lit(c).alias("column"), F.to_json(F.struct(F.col(c).alias("v")), MICROSECONDS).alias("v"),
-                         F.col(c).isNull().cast("int").alias("gone")) for c in df.columns])))
-            per_value = cells.groupBy("column", F.xxhash64("v").alias("h"), F.md5("v").alias("d")).agg(
-                F.count("*").alias("n"), F.sum("gone").alias("gone"))
-            rows = per_value.groupBy("column").agg(
-                F.sum("n").alias("rows"), (F.sum("gone") / F.sum("n")).alias("null_share"),
-                F.count_if(F.col("gone") == 0).alias("distinct_values"))
+                F.struct(F.lit(i).alias("at"), F.when(F.col(c).isNotNull(), F.substr(
+                    F.to_json(F.struct(F.col(c).alias("v")), MICROSECONDS), F.lit(6))).otherwise("").alias("v"))
+                for i, c in enumerate(df.columns)])))
+            short = F.when(F.octet_length("v") < 16, F.col("v").cast("binary")).otherwise(F.unhex(F.md5("v")))
+            per_value = cells.groupBy("at", short.alias("d")).agg(F.count("*").alias("n"))
+            gone = F.octet_length("d") == 0
+            rows = per_value.groupBy("at").agg(
+                F.sum("n").alias("rows"), (F.sum(F.when(gone, F.col("n")).otherwise(0)) / F.sum("n")).alias("null_share"),
+                F.count_if(~gone).alias("distinct_values"))
+            rows = rows.withColumn("column", F.array(*[F.lit(c) for c in df.columns])[F.col("at")])
         else:
             wide = df.agg(
                 F.count("*").alias("_rows"),
