@@ -37,43 +37,51 @@ def stream_sessions(stream: DataFrame, ts: str, visitor: str, gap: str, delay: s
 
 
 class EdgeTrigger(StatefulProcessor):
-    """Remembers per key whether the last window total was over the limit."""
+    """Remembers for a bucket of keys (as text) those whose last window total was over the limit."""
 
     def __init__(self, key: str, limit: float):
         self.key, self.limit = key, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "over boolean")
+        self.state = handle.getValueState("last", "over array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # a key has one row per closed window in a batch
         windows = pd.concat(list(rows)).sort_values("window_start")
-        over = self.state.get()[0] if self.state.exists() else False
-        crossed = []
-        for start, total in zip(windows["window_start"], windows["total"]):
-            now = bool(total >= self.limit)
-            if now and not over:
-                crossed.append((key[0], start, float(total)))
-            over = now
-        self.state.update((over,))
+        before = set(self.state.get()[0]) if self.state.exists() else set()
+        over, crossed = set(before), []
+        for k, start, total in zip(windows[self.key], windows["window_start"], windows["total"]):
+            if not total >= self.limit:
+                over.discard(k)
+            elif k not in over:
+                crossed.append((k, start, float(total)))
+                over.add(k)
+        if over != before:
+            self.state.update((list(over),))
         yield pd.DataFrame(crossed, columns=[self.key, "window_start", "total"])
 
     def close(self) -> None:
         pass
 
 
+#: Buckets that keys are dealt into; one call and one state row for each, not for each key.
+BUCKETS = 256
+
+
 def stream_threshold_alert(stream: DataFrame, key: str, ts: str, value: str, limit: float, width: str, delay: str) -> DataFrame:
     """One alert each time a key's window total rises over the limit.
 
     Rows are added up per window first, so only one row per key and window
-    reaches the Python worker, however busy the key is.
+    reaches the Python worker, however busy the key is. State is kept for buckets of
+    keys, as a call of the worker and a look at its state cost far more than a row.
     """
     totals = (
         stream.withWatermark(ts, delay).groupBy(F.window(ts, width), key).agg(F.sum(value).alias("total"))
-        .select(key, F.col("window.start").alias("window_start"), "total"))
-    kind = dict(stream.dtypes)[key]
-    return totals.groupBy(key).transformWithStateInPandas(
-        EdgeTrigger(key, limit), f"{key} {kind}, window_start timestamp, total double", "Append", "None")
+        .select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket"), F.col(key).cast("string").alias(key),
+                F.col("window.start").alias("window_start"), "total"))
+    alerts = totals.groupBy("_bucket").transformWithStateInPandas(
+        EdgeTrigger(key, limit), f"{key} string, window_start timestamp, total double", "Append", "None")
+    return alerts.withColumn(key, F.col(key).cast(dict(stream.dtypes)[key]))
 
 
 def stream_keyword_alert(stream: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
