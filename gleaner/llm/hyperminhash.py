@@ -175,6 +175,7 @@ def _links(docs: DataFrame, sets: DataFrame, text: str, words: int, percent: int
     texts = cut_lineage(packed_texts(docs, text, words, bit_filter(met.select("h").distinct(), n_bits)))
     own = met.join(cut_lineage(alone(texts, words)), "h", "left").select("key", "h", "n", F.coalesce("e", F.lit(0)).alias("e"))
     slim = sets.select("h", "n", "sketch")
+    own = own.withColumn("u", F.col("n") - F.col("e"))
     return connect(own, texts, words, percent, lambda pairs, below: _likely(pairs, slim, percent, below),
                    cut_lineage(_with_bits(slim)), _far(percent))
 

@@ -17,7 +17,8 @@ Products are formed block by block of shared columns: all documents of a column
 lead, the one with the fewest columns of its own; their overlaps are added up over blocks
 of columns by hash, and a pair is dropped as soon as what is left cannot lift it over the
 bound that its sizes set. Documents that are connected already need no further products
-(``setpairs.connect``). All links between different sets are thus found or implied by
+(``setpairs.connect``), and others only under the first column that they share: a column's
+place in the order says how many columns can still be shared from there on. All links between different sets are thus found or implied by
 components.
 
 Defined cases: null, empty and blank texts have no n-grams and link with nothing; texts
@@ -113,7 +114,7 @@ def _group(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def prefix_columns(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """(h, n, e, keys, z) of every set that may link with another: its size, its columns of no other set,
-    its prefix and its packed text."""
+    its prefix after these, rarest first, and its packed text."""
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("b")).first()["b"] or 0
     n_groups, n_parts = total // (GROUP_MB << 20) + 1, total // (PART_MB << 20) + 1
     dealt = _sets(docs, key, text, words, True).withColumn("g", F.pmod("h", F.lit(n_groups)))
@@ -163,7 +164,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     ``component`` is the smallest id that links reach.
     """
     sets = written(prefix_columns(docs, key, text, words, percent))
-    met = sets.select("h", "n", "e", F.explode("keys").alias("key"))
+    met = sets.select("h", "n", "e", F.posexplode("keys").alias("place", "key"))
+    met = met.select("key", "h", "n", "e", (F.col("n") - F.col("e") - F.col("place")).alias("u"))
     links = connect(met, sets.select("h", "z"), words, percent)
     return smallest_ids(_sets(docs, key, text, words, False), links)
 

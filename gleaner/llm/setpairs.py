@@ -191,30 +191,35 @@ def connect(met: DataFrame, texts: DataFrame, words: int, percent: int, likely:
             bits: DataFrame | None = None, far: int = 0) -> DataFrame:
     """(a, b): links between set handles that connect all that the threshold connects.
 
-    ``met`` are (key, h, n, e): sets of n n-grams, e of which occur in no other set, under the keys that
-    linked sets share; ``texts`` (h, z) their packed texts. Under a key all sets meet its lead, the one
-    with the fewest n-grams of its own. Only where sets of one key are not connected then, the rest meet,
-    if bounds allow: the overlap is at most n - e on either side; and if both differ from the lead by d
-    n-grams, they have at most the least d - e of these in common, and no more than the common bits of
-    64-bit maps allow, so that their own difference is known from below. ``bits`` (h, x, y) are 128 bits
+    ``met`` are (key, h, n, e, u): sets of n n-grams, e of which occur in no other set, under the keys that
+    linked sets share; any two linked sets share one key at least under which neither has fewer than their
+    overlap as u. ``texts`` (h, z) are their packed texts. Under a key all sets meet its lead, the one
+    with the fewest n-grams of its own. Then sets go whose u is too small for any size in the key, and only
+    where those left are not connected, they meet, if bounds allow: the overlap is at most u on either side;
+    and if both differ from the lead by d n-grams, they have at most the least d - e of these in common,
+    and no more than the common bits of 64-bit maps allow, so that their own difference is known from
+    below. ``bits`` (h, x, y) are 128 bits
     in which linked sets differ in ``far`` places at most. ``likely`` may drop pairs before they are counted
     out; it is given how far below the threshold they must lie.
     """
     live = written(met.where((F.col("n") - F.col("e")) * 100 >= F.col("n") * percent))
-    leads = live.groupBy("key").agg(F.min(F.struct("e", "h")).alias("l"), F.count("*").alias("k"))
-    led = written(live.join(cut_lineage(leads.where("k > 1").select("key", F.col("l.h").alias("lead"))), "key"))
+    leads = live.groupBy("key").agg(
+        F.min(F.struct("e", "h")).alias("l"), F.min("n").alias("least"), F.count("*").alias("k"))
+    led = written(live.join(cut_lineage(leads.where("k > 1").select("key", F.col("l.h").alias("lead"), "least")), "key"))
     first = led.where("h != lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
     tried = cut_lineage(products(likely(first, 0.3) if likely else first, texts, words, percent, 0.3))
     found = tried.where("linked").select("a", "b")
 
     label = connected_components(found, "a", "b").withColumnsRenamed({"node": "h", "component": "c"})
-    known = cut_lineage(led.join(label, "h", "left").withColumn("c", F.coalesce("c", "h")))
+    size = F.greatest((F.col("n") + F.col("least")) * 100, F.col("n") * (100 + percent))  # of both, at the least, times 100
+    may = led.where(F.col("u") * (100 + percent) * 100 >= size * percent).drop("least")
+    known = cut_lineage(may.join(label, "h", "left").withColumn("c", F.coalesce("c", "h")))
     open_ = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     apart = tried.select(F.col("a").alias("h"), F.col("b").alias("lead"), "d", "m")
     none = F.lit(0).cast("long")
     is_lead = F.col("h") == F.col("lead")
     rest = known.join(cut_lineage(open_), "key").join(apart, ["h", "lead"], "left").select(
-        "key", "h", "n", "c", "e", (F.col("n") - F.col("e")).alias("u"),
+        "key", "h", "n", "c", "e", "u",
         F.when(is_lead, none).otherwise(F.col("d")).alias("d"), F.when(is_lead, none).otherwise(F.col("m")).alias("m"))
     rest = rest.withColumn("s", F.col("d") - F.least("d", "e")).withColumn("x", F.col("d") - F.bit_count("m"))
     names = "hncudmsx"

@@ -297,6 +297,29 @@ def test_every_close_pair_shares_a_prefix_column_and_overlaps_add_up():
             assert setpairs.overlaps(*sides[0], *sides[1], need).tolist() == [common, common, -1]
 
 
+def test_copies_of_one_text_that_are_not_alike_form_few_products(spark, monkeypatch):
+    from gleaner.llm import setpairs
+
+    rng, formed, products = random.Random(11), [], setpairs.products
+
+    def counted(pairs, *args):
+        formed.append(pairs.count())
+        return products(pairs, *args)
+
+    monkeypatch.setattr(setpairs, "products", counted)
+    base = _sentence(rng, 150).split()
+    rows = []
+    for k in range(240):  # words that some copies have in common stand at the same places
+        w = list(base)
+        for at in rng.sample(range(0, 150, 6), 5):
+            w[at] = f"other{at}x{rng.randint(0, 11)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.id: (r.n_shingles, r.component) for r in ngramjoin.components(df, 5, 80).collect()}
+    assert got == brute.components(rows, 5, 80)
+    assert len(formed) == 2 and formed[1] < 8 * len(rows)  # of 28,680 pairs
+
+
 def test_pipeline_against_a_plain_version(spark):
     import corpus_pipeline
 
