@@ -31,9 +31,11 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -49,7 +51,8 @@ PARTS, BLOCKS_PER_CALL = 256, 128
 WORDS = 400_000
 #: Words that a line end keeps apart like nothing else would: no line end or blank but one in front.
 PLAIN = re.compile(r" ?\S(?:.*\S)?").fullmatch
-ID_BITS = 16  # ids of A
+ID_BITS = 16  # ids of A, and of B
+PLACES = attrgetter("id", "begin", "end")
 
 
 def refined(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -63,6 +66,19 @@ def refined(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return np.where(inner, np.cumsum(sizes), ends)
 
 
+def _joined(table: pa.Array, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Entries of a binary column one behind the other, and where each begins (one more than entries)."""
+    got = table.take(pa.array(at))
+    ends = np.frombuffer(got.buffers()[1], np.int64)[got.offset : got.offset + len(at) + 1] if len(at) else np.zeros(1, np.int64)
+    data = got.buffers()[2]
+    return (data[int(ends[0]) : int(ends[-1])].to_pybytes() if data is not None else b""), ends - ends[0]
+
+
+def _strings(data: bytes, begin: np.ndarray) -> pa.Array:
+    """Strings one behind the other in ``data``, from the places where each begins and its end."""
+    return pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(data))
+
+
 class Words:
     """Ids of the tokens of words as bytes, learned from a library many at a time; two bounded generations.
 
@@ -73,6 +89,7 @@ class Words:
         self.spans, self.says, self.most, self.blank = spans, says, most, blank
         self.sizes = np.array([len(says.get(i, b"")) for i in range(max(says) + 1)], np.int32)
         self.kind = np.uint16 if len(self.sizes) <= 1 << 16 else np.int32
+        self.said = pa.array([says.get(i, b"") for i in range(len(self.sizes))], pa.large_binary())
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -80,6 +97,7 @@ class Words:
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
+        new[""] = b""
         got = list(map(new.get, words))
         missing = [i for i, ids in enumerate(got) if ids is None]
         some, texts, unknown = [], [], []
@@ -105,13 +123,16 @@ class Words:
         return got
 
     def _learn(self, words: list[str], texts: list[str]) -> None:
-        whole = "\n".join(texts).encode()
-        ids, starts, ends = self.spans("\n".join(texts))
+        joined = "\n".join(texts)
+        whole = joined.encode()
+        ids, starts, ends = self.spans(joined)
         sizes = self.sizes[ids]
         said = np.cumsum(sizes)
-        stops = np.cumsum([len(t.encode()) + 1 for t in texts]) - 1
+        stops = np.array([len(whole)])
+        if len(texts) > 1:  # then none holds a line end
+            stops = np.append(np.flatnonzero(np.frombuffer(whole, np.uint8) == 0x0A), stops)
         cuts = np.searchsorted(said, stops, "right")  # tokens up to the end of each word, line ends included
-        good = len(said) > 0 and b"".join(map(self.says.__getitem__, ids.tolist())) == whole and bool(
+        good = len(said) > 0 and _joined(self.said, ids)[0] == whole and bool(
             (refined(starts, ends, sizes) == said).all() and (said[cuts - 1] == stops).all()
             and (said[cuts[:-1]] == stops[:-1] + 1).all())
         if not good and len(words) > 1:
@@ -125,6 +146,11 @@ class Words:
             at = stop + width
 
 
+def _sizes(points: np.ndarray) -> np.ndarray:
+    """Bytes of each code point in UTF-8."""
+    return 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+
+
 class Aligner:
     """Both tokenizers with their words so far."""
 
@@ -148,69 +174,84 @@ class Aligner:
         self.cutter = pieces.pieces(b_path)
         self.words_a = Words(self._spans_a, {i: bytes(raw.get(c, 0) for c in s) for s, i in vocab.items()}, WORDS)
         self.words_b = Words(self._spans_b, dict(enumerate(self.cutter.surface)), WORDS, pieces.BLANK)
-        digits = [b"%d" % i for i in range(1 << ID_BITS)]
-        self.width = np.array([len(d) for d in digits], np.int64)
-        self.digits = np.frombuffer(b"".join(d.ljust(6) for d in digits), np.uint8).reshape(-1, 6)
-        self.used = np.arange(6) <= self.width[:, None]  # the digits and the mark behind them
+        marks = (b",", b"|", b";")
+        self.digits = pa.array([b"%d" % i + m for i in range(1 << ID_BITS) for m in marks], pa.large_binary())
 
     def _spans_a(self, text: str) -> tuple[np.ndarray, ...]:
         got = self.a.encode(text, add_special_tokens=False)
         spans = np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(got)).reshape(-1, 2)
         if not text.isascii():  # places of characters as places of bytes
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            sizes = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-            spans = np.append(0, np.cumsum(sizes))[spans]
+            spans = np.append(0, np.cumsum(_sizes(np.frombuffer(text.encode("utf-32-le"), np.uint32))))[spans]
         return np.array(got.ids, np.int64), spans[:, 0], spans[:, 1]
 
     def _spans_b(self, text: str) -> tuple[np.ndarray, ...]:
-        got = list(self.b.encode(text, return_type="proto").pieces)  # named immutable_proto before; places are of bytes
-        return tuple(np.array(x, np.int64) for x in ([p.id for p in got], [p.begin for p in got], [p.end for p in got]))
+        got = self.b.encode(text, return_type="proto").pieces  # named immutable_proto before; places are of bytes
+        flat = np.fromiter(chain.from_iterable(map(PLACES, got)), np.int64, 3 * len(got))
+        return tuple(np.ascontiguousarray(flat.reshape(-1, 3).T))
+
+    def _words_a(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of A of all texts, and the index of each text's first; words lie behind each other in the texts."""
+        _, points, begin, _, first = tokencount.word_places(texts)
+        data, owner = "".join(texts).encode(), np.repeat(np.arange(len(texts)), np.diff(first))
+        if len(data) + len(texts) > len(points):  # places of characters as places of bytes
+            begin = np.append(0, np.cumsum(_sizes(points)))[begin]
+        return _strings(data, np.append(begin - owner, len(data))), first
+
+    def _words_b(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of B of all texts, some of them empty, and the index of each text's first."""
+        cut = list(map(self.cutter.marked, texts))
+        for i, marked in enumerate(cut):
+            if marked is None and "\x1f" not in texts[i]:
+                cut[i] = "\x1f".join(self.cutter._words(texts[i]))
+        if None in cut:
+            lists = list(map(self.cutter._words, texts))
+            return pa.array(chain.from_iterable(lists), pa.large_string()), np.append(0, np.cumsum(list(map(len, lists))))
+        whole = "\x1f".join(cut).encode()
+        at = np.flatnonzero(np.frombuffer(whole, np.uint8) == 0x1F)
+        begin = np.concatenate([[0], at - np.arange(len(at)), [len(whole) - len(at)]])
+        return _strings(whole.replace(b"\x1f", b""), begin), np.append(0, np.cumsum([x.count("\x1f") + 1 for x in cut]))
 
     @staticmethod
-    def _tokens(words: list[str], first: np.ndarray, known: Words) -> tuple[np.ndarray, ...]:
+    def _tokens(words: pa.Array, first: np.ndarray, known: Words) -> tuple[np.ndarray, ...]:
         """(ids, byte lengths, tokens per text, whole) of texts given as words and the index of each text's first."""
-        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        coded = words.dictionary_encode()
         at = coded.indices.to_numpy()
-        got = known(coded.dictionary.to_pylist())
-        ids = np.frombuffer(b"".join(got), known.kind)
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // ids.itemsize
-        begin, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
-        upto = np.cumsum(size)
-        rows = np.arange(upto[-1]) + np.repeat(begin - upto + size, size)
-        lost = np.append(0, np.cumsum(size == 0))
-        ids = ids[rows]
-        return ids, known.sizes[ids], np.diff(np.append(0, upto)[first]), np.diff(lost[first]) == 0
+        got = pa.array(known(coded.dictionary.to_pylist()), pa.large_binary())
+        raw, begin = _joined(got, at)
+        ids = np.frombuffer(raw, known.kind)
+        whole = np.ones(len(first) - 1, bool)
+        none = pc.and_(pc.equal(pc.binary_length(got), 0), pc.greater(pc.binary_length(coded.dictionary), 0))
+        if pc.any(none).as_py():
+            whole = np.diff(np.append(0, np.cumsum(none.to_numpy(zero_copy_only=False)[at]))[first]) == 0
+        return ids, known.sizes[ids], np.diff(begin[first] // ids.itemsize), whole
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links by text; digests; text, pair and number of its links, each pair once).
 
         Texts are not empty; those that do not come back have zeros and an empty digest.
         """
-        words, first = tokencount.words_of([" " + t for t in texts])
-        ids_a, len_a, n_a, whole_a = self._tokens(words, first, self.words_a)
-        cut = [list(filter(None, self.cutter._words(t))) for t in texts]
-        first = np.append(0, np.cumsum([len(ws) for ws in cut]))
-        ids_b, len_b, n_b, whole_b = self._tokens(list(chain.from_iterable(cut)), first, self.words_b)
+        ids_a, len_a, n_a, whole_a = self._tokens(*self._words_a([" " + t for t in texts]), self.words_a)
+        ids_b, len_b, n_b, whole_b = self._tokens(*self._words_b(texts), self.words_b)
         # the sign that stands for a blank comes back as a blank
         good = whole_a & whole_b & ~np.array([pieces.BLANK in t for t in texts])
-        use_a, use_b = np.repeat(good, n_a), np.repeat(good, n_b)
-        ids_a, ids_b = ids_a[use_a].astype(np.int64), ids_b[use_b].astype(np.int64)
-        end_a, end_b = np.cumsum(len_a[use_a]), np.cumsum(len_b[use_b])
-        n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
-        every = np.concatenate([end_a, end_b])
-        every.sort(kind="stable")  # two runs in order
-        twice = np.append(False, every[1:] == every[:-1])
-        cuts, every = every[twice[: len(every)]], every[~twice[: len(every)]]
-        stops = np.append(0, end_a)[np.cumsum(n_a)]  # where texts end
-        per = lambda x: np.diff(np.append(0, np.searchsorted(x, stops, "right")))
-        counts = np.stack([n_a, n_b, per(cuts), per(every)])
-        digests = self._digests(ids_a, ids_b, np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b), n_a + n_b)
-        key = (ids_b[np.searchsorted(end_b, every)] << ID_BITS) | ids_a[np.searchsorted(end_a, every)]
-        text = np.repeat(np.arange(len(texts)), counts[3])
-        order = np.lexsort((key, text))
-        key, text = key[order], text[order]
-        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))) if len(key) else np.empty(0, np.int64)
-        return counts, digests, text[new], key[new], np.diff(np.append(new, len(key)))
+        if not good.all():
+            use_a, use_b = np.repeat(good, n_a), np.repeat(good, n_b)
+            ids_a, len_a, ids_b, len_b = ids_a[use_a], len_a[use_a], ids_b[use_b], len_b[use_b]
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        ids_a, ids_b = ids_a.astype(np.int64), ids_b.astype(np.int64)
+        end_a, end_b = np.cumsum(len_a), np.cumsum(len_b)
+        in_a, in_b = (np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, bool) for _ in range(2))
+        in_a[end_a], in_b[end_b] = True, True  # byte ends of both sides, merged by marking them
+        upto_a, upto_b, upto_cut, upto_any = (np.cumsum(x) for x in (in_a, in_b, in_a & in_b, in_a | in_b))
+        every = np.flatnonzero(in_a | in_b)
+        stops = np.append(0, end_a)[np.append(0, np.cumsum(n_a))]  # where texts end
+        counts = np.stack([n_a, n_b, np.diff(upto_cut[stops]), np.diff(upto_any[stops])])
+        digests = self._digests(ids_a, ids_b, upto_cut[end_a - 1], upto_cut[end_b - 1], n_a + n_b)
+        link = (np.repeat(np.arange(len(texts)), counts[3]) << 2 * ID_BITS) | (
+            ids_b[upto_b[every - 1]] << ID_BITS) | ids_a[upto_a[every - 1]]
+        link.sort()
+        new = np.flatnonzero(np.append(True, link[1:] != link[:-1])[: len(link)])
+        return counts, digests, link[new] >> 2 * ID_BITS, link[new] & ((1 << 2 * ID_BITS) - 1), np.diff(np.append(new, len(link)))
 
     def _digests(self, ids_a, ids_b, group_a, group_b, sizes) -> list[str]:
         """SHA-256 of `a1,a2|b1;a3|b2,b3` of each text with ``sizes`` tokens of both sides."""
@@ -219,19 +260,13 @@ class Aligner:
         before_b, upto_a = np.cumsum(in_b) - in_b, np.cumsum(in_a)
         place_a = np.arange(len(ids_a)) + before_b[group_a]
         place_b = np.arange(len(ids_b)) + upto_a[group_b]
-        ids = np.empty(len(ids_a) + len(ids_b), np.int64)
-        ids[place_a], ids[place_b] = ids_a, ids_b
-        mark = np.full(len(ids), ord(","), np.uint8)
-        mark[place_a[upto_a - 1]] = ord("|")
-        mark[place_b[np.cumsum(in_b) - 1]] = ord(";")
-        size = self.width[ids]
-        digits = self.digits[ids]
-        digits[np.arange(len(ids)), size] = mark
-        text = digits[self.used[ids]].tobytes()
-        ends = np.cumsum(size + 1)
-        stops = np.append(0, ends)[np.cumsum(sizes)].tolist()
-        starts = [0, *stops[:-1]]
-        return [hashlib.sha256(text[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(starts, stops)]
+        at = np.empty(len(ids_a) + len(ids_b), np.int64)
+        at[place_a], at[place_b] = 3 * ids_a, 3 * ids_b
+        at[place_a[upto_a - 1]] += 1
+        at[place_b[np.cumsum(in_b) - 1]] += 2
+        text, begin = _joined(self.digits, at)
+        stops = begin[np.append(0, np.cumsum(sizes))].tolist()
+        return [hashlib.sha256(text[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(stops, stops[1:])]
 
 
 @lru_cache(2)

@@ -102,8 +102,9 @@ def scan(classes: np.ndarray, go: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(marks.T).ravel()[:n]
 
 
-def words_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The words of all texts in order, and the index of each text's first word (one entry more than texts)."""
+def word_places(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts joined, each with a mark behind it; its code points; begin and end of every word there; and
+    the index of each text's first word (one entry more than texts)."""
     kinds, go, cut = _tables()
     joined = "\0".join(texts) + "\0"
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
@@ -127,8 +128,13 @@ def words_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
     stops = np.append(starts[1:], len(points))
     real = classes[starts] != END
     starts, stops = starts[real], stops[real]
-    words = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
-    return words, np.append(0, np.searchsorted(starts, ends))
+    return joined, points, starts, stops, np.append(0, np.searchsorted(starts, ends))
+
+
+def words_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of all texts in order, and the index of each text's first word (one entry more than texts)."""
+    joined, _, starts, stops, first = word_places(texts)
+    return [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist())], first
 
 
 def byte_symbols() -> dict[int, str]:

@@ -63,3 +63,20 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     names = ["doc_id", *NAMES[1:-1], "groups_sha256"]
     assert _got(QUERIES["op13_tokenizer_alignment"](spark, folder), names) == _want(rows)
+
+
+def test_words_and_links_are_read_without_a_look_at_each():
+    """Words lie in one buffer, as the library's own words cut from each text; links of many texts are sorted as one number."""
+    import numpy as np
+
+    both = alignment.Aligner(tokencount.default_path(), pieces.default_path())
+    texts = [t for _, t in _odd() if t]
+    for some in (texts, [t for t in texts if "\x1f" not in t], [t for t in texts if both.cutter.marked(t) is not None], ["plain, words.\nof two lines"]):
+        words, first = both._words_a([" " + t for t in some])
+        want, at = tokencount.words_of([" " + t for t in some])
+        assert words.to_pylist() == want and first.tolist() == at.tolist()
+        words, first = both._words_b(some)
+        got = words.to_pylist()
+        assert [list(filter(None, got[i:j])) for i, j in zip(first, first[1:])] == [list(filter(None, both.cutter._words(t))) for t in some]
+        _, _, text, key, n = both.align(some)
+        assert (np.diff((text << 32) | key) > 0).all() and (n > 0).all()
