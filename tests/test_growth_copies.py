@@ -1,10 +1,12 @@
 """Near copies: what lies on disk and moves at one time."""
 
+import random
+
 import numpy as np
 import pandas as pd
 
-from gleaner.operators import vectors
-from gleaner.plans import leaders
+from gleaner.operators import text, vectors
+from gleaner.plans import leaders, scale
 
 
 def _rows_kept(monkeypatch, *modules):
@@ -59,3 +61,32 @@ def test_vectors_with_gaps_are_equal_only_gap_by_gap(spark):
     rows = [(1, [None, 1.0, 2.0]), (2, [1.0, None, 2.0]), (3, [1.0, 2.0, 3.0]), (4, [None, 1.0, 2.0]), (4, [None, 1.0, 2.0])]
     got = vectors.near_duplicate_vectors(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v", 3, 0.99)
     assert sorted(map(tuple, got.collect())) == [(4, 1, 1.0), (4, 1, 1.0)]
+
+
+def test_sets_of_texts_are_stored_once_and_counted_in_parts(spark, monkeypatch):
+    rnd = random.Random(7)
+    word = lambda: f"w{rnd.randrange(400)}"
+    rows, common = [], [word() for _ in range(30)]
+    for i in range(40):
+        body = [word() for _ in range(60)]
+        rows.append((4 * i, " ".join(common + body)))
+        rows.append((4 * i + 1, " ".join(common + body[:55] + [word() for _ in range(5)])))
+        rows.append((4 * i + 2, " ".join([word() for _ in range(90)])))
+    rows += [(1000, rows[0][1]), (1000, rows[0][1]), (1001, None), (1002, "")]
+    df = spark.createDataFrame(rows, "id long, t string")
+
+    def run():
+        return sorted((r.id, r.leader, round(r.jaccard, 9)) for r in text.near_duplicates(df, "id", "t", 0.7).collect())
+
+    whole = run()
+    assert {(4 * i + 1, 4 * i) for i in range(40)} | {(1000, 0)} == {x[:2] for x in whole}
+    assert len(whole) == 42
+    monkeypatch.setattr(text, "ENTRY_ROWS", 1000, raising=False)
+    kept = _rows_kept(monkeypatch, text, scale)
+    assert run() == whole
+    assert sum("s" in columns for columns, _ in kept) == 1
+    parts = [n for columns, n in kept if columns == ["h", "df"]]
+    entries = [n for columns, n in kept if columns == ["id", "n", "df", "h"]]
+    assert len(parts) == len(entries) == 8 and max(parts) < sum(parts) / 4
+    # unlike texts do not send what they share with others
+    assert sum(entries) < 80 * 90
